@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import py_split
+from ..functions.text import let, py_split
 from .prep import broadcast_if_small
 
 MAX_LITERAL_DICTIONARY = 50_000
@@ -42,12 +42,19 @@ def expand_abbreviations(col, dictionary: dict[str, list[str]]) -> Column:
 
 
 def _grams(df: DataFrame, key: str, text_col: str, k: int, unit: str) -> DataFrame:
+    """(key, pos, gram hash). Tokens are hashed once (xxhash64); a gram's key is the hash of its
+    ``k`` token hashes, built inside one ``transform`` over the positions and only then exploded,
+    so an exploded row never carries the document's whole token array."""
     toks = py_split(text_col) if unit == "word" else F.filter(F.split(F.col(text_col), ""), lambda x: x != "")
-    sep = " " if unit == "word" else ""
-    base = df.select(F.col(key).alias("_key"), toks.alias("_w"))
-    idx = F.sequence(F.lit(0), F.size("_w") - F.lit(k))
-    g = base.filter(F.size("_w") >= k).select("_key", F.explode(idx).alias("pos"), "_w")
-    return g.select("_key", "pos", F.xxhash64(F.array_join(F.slice("_w", F.col("pos") + 1, F.lit(k)), sep)).alias("_g"))
+
+    def grams(h):
+        idx = F.sequence(F.lit(0), F.size(h) - F.lit(k))
+        return F.when(F.size(h) >= k, F.transform(idx, lambda i: F.struct(
+            i.alias("pos"), F.xxhash64(F.slice(h, i + 1, F.lit(k))).alias("_g"))))
+
+    hashes = F.transform(toks, lambda t: F.xxhash64(t))
+    g = df.select(F.col(key).alias("_key"), let(hashes, grams).alias("_gs"))
+    return g.select("_key", F.inline_outer("_gs")).filter(F.col("_g").isNotNull())
 
 
 def longest_shared_passage(a: DataFrame, a_key: str, a_text: str, b: DataFrame, b_key: str, b_text: str,

@@ -61,24 +61,32 @@ def before_cut(hash_col: str, key_col: str, cut) -> Column:
 
 
 def global_offsets(df: DataFrame, key_col: str, weight_col: str, rows_per_range: int = 1_000_000,
-                   out_col: str = "offset") -> DataFrame:
-    """Add ``out_col`` = sum of ``weight_col`` over rows with a smaller numeric ``key_col``.
+                   out_col: str = "offset") -> tuple[DataFrame, int]:
+    """Add ``out_col`` = sum of ``weight_col`` over rows with a smaller numeric ``key_col``;
+    also return the grand total of the weight.
 
     Keys must be unique. Ranges are equal-width on the key, their count taken from the row count
-    so that a range holds about ``rows_per_range`` rows on evenly spread keys.
+    so that a range holds about ``rows_per_range`` rows on evenly spread keys. One small job
+    reads (min, max, count, total); the rest stays lazy. The windows run on the narrow
+    (key, weight) projection only; other columns are joined back on the key, so a range's task
+    never sorts wide rows.
     """
-    st = df.agg(F.min(key_col).alias("lo"), F.max(key_col).alias("hi"), F.count(F.lit(1)).alias("n")).collect()[0]
+    st = df.agg(F.min(key_col).alias("lo"), F.max(key_col).alias("hi"), F.count(F.lit(1)).alias("n"),
+                F.sum(weight_col).alias("total")).collect()[0]
     if st["n"] == 0:
-        return df.withColumn(out_col, F.lit(0).cast("bigint"))
+        return df.withColumn(out_col, F.lit(0).cast("bigint")), 0
     n_ranges = max(1, math.ceil(st["n"] / rows_per_range))
     width = max(1, math.ceil((st["hi"] - st["lo"] + 1) / n_ranges))
     rng = F.floor((F.col(key_col) - F.lit(st["lo"])) / F.lit(width)).cast("bigint")
-    tagged = df.withColumn("_rng", rng)
+    narrow = df.select(key_col, weight_col)
+    tagged = narrow.withColumn("_rng", rng)
     totals = tagged.groupBy("_rng").agg(F.sum(weight_col).alias("_tot"))
     # one row per range: a window over it is bounded by n_ranges rows
     bases = totals.select("_rng", (F.sum("_tot").over(Window.orderBy("_rng")) - F.col("_tot")).alias("_base"))
     bases = F.broadcast(bases) if n_ranges <= 100_000 else bases
     w = Window.partitionBy("_rng").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (tagged.join(bases, "_rng")
-            .withColumn(out_col, (F.col("_base") + F.coalesce(F.sum(weight_col).over(w), F.lit(0))).cast("bigint"))
-            .drop("_rng", "_base"))
+    offs = (tagged.join(bases, "_rng")
+            .select(key_col, (F.col("_base") + F.coalesce(F.sum(weight_col).over(w), F.lit(0))).cast("bigint").alias(out_col)))
+    others = [c for c in df.columns if c not in (key_col, weight_col)]
+    out = df.join(offs, key_col) if others else df.join(offs, key_col)
+    return out, int(st["total"] or 0)

@@ -13,15 +13,15 @@ SECTION_HEADER = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z ]*):"
 
 def line_table(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, line_no, line) -- lower-cased, stripped, non-empty lines; line_no from 0."""
-    return df.select(key, F.posexplode(lines(text_col)).alias("line_no", "line")) \
-             .withColumn("line_no", F.col("line_no").cast("bigint"))
+    return df.select(key, F.posexplode_outer(lines(text_col)).alias("line_no", "line")) \
+             .filter(F.col("line_no").isNotNull()).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def sentence_table(df: DataFrame, key: str, text_col: str, min_len: int = 3) -> DataFrame:
     """(key, sent_no, sentence). A sentence with fewer than ``min_len`` words is appended to
     its predecessor (a run of short sentences joins the same predecessor); the first sentence is
     never merged. The running group number is a window partitioned by document."""
-    s = df.select(key, F.posexplode(sentences(text_col)).alias("_pos", "_s"))
+    s = df.select(key, F.posexplode_outer(sentences(text_col)).alias("_pos", "_s")).filter(F.col("_pos").isNotNull())
     n_words = F.size(F.filter(F.split(F.col("_s"), PY_SPACE + "+"), lambda x: x != ""))
     starts = ((F.col("_pos") == 0) | (n_words >= min_len)).cast("int")
     w = Window.partitionBy(key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -38,7 +38,7 @@ def section_table(df: DataFrame, key: str, text_col: str, header_pattern: str =
     headers = F.regexp_extract_all(F.col(text_col), F.lit(header_pattern), 1)
     bodies = F.slice(F.split(F.col(text_col), header_pattern), 2, 1 << 30)
     z = F.arrays_zip(headers.alias("h"), bodies.alias("b"))
-    return (df.select(key, F.posexplode(z).alias("sec_no", "_z"))
+    return (df.select(key, F.posexplode_outer(z).alias("sec_no", "_z")).filter(F.col("sec_no").isNotNull())
             .select(key, F.col("sec_no").cast("bigint").alias("sec_no"), F.trim(F.col("_z.h")).alias("header"),
                     F.trim(F.col("_z.b")).alias("body")))
 
@@ -60,8 +60,8 @@ def remove_sections(df: DataFrame, key: str, text_col: str, names: list[str] | N
 
 def flatten_to_rows(df: DataFrame, key: str, nested_col: str) -> DataFrame:
     """Nested array -> one row per element with the key and its position."""
-    return df.select(key, F.posexplode(F.flatten(F.col(nested_col))).alias("pos", "item")) \
-             .withColumn("pos", F.col("pos").cast("bigint"))
+    return df.select(key, F.posexplode_outer(F.flatten(F.col(nested_col))).alias("pos", "item")) \
+             .filter(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def sentence_tokens(df: DataFrame, key: str, text_col: str) -> DataFrame:

@@ -34,7 +34,9 @@ def token_frequency(tokens: DataFrame, token_col: str = "token") -> DataFrame:
 
 
 def explode_tokens(df: DataFrame, tokens_col, key_cols: list[str] | None = None) -> DataFrame:
-    return df.select(*(key_cols or []), F.explode(tokens_col).alias("token"))
+    """One row per token (outer explode + null filter: no inferred size() filter copies the
+    token expression below a repartition)."""
+    return df.select(*(key_cols or []), F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
 
 
 def top_terms(freq: DataFrame, k: int = 100, stop: list[str] | None = None, token_col: str = "token") -> DataFrame:

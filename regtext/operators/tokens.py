@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import unicode_words
+from ..session import materialize as materialize_table
 from .ranking import global_offsets
 
 
@@ -20,7 +21,8 @@ def build_vocabulary(docs: DataFrame, text_col: str, vocab_size: int = 30000, mi
 
     The ranking is a distributed top-k; the id window then runs over at most ``vocab_size`` rows.
     """
-    freq = docs.select(F.explode(unicode_words(text_col)).alias("token")).groupBy("token") \
+    freq = docs.select(F.explode_outer(unicode_words(text_col)).alias("token")).filter(F.col("token").isNotNull()) \
+        .groupBy("token") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("n")).filter(F.col("n") >= min_count)
     top = freq.orderBy(F.desc("n"), F.asc("token")).limit(vocab_size)
     return top.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
@@ -76,29 +78,37 @@ def flatten_ids(nested: Column, max_len: int = K.MAX_SEQ_LEN, start_id: int = K.
 
 
 def pack_blocks(docs: DataFrame, key: str, ids_col: str, block: int = K.MAX_SEQ_LEN,
-                rows_per_range: int = 1_000_000) -> DataFrame:
+                rows_per_range: int = 1_000_000, materialize: bool = True) -> DataFrame:
     """K3: concatenate all id sequences in ``key`` order and cut into ``block``-long blocks; the
     remainder is dropped; ``labels`` = ``input_ids``.
 
-    Each document gets its global start offset from a two-level prefix sum (``global_offsets``),
-    emits one slice per block it overlaps, and blocks are assembled by grouping on the block id:
-    a block never holds more than ``block`` ids, whatever the corpus size.
+    The id table is written once as Parquet under the shared checkpoint folder (lineage cut)
+    since the offsets and the blocks both read it. Each document gets its global start offset from a
+    two-level prefix sum (``global_offsets``), cuts its ids into the slices of the blocks it
+    overlaps inside one projection, and blocks are assembled by grouping on the block id: a block
+    never holds more than ``block`` ids, whatever the corpus size.
     """
-    lens = docs.select(key, ids_col, F.size(ids_col).cast("bigint").alias("_len")).filter(F.col("_len") > 0)
-    off = global_offsets(lens, key, "_len", rows_per_range, out_col="_off")
-    total = lens.agg(F.sum("_len")).collect()[0][0] or 0
+    ids = docs.select(key, ids_col).withColumn("_len", F.size(ids_col).cast("bigint"))
+    if materialize:
+        ids = materialize_table(ids, "k3-ids")
+    # filtered after the lineage cut, so the id expression is not copied into a pushed-down filter
+    ids = ids.filter(F.col("_len") > 0)
+    off, total = global_offsets(ids, key, "_len", rows_per_range, out_col="_off")
     n_blocks = total // block
     if n_blocks == 0:
         return docs.sparkSession.createDataFrame([], "block_id bigint, input_ids array<int>, labels array<int>")
     first = F.floor(F.col("_off") / F.lit(block)).cast("bigint")
-    last = F.floor((F.col("_off") + F.col("_len") - 1) / F.lit(block)).cast("bigint")
-    pieces = off.select(key, ids_col, "_off", "_len", F.explode(F.sequence(first, last)).alias("block_id")) \
-        .filter(F.col("block_id") < F.lit(n_blocks))
-    lo = F.greatest(F.col("block_id") * F.lit(block) - F.col("_off"), F.lit(0))
-    hi = F.least((F.col("block_id") + 1) * F.lit(block) - F.col("_off"), F.col("_len"))
-    sl = pieces.select("block_id", key, F.slice(F.col(ids_col), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
-    blocks = sl.groupBy("block_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_p").alias("p")))),
+    last = F.least(F.floor((F.col("_off") + F.col("_len") - 1) / F.lit(block)), F.lit(n_blocks - 1)).cast("bigint")
+
+    def piece(b):
+        lo = F.greatest(b * F.lit(block) - F.col("_off"), F.lit(0))
+        hi = F.least((b + 1) * F.lit(block) - F.col("_off"), F.col("_len"))
+        return F.struct(b.alias("block_id"), F.slice(F.col(ids_col), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("p"))
+
+    pieces = off.filter(first < F.lit(n_blocks)).select(
+        key, F.inline_outer(F.transform(F.sequence(first, last), piece))).filter(F.col("block_id").isNotNull())
+    blocks = pieces.groupBy("block_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("p").alias("p")))),
                               lambda x: x["p"])).alias("input_ids"))
     return blocks.withColumn("labels", F.col("input_ids"))
 

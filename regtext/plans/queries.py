@@ -487,7 +487,7 @@ def t15(spark, sf):
 @query("t16_dict_column")
 def t16(spark, sf):
     ev = table(spark, sf, "events")
-    kv = ev.select(F.explode(X.parse_dict_string("props")).alias("key", "value"))
+    kv = ev.select(F.explode_outer(X.parse_dict_string("props")).alias("key", "value")).filter(F.col("key").isNotNull())
     return kv.groupBy("key").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                  r6(F.sum(F.col("value").try_cast("double"))).alias("total"))
 
