@@ -40,64 +40,88 @@ def with_micro(long: DataFrame, name: str = "micro") -> DataFrame:
 
 
 # ---------------------------------------------------------------- cumulative counts
-def cumulative_counts(long: DataFrame, score_buckets: int = 4096, probabilities: bool = True) -> DataFrame:
-    """(label, score, pos, neg, tp, fp, P, N): tp/fp count rows with score >= this score."""
-    c = long.groupBy(LABEL, SCORE).agg(F.sum(F.col(Y).cast("bigint")).alias("pos"),
-                                       F.sum((1 - F.col(Y)).cast("bigint")).alias("neg"))
+# Every operator takes ``by``: extra grouping columns (an epoch, a run, a split) evaluated in the
+# same plan, so E epochs cost one job, not E.
+def _g(by) -> list[str]:
+    return [*by, LABEL]
+
+
+def cumulative_counts(long: DataFrame, score_buckets: int = 4096, probabilities: bool = True,
+                      by: tuple = ()) -> DataFrame:
+    """(by.., label, score, pos, neg, tp, fp, P, N): tp/fp count rows with score >= this score."""
+    g = _g(by)
+    c = long.groupBy(*g, SCORE).agg(F.sum(F.col(Y).cast("bigint")).alias("pos"),
+                                    F.sum((1 - F.col(Y)).cast("bigint")).alias("neg"))
     s = F.col(SCORE) if probabilities else F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(SCORE)))
     b = F.least(F.greatest(F.floor(s * F.lit(score_buckets)), F.lit(0)), F.lit(score_buckets - 1)).cast("int")
     c = c.withColumn("_b", b)
-    tot = c.groupBy(LABEL, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.partitionBy(LABEL).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(LABEL)
-    # windows below run over the per-(label, bucket) totals: at most labels x score_buckets rows
-    bases = tot.select(LABEL, "_b",
+    tot = c.groupBy(*g, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    above = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    # windows below run over the per-(label, bucket) totals: at most groups x score_buckets rows
+    bases = tot.select(*g, "_b",
                        F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_base_p"),
                        F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_base_n"),
                        F.sum("_bp").over(whole).alias("P"), F.sum("_bn").over(whole).alias("N"))
-    inb = Window.partitionBy(LABEL, "_b").orderBy(F.desc(SCORE)).rowsBetween(Window.unboundedPreceding, 0)
-    return (c.join(bases, [LABEL, "_b"])
-            .select(LABEL, SCORE, "pos", "neg",
+    inb = Window.partitionBy(*g, "_b").orderBy(F.desc(SCORE)).rowsBetween(Window.unboundedPreceding, 0)
+    return (c.join(bases, [*g, "_b"])
+            .select(*g, SCORE, "pos", "neg",
                     (F.col("_base_p") + F.sum("pos").over(inb)).alias("tp"),
                     (F.col("_base_n") + F.sum("neg").over(inb)).alias("fp"), "P", "N"))
 
 
-def pr_curve(cum: DataFrame) -> DataFrame:
+def pr_curve(cum: DataFrame, by: tuple = ()) -> DataFrame:
     """M4: (label, threshold, precision, recall, tp, fp) for every distinct score, descending
     thresholds below the first one reaching full recall dropped (as the common library does)."""
     return (cum.filter((F.col("tp") - F.col("pos")) < F.col("P"))
-            .select(LABEL, F.col(SCORE).alias("threshold"),
+            .select(*_g(by), F.col(SCORE).alias("threshold"),
                     safe_div("tp", F.col("tp") + F.col("fp")).alias("precision"),
                     safe_div("tp", "P").alias("recall"), "tp", "fp"))
 
 
-def roc_auc(cum: DataFrame) -> DataFrame:
+def roc_auc(cum: DataFrame, by: tuple = ()) -> DataFrame:
     """M8: tie-aware ROC AUC (Mann-Whitney) per label -> (label, auc)."""
     contrib = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / F.lit(2.0))
-    return cum.groupBy(LABEL).agg(
+    return cum.groupBy(*_g(by)).agg(
         safe_div(F.sum(contrib), F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"))
 
 
-def average_precision(cum: DataFrame) -> DataFrame:
+def average_precision(cum: DataFrame, by: tuple = ()) -> DataFrame:
     """Average precision = sum over thresholds of (recall step) x precision -> (label, ap)."""
     term = F.when(F.col("P") > 0, (F.col("pos") / F.col("P").cast("double")) *
                   (F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")))
-    return cum.groupBy(LABEL).agg(F.when(F.first("P") > 0, F.sum(term)).alias("ap"))
+    return cum.groupBy(*_g(by)).agg(F.when(F.first("P") > 0, F.sum(term)).alias("ap"))
 
 
-def optimal_thresholds(curve: DataFrame) -> DataFrame:
+def optimal_thresholds(curve: DataFrame, by: tuple = ()) -> DataFrame:
     """M7: per label the threshold minimising |precision - recall| (ties: lowest threshold)."""
     gap = F.abs(F.col("precision") - F.col("recall"))
-    return curve.filter(F.col("precision").isNotNull() & F.col("recall").isNotNull()).groupBy(LABEL).agg(
+    return curve.filter(F.col("precision").isNotNull() & F.col("recall").isNotNull()).groupBy(*_g(by)).agg(
         F.min_by(F.col("threshold"), F.struct(gap, F.col("threshold"))).alias("threshold"))
 
 
+def label_stats(cum: DataFrame, by: tuple = ()) -> DataFrame:
+    """M7 + M8 + M10 in one aggregate over the cumulative table ->
+    (by.., label, auc, ap, threshold): ROC AUC, average precision and the tuned threshold."""
+    contrib = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / F.lit(2.0))
+    prec = F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")
+    rec = F.col("tp") / F.col("P").cast("double")
+    on_curve = ((F.col("tp") - F.col("pos")) < F.col("P")) & (F.col("P") > 0) & ((F.col("tp") + F.col("fp")) > 0)
+    # rows off the curve get a NULL ordering and are skipped by min_by
+    order = F.when(on_curve, F.struct(F.abs(prec - rec).alias("gap"), F.col(SCORE).alias("t")))
+    return cum.groupBy(*_g(by)).agg(
+        safe_div(F.sum(contrib), F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
+        F.when(F.first("P") > 0, F.sum(F.when(F.col("P") > 0, (F.col("pos") / F.col("P").cast("double")) * prec)))
+        .alias("ap"),
+        F.min_by(F.col(SCORE), order).alias("threshold"))
+
+
 # ---------------------------------------------------------------- confusion counts
-def confusion(long: DataFrame, pred: Column) -> DataFrame:
-    """Per label tp, fp, fn, tn, support from a 0/1 prediction expression."""
+def confusion(long: DataFrame, pred: Column, by: tuple = ()) -> DataFrame:
+    """Per label tp, fp, fn, tn from a 0/1 prediction expression."""
     p = pred.cast("int")
     y = F.col(Y).cast("int")
-    return long.groupBy(LABEL).agg(
+    return long.groupBy(*_g(by)).agg(
         F.sum(((p == 1) & (y == 1)).cast("bigint")).alias("tp"),
         F.sum(((p == 1) & (y == 0)).cast("bigint")).alias("fp"),
         F.sum(((p == 0) & (y == 1)).cast("bigint")).alias("fn"),
@@ -113,27 +137,28 @@ def prf(counts: DataFrame) -> DataFrame:
         .otherwise(safe_div(F.lit(2.0) * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
-def averaged_prf(counts: DataFrame, average: str = "micro") -> DataFrame:
-    """M6: one row (average, precision, recall, f1); undefined per-label values count as 0."""
+def averaged_prf(counts: DataFrame, average: str = "micro", by: tuple = ()) -> DataFrame:
+    """M6: one row per ``by`` group (average, precision, recall, f1); undefined values count as 0."""
+    by = list(by)
     if average == "micro":
-        t = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+        t = counts.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
         out = prf(t.withColumn("tn", F.lit(0)))
-        return out.select(F.lit("micro").alias("average"),
+        return out.select(*by, F.lit("micro").alias("average"),
                           *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
-    per = prf(counts).select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
+    per = prf(counts).select(*by, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
                              (F.col("tp") + F.col("fn")).alias("support"))
     if average == "macro":
-        return per.agg(F.lit("macro").alias("average"),
-                       *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+        return per.groupBy(*by).agg(F.lit("macro").alias("average"),
+                                    *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
     if average == "weighted":
-        return per.agg(F.lit("weighted").alias("average"),
-                       *[safe_div(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c)
-                         for c in ("precision", "recall", "f1")])
+        return per.groupBy(*by).agg(F.lit("weighted").alias("average"),
+                                    *[safe_div(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c)
+                                      for c in ("precision", "recall", "f1")])
     raise ValueError(average)
 
 
 # ---------------------------------------------------------------- M9 losses
-def losses(long: DataFrame, gamma: float = 2.0) -> DataFrame:
+def losses(long: DataFrame, gamma: float = 2.0, by: tuple = ()) -> DataFrame:
     """M9: per label mean binary cross-entropy (log clamped at -100) and focal loss on p_t
     (p clamped to [1e-4, 1-1e-4]); label ``all`` = mean BCE over every cell and the focal loss
     summed over labels (the original's per-row mean x number of labels)."""
@@ -143,69 +168,74 @@ def losses(long: DataFrame, gamma: float = 2.0) -> DataFrame:
     bce = -(y * ln(p) + (F.lit(1.0) - y) * ln(F.lit(1.0) - p))
     pt = F.least(F.greatest(F.when(y >= 0.5, p).otherwise(F.lit(1.0) - p), F.lit(1e-4)), F.lit(1 - 1e-4))
     focal = -F.pow(F.lit(1.0) - pt, F.lit(gamma)) * F.log(pt)
-    per = long.groupBy(LABEL).agg(F.avg(bce).alias("bce"), F.avg(focal).alias("focal"),
-                                  F.count(F.lit(1)).alias("_n"), F.sum(bce).alias("_s"))
-    total = per.agg(F.lit("all").alias(LABEL), (F.sum("_s") / F.sum("_n")).alias("bce"), F.sum("focal").alias("focal"))
-    return per.select(LABEL, "bce", "focal").unionByName(total)
+    per = long.groupBy(*_g(by)).agg(F.avg(bce).alias("bce"), F.avg(focal).alias("focal"),
+                                    F.count(F.lit(1)).alias("_n"), F.sum(bce).alias("_s"))
+    total = per.groupBy(*by).agg(F.lit("all").alias(LABEL), (F.sum("_s") / F.sum("_n")).alias("bce"),
+                                 F.sum("focal").alias("focal"))
+    return per.select(*_g(by), "bce", "focal").unionByName(total)
 
 
 # ---------------------------------------------------------------- M11 / M12 / M15 reports
-def tuned_predictions(long: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Long table with ``pred`` = score > tuned threshold (labels without a threshold predict 0)."""
-    return long.join(F.broadcast(thresholds), LABEL, "left") \
+def tuned_predictions(long: DataFrame, thresholds: DataFrame, by: tuple = ()) -> DataFrame:
+    """Long table with ``pred`` = score > tuned threshold (labels without a threshold predict 0).
+    The threshold table has one row per (group, label): broadcast."""
+    return long.join(F.broadcast(thresholds), _g(by), "left") \
         .withColumn("pred", F.when(F.col(SCORE) > F.col("threshold"), 1).otherwise(0))
 
 
+POOLED = "__pooled__"
+
+
 def evaluation_report(long: DataFrame, auc: str = "roc", average: str = "micro",
-                      score_buckets: int = 4096) -> DataFrame:
+                      score_buckets: int = 4096, by: tuple = ()) -> DataFrame:
     """Per label (auc, threshold, precision, recall, f1) at the tuned threshold, plus one
-    row for the ``average`` (auc pooled for micro, mean for macro, support-weighted for weighted).
+    row for the ``average`` (auc pooled for micro, mean for macro, support-weighted for weighted),
+    for every ``by`` group in one plan.
 
     Precision and recall are in the correct order (the original swapped them per label).
-    Labels are few, so the per-label tables are broadcast into the long table.
     """
-    cum = cumulative_counts(with_micro(long, "__pooled__") if average == "micro" else long, score_buckets)
-    rank_metric = roc_auc(cum).withColumnRenamed("auc", "auc") if auc == "roc" else \
-        average_precision(cum).withColumnRenamed("ap", "auc")
-    thr = optimal_thresholds(pr_curve(cum.filter(F.col(LABEL) != "__pooled__")))
-    pred = tuned_predictions(long, thr)
-    counts = confusion(pred, F.col("pred"))
-    per = prf(counts).join(rank_metric, LABEL, "left").join(thr, LABEL, "left")
-    per_out = per.select(LABEL, "auc", "threshold", "precision", "recall", "f1")
-    avg = averaged_prf(counts, average)
+    by = list(by)
+    g = _g(by)
+    cum = cumulative_counts(with_micro(long, POOLED) if average == "micro" else long, score_buckets, by=by)
+    stats = label_stats(cum, by).withColumnRenamed("auc", "roc").withColumnRenamed("ap", "pr") \
+        .withColumn("auc", F.col("roc" if auc == "roc" else "pr")).drop("roc", "pr")
+    counts = confusion(tuned_predictions(long, stats.select(*g, "threshold"), by), F.col("pred"), by)
+    per_out = prf(counts).join(F.broadcast(stats), g, "left") \
+        .select(*g, "auc", "threshold", "precision", "recall", "f1")
+    avg = averaged_prf(counts, average, by)
     if average == "micro":
-        auc_avg = rank_metric.filter(F.col(LABEL) == "__pooled__").select(F.col("auc").alias("_auc"))
+        auc_avg = stats.filter(F.col(LABEL) == POOLED).select(*by, F.col("auc").alias("_auc"))
     else:
-        sup = counts.select(LABEL, (F.col("tp") + F.col("fn")).alias("support"))
-        rm = rank_metric.filter(F.col(LABEL) != "__pooled__").join(sup, LABEL)
-        auc_avg = rm.agg((F.avg("auc") if average == "macro" else
-                          safe_div(F.sum(F.col("auc") * F.col("support")), F.sum("support"))).alias("_auc"))
-    # both sides are one-row aggregates: stack them and fold into one row (no join needed)
-    stacked = avg.select("average", "precision", "recall", "f1", F.lit(None).cast("double").alias("_auc")) \
-        .unionByName(auc_avg.select(F.lit(None).cast("string").alias("average"), *[F.lit(None).cast("double").alias(c)
-                                    for c in ("precision", "recall", "f1")], "_auc"))
-    avg_row = stacked.agg(F.max("average").alias(LABEL), F.max("_auc").alias("auc"),
-                          F.lit(None).cast("double").alias("threshold"),
-                          *[F.max(c).alias(c) for c in ("precision", "recall", "f1")])
-    return per_out.filter(F.col(LABEL) != "__pooled__").unionByName(avg_row)
+        sup = counts.select(*g, (F.col("tp") + F.col("fn")).alias("support"))
+        rm = stats.filter(F.col(LABEL) != POOLED).join(sup, g)
+        auc_avg = rm.groupBy(*by).agg((F.avg("auc") if average == "macro" else
+                                       safe_div(F.sum(F.col("auc") * F.col("support")), F.sum("support"))).alias("_auc"))
+    # both sides hold one row per group: stack them and fold (no join needed)
+    nul = F.lit(None).cast("double")
+    stacked = avg.select(*by, "average", "precision", "recall", "f1", nul.alias("_auc")) \
+        .unionByName(auc_avg.select(*by, F.lit(None).cast("string").alias("average"),
+                                    *[nul.alias(c) for c in ("precision", "recall", "f1")], "_auc"))
+    avg_row = stacked.groupBy(*by).agg(F.max("average").alias(LABEL), F.max("_auc").alias("auc"),
+                                       nul.alias("threshold"), *[F.max(c).alias(c) for c in ("precision", "recall", "f1")])
+    return per_out.filter(F.col(LABEL) != POOLED).unionByName(avg_row.select(*g, "auc", "threshold", "precision",
+                                                                              "recall", "f1"))
 
 
 def logits_report(long_logits: DataFrame, threshold: float = 0.5, score_buckets: int = 4096) -> DataFrame:
     """Sigmoid of logits; micro precision/recall/F1 at ``threshold`` and micro ROC AUC on the
     probabilities; per label ROC AUC and F1 at the tuned threshold -> (metric, label, value)."""
     probs = long_logits.withColumn(SCORE, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(SCORE).cast("double"))))
-    fixed = confusion(probs, F.col(SCORE) >= F.lit(threshold))
-    micro = averaged_prf(fixed, "micro")
-    cum = cumulative_counts(with_micro(probs, "__pooled__"), score_buckets)
+    micro = averaged_prf(confusion(probs, F.col(SCORE) >= F.lit(threshold)), "micro")
+    cum = cumulative_counts(with_micro(probs, POOLED), score_buckets)
     aucs = roc_auc(cum)
-    thr = optimal_thresholds(pr_curve(cum.filter(F.col(LABEL) != "__pooled__")))
+    thr = optimal_thresholds(pr_curve(cum.filter(F.col(LABEL) != POOLED)))
     tuned = prf(confusion(tuned_predictions(probs, thr), F.col("pred")))
     m = micro.select(F.inline(F.array(
         F.struct(F.lit("f1_micro").alias("metric"), F.lit("all").alias(LABEL), F.col("f1").alias("value")),
         F.struct(F.lit("precision_micro").alias("metric"), F.lit("all").alias(LABEL), F.col("precision").alias("value")),
         F.struct(F.lit("recall_micro").alias("metric"), F.lit("all").alias(LABEL), F.col("recall").alias("value")))))
-    a = aucs.select(F.when(F.col(LABEL) == "__pooled__", F.lit("roc_auc_micro")).otherwise(F.lit("auc")).alias("metric"),
-                    F.when(F.col(LABEL) == "__pooled__", F.lit("all")).otherwise(F.col(LABEL)).alias(LABEL),
+    a = aucs.select(F.when(F.col(LABEL) == POOLED, F.lit("roc_auc_micro")).otherwise(F.lit("auc")).alias("metric"),
+                    F.when(F.col(LABEL) == POOLED, F.lit("all")).otherwise(F.col(LABEL)).alias(LABEL),
                     F.col("auc").alias("value"))
     f = tuned.select(F.lit("f1").alias("metric"), LABEL, F.coalesce(F.col("f1"), F.lit(0.0)).alias("value"))
     return m.unionByName(a).unionByName(f)

@@ -251,9 +251,10 @@ def history_sql(epochs: int = 3) -> str:
     for e in range(epochs):
         parts.append(
             f"(WITH {report_ctes(e)} "
-            f"SELECT 'run0' AS run_id, CAST({e} AS BIGINT) AS epoch, 'test' AS split, label, metric, value FROM "
-            f"(UNPIVOT (SELECT label, auc, precision, recall, f1 FROM report) ON auc, precision, recall, f1 "
-            f"INTO NAME metric VALUE value) "
+            f"SELECT 'run0' AS run_id, CAST({e} AS BIGINT) AS epoch, 'test' AS split, label, metric, value FROM ("
+            + " UNION ALL ".join(f"SELECT label, '{m}' AS metric, {m} AS value FROM report"
+                                 for m in ("auc", "precision", "recall", "f1"))
+            + ") "
             f"UNION ALL SELECT 'run0', CAST({e} AS BIGINT), 'test', 'all', 'loss', AVG({bce_expr()}) FROM long)")
     return " UNION ALL ".join(parts)
 

@@ -23,8 +23,8 @@ from ..operators import tokens as TK
 from ..operators.pairs import expand_abbreviations, longest_shared_passage
 from ..sources import notes as SRC
 from ..sources import sinks as SINK
-from .tables import (history_text, measurement_text, procedure_text, r6, scored_long, sectioned_text, table,
-                     time_text)
+from .tables import (SCORE_MULTIPLIERS, history_text, measurement_text, procedure_text, r6, score_expr,
+                     scored_long, sectioned_text, table, time_text)
 
 Q = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Q] = {}
@@ -103,20 +103,20 @@ def s6(spark, sf):
 
 
 def _history(spark, sf, epochs: int = 3, run_id: str = "run0") -> DataFrame:
-    """Metric history over epochs: epoch e scores the labels with the stand-in model of epoch e."""
-    rows = []
-    for e in range(epochs):
-        long = scored_long(spark, sf, e)
-        rep = M.evaluation_report(long)
-        per = rep.unpivot(["label"], ["auc", "precision", "recall", "f1"], "metric", "value")
-        loss = M.losses(long).filter(F.col("label") == "all").select("label", F.lit("loss").alias("metric"),
-                                                                     F.col("bce").alias("value"))
-        rows.append(per.unionByName(loss).select(F.lit(run_id).alias("run_id"), F.lit(e).cast("bigint").alias("epoch"),
-                                                 F.lit("test").alias("split"), "label", "metric", "value"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Metric history over epochs: epoch e scores the labels with the stand-in model of epoch e.
+    All epochs are evaluated in one plan (``epoch`` is a grouping column of every metric)."""
+    ep = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
+    base = table(spark, sf, "labels").select("*", ep)
+    st = F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).cast("int").alias("y_true"),
+                            score_expr("doc_id", m, F.col("epoch")).alias("score"))
+                   for l, m in SCORE_MULTIPLIERS.items()])
+    long = base.select(F.col("epoch").cast("bigint").alias("epoch"), F.col("doc_id").alias("row_id"), F.inline(st))
+    rep = M.evaluation_report(long, by=["epoch"])
+    per = rep.unpivot(["epoch", "label"], ["auc", "precision", "recall", "f1"], "metric", "value")
+    loss = M.losses(long, by=["epoch"]).filter(F.col("label") == "all") \
+        .select("epoch", "label", F.lit("loss").alias("metric"), F.col("bce").alias("value"))
+    return per.unionByName(loss).select(F.lit(run_id).alias("run_id"), "epoch", F.lit("test").alias("split"),
+                                        "label", "metric", "value")
 
 
 @query("s7_prediction_dump")
