@@ -27,29 +27,41 @@ def md5_key(seed, key_col) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
 
 
-def rank_cut_points(units: DataFrame, hash_col: str, key_col: str, cuts: list[int]) -> list[tuple | None]:
-    """Element (hash, key) at each 0-based rank in ``cuts`` (None when the rank is past the end)."""
+def bucket_counts(units: DataFrame, hash_col: str) -> list[tuple[str, int]]:
+    """Rows per hash-prefix bucket (at most 65,536 rows reach the driver), sorted by bucket."""
     bucket = F.substring(F.col(hash_col), 1, HASH_BUCKET_HEX)
-    counts = units.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = sorted((r["b"], r["n"]) for r in counts)
-    out = []
+    rows = units.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["b"], r["n"]) for r in rows)
+
+
+def rank_cut_points(units: DataFrame, hash_col: str, key_col: str, cuts: list[int],
+                    counts: list[tuple[str, int]] | None = None) -> list[tuple | None]:
+    """Element (hash, key) at each 0-based rank in ``cuts`` (None when the rank is past the end).
+
+    Only the buckets holding a cut are ranked, all in one job: the window is partitioned by
+    bucket, so no task sorts more than one bucket (1/65,536 of the units on even hashes).
+    """
+    counts = bucket_counts(units, hash_col) if counts is None else counts
+    targets = {}
     for c in cuts:
-        before, found = 0, None
+        before = 0
         for b, n in counts:
             if c < before + n:
-                found = (b, c - before)
+                targets[c] = (b, c - before + 1)
                 break
             before += n
-        if found is None:
-            out.append(None)
-            continue
-        b, j = found
-        w = Window.orderBy(F.col(hash_col), F.col(key_col))
-        row = (units.filter(bucket == F.lit(b))
-               .select(hash_col, key_col, F.row_number().over(w).alias("_rn"))
-               .filter(F.col("_rn") == j + 1).select(hash_col, key_col).collect()[0])
-        out.append((row[0], row[1]))
-    return out
+    if not targets:
+        return [None for _ in cuts]
+    bucket = F.substring(F.col(hash_col), 1, HASH_BUCKET_HEX)
+    wanted = sorted(set(targets.values()))
+    w = Window.partitionBy("_b").orderBy(F.col(hash_col), F.col(key_col))
+    ranked = (units.withColumn("_b", bucket).filter(F.col("_b").isin(sorted({b for b, _ in wanted})))
+              .select("_b", hash_col, key_col, F.row_number().over(w).alias("_rn")))
+    hit = F.lit(False)
+    for b, r in wanted:
+        hit = hit | ((F.col("_b") == F.lit(b)) & (F.col("_rn") == F.lit(r)))
+    found = {(row["_b"], row["_rn"]): (row[hash_col], row[key_col]) for row in ranked.filter(hit).collect()}
+    return [found[targets[c]] if c in targets else None for c in cuts]
 
 
 def before_cut(hash_col: str, key_col: str, cut) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import SPLIT_SEED, VALIDATION_SHARE
-from .ranking import before_cut, md5_key, rank_cut_points
+from .ranking import before_cut, bucket_counts, md5_key, rank_cut_points
 
 
 def _units(df: DataFrame, unit: str, seed, keys_unique: bool) -> DataFrame:
@@ -32,12 +32,13 @@ def random_split(df: DataFrame, key: str, validate: bool = True, train_ratio: fl
     """
     unit = group_key or key
     units = _units(df, unit, seed, keys_unique)
-    n = units.count()
+    counts = bucket_counts(units, "_h")
+    n = sum(c for _, c in counts)
     c_train = int(math.floor(train_ratio * n))
     cuts = [c_train]
     if validate:
         cuts.append(int(math.floor(((1.0 - train_ratio) / 2 + train_ratio) * n)))
-    pts = rank_cut_points(units, "_h", unit, cuts)
+    pts = rank_cut_points(units, "_h", unit, cuts, counts)
     h = md5_key(seed, unit)
     out = df.withColumn("_h", h)
     label = F.when(before_cut("_h", unit, pts[0]), F.lit("train"))
@@ -51,8 +52,9 @@ def exact_sample(df: DataFrame, key: str, fraction: float, seed: int = SPLIT_SEE
                  keys_unique: bool = False) -> DataFrame:
     """Exactly ``floor(fraction * n)`` keys, the first in md5 order (without replacement)."""
     units = _units(df, key, seed, keys_unique)
-    n = units.count()
-    pts = rank_cut_points(units, "_h", key, [int(math.floor(fraction * n))])
+    counts = bucket_counts(units, "_h")
+    n = sum(c for _, c in counts)
+    pts = rank_cut_points(units, "_h", key, [int(math.floor(fraction * n))], counts)
     return df.withColumn("_h", md5_key(seed, key)).filter(before_cut("_h", key, pts[0])).drop("_h")
 
 
@@ -76,9 +78,10 @@ def cohort_split(df: DataFrame, key: str, site_col: str, site, version_col: str,
         return out
     train = out.filter(F.col(split_col) == "train")
     units = _units(train, key, seed, keys_unique)
-    n = units.count()
+    counts = bucket_counts(units, "_h")
+    n = sum(c for _, c in counts)
     k = int(round(validation_share * n))  # Python round: half to even
-    pts = rank_cut_points(units, "_h", key, [k])
+    pts = rank_cut_points(units, "_h", key, [k], counts)
     is_val = (F.col(split_col) == "train") & before_cut("_h", key, pts[0])
     return (out.withColumn("_h", md5_key(seed, key))
             .withColumn(split_col, F.when(is_val, F.lit("validation")).otherwise(F.col(split_col)))
