@@ -180,12 +180,19 @@ def sort_group_concat(df: DataFrame, by: list[str], agg: str, sort_by: str, sele
 
 # ---------------------------------------------------------------- A8/A9: categorical labels
 def frequent_values(df: DataFrame, col: str, cut: float = K.RARE_CUT) -> list:
-    """Values whose share of the non-null rows is at least ``cut``; at most ``1/cut`` of them."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    # the window runs over the aggregated value counts, not over rows
-    kept = counts.select(col, (F.col("n") / total).alias("share")).filter(F.col("share") >= F.lit(cut))
-    rows = kept.limit(int(1 / cut) + 2).collect() if cut > 0 else counts.collect()
+    """Values whose share of the non-null rows is at least ``cut``; at most ``1/cut`` of them.
+
+    One aggregate gives the non-null total; the per-value counts are then filtered against
+    ``cut * total`` (no window over the value table, which can be as large as the column)."""
+    nn = df.filter(F.col(col).isNotNull())
+    total = nn.count()
+    if total == 0:
+        return []
+    counts = nn.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    # share >= cut  <=>  n >= cut * total  (compared in the same double arithmetic as the share)
+    kept = counts.filter((F.col("n") / F.lit(float(total))) >= F.lit(cut))
+    limit = int(1 / cut) + 2 if cut > 0 else None
+    rows = kept.limit(limit).collect() if limit else kept.collect()
     return [r[col] for r in rows]
 
 

@@ -311,6 +311,8 @@ def oracle_sql() -> dict[str, str]:
     cpt = ", ".join(f"{r6('CPT_' + c)} AS CPT_{c}" for c in CODES)
     o["s4_code_features"] = (f"SELECT f.l_orderkey, strftime(o.o_orderdate, '%Y-%m-%d') AS order_date, {cpt} "
                              f"FROM ({code_pivot()}) f JOIN orders o ON f.l_orderkey = o.o_orderkey")
+    o["s5_split_export"] = (f"SELECT doc_id, lang FROM ({split_rank('documents', 'doc_id')}) "
+                            "WHERE rn >= floor((((1.0::DOUBLE - 0.8::DOUBLE) / 2.0::DOUBLE) + 0.8::DOUBLE) * n)")
     o["s6_results_table"] = (f"WITH {report_ctes()} SELECT label, {r6('auc')} AS valid_auc, {r6('f1')} AS valid_f1, "
                              f"{r6('precision')} AS valid_precision, {r6('recall')} AS valid_recall FROM report")
     o["s7_prediction_dump"] = (f"WITH {report_ctes()} SELECT 'run0' AS run_id, CAST(0 AS BIGINT) AS epoch, row_id, label, "
@@ -483,6 +485,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array({ptext}, '\\*+'), "
         f"lambda p: regexp_matches(p, {q(marker)})), lambda p: regexp_extract(p, {q('(?s)(?:' + marker.replace('(?i)', '') + ')(.*)')}, 1, 'i')), chr(10)) "
         f"AS procedure FROM documents")
+    drop = lst(K.SECTIONS_TO_REMOVE)
+    o["t15_remove_sections"] = (
+        f"SELECT doc_id, array_to_string(list_filter(list_concat([trim(parts[1])], list_transform(list_filter("
+        f"list_zip(h, parts[2:]), lambda e: NOT list_contains({drop}, trim(e[1]))), lambda e: trim(e[1]) || ': ' || trim(e[2]))), "
+        f"lambda x: x <> ''), ' ') AS report FROM (SELECT doc_id, regexp_extract_all(t, {q(SECTION_HEADER)}, 1) AS h, "
+        f"regexp_split_to_array(t, {q(SECTION_HEADER)}) AS parts FROM (SELECT doc_id, {stext} AS t FROM documents))")
     o["t16_dict_column"] = ("SELECT key, CAST(count(*) AS BIGINT) AS n, round(SUM(TRY_CAST(value AS DOUBLE)), 6) AS total FROM "
                             "(SELECT k AS key, json_extract_string(j, '$.\"' || k || '\"') AS value FROM (SELECT j, unnest(json_keys(j)) AS k "
                             "FROM (SELECT replace(replace(props, '''', '\"'), 'u\"', '\"') AS j FROM events))) GROUP BY key")

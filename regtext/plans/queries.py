@@ -94,6 +94,17 @@ def s4(spark, sf):
     return f.join(o, "l_orderkey").select("l_orderkey", "order_date", *[r6(c).alias(c) for c in codes])
 
 
+@query("s5_split_export")
+def s5(spark, sf):
+    """Write the R1 split partitioned by split under the checkpoint folder; read the held-out part back."""
+    from ..session import scratch_path
+    import uuid
+    tagged = R.random_split(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    path = scratch_path(spark, f"s5-{uuid.uuid4().hex}")
+    SINK.write_split(tagged, path)
+    return spark.read.parquet(f"{path}/split=test")
+
+
 @query("s6_results_table")
 def s6(spark, sf):
     rep = M.evaluation_report(scored_long(spark, sf))
