@@ -38,9 +38,16 @@ def _arr(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+# the same characters spelled out, for translate(): every one becomes a plain space
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+                  + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_split(col) -> Column:
-    """Python ``str.split()``: whitespace runs, no empty tokens."""
-    return F.filter(F.split(_c(col), PY_SPACE + "+"), lambda x: x != "")
+    """Python ``str.split()``: whitespace runs, no empty tokens. Whitespace is mapped to spaces
+    with ``translate`` (no regex) and the text split on the single space."""
+    ws = F.translate(_c(col), PY_SPACE_CHARS, " " * len(PY_SPACE_CHARS))
+    return F.filter(F.split(ws, " "), lambda x: x != "")
 
 
 def space_tokens(col) -> Column:
@@ -92,10 +99,18 @@ def keywords(col, lemma: dict[str, str] | None = None) -> Column:
     s = F.array_join(F.filter(py_split(s), lambda x: ~x.isin(K.UNITS_T1)), " ")
     s = F.regexp_replace(s, r"\p{Nd}+", "")
     s = F.array_join(F.filter(space_tokens(s), lambda x: F.length(x) > 1), " ")
-    s = F.regexp_replace(s, "[^A-Za-z0-9]+", " ")
-    for a, b in K.TOKENIZER_SPLITS:
+    # runs of other characters become a space; spaces themselves need no match (tokens are
+    # re-split on spaces below, so the token list is the same as with [^A-Za-z0-9]+)
+    s = F.regexp_replace(s, "[^A-Za-z0-9 ]+", " ")
+    # the word tokenizer's contraction splits in one regex pass (``wanna`` only before another
+    # word); a group that did not take part in the match is replaced by nothing
+    alts, firsts, seconds = [], [], []
+    for i, (a, b) in enumerate(K.TOKENIZER_SPLITS):
         tail = "(?= )" if (a, b) == ("wan", "na") else r"\b"
-        s = F.regexp_replace(s, rf"\b({a})({b}){tail}", "$1 $2")
+        alts.append(rf"\b({a})({b}){tail}")
+        firsts.append(f"${2 * i + 1}")
+        seconds.append(f"${2 * i + 2}")
+    s = F.regexp_replace(s, "|".join(alts), "".join(firsts) + " " + "".join(seconds))
     stop = K.stopwords(keep=K.KEEP_T1)
     toks = F.filter(space_tokens(s), lambda x: (F.length(x) > 1) & ~x.isin(stop))
     if lemma:

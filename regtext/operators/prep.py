@@ -44,9 +44,16 @@ def min_words_filter(df: DataFrame, col: str, min_words: int = 1) -> DataFrame:
 
 
 def empty_to_null(df: DataFrame, col: str, drop: bool = True) -> DataFrame:
-    """P5: '' -> NULL, then drop the NULL rows."""
-    out = df.withColumn(col, F.nullif(F.col(col), F.lit("")))
-    return out.na.drop(subset=[col]) if drop else out
+    """P5: '' -> NULL, then drop the NULL rows.
+
+    The value passes through a one-element outer generator before the filter: a filter on a
+    derived column would otherwise be pushed below the projection (and below any repartition)
+    and evaluate a long cleaning chain twice, the first time in the scan task."""
+    if not drop:
+        return df.withColumn(col, F.nullif(F.col(col), F.lit("")))
+    others = [c for c in df.columns if c != col]
+    out = df.select(*others, F.explode_outer(F.array(F.nullif(F.col(col), F.lit("")))).alias(col))
+    return out.filter(F.col(col).isNotNull()).select(*df.columns)
 
 
 def labels_to_int(df: DataFrame, labels: list[str], fill: int = 0) -> DataFrame:

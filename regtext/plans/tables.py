@@ -50,7 +50,7 @@ def scored_long(spark: SparkSession, sf_dir: str, epoch: int | Column = 0) -> Da
 
 
 def measurement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     return li.select("l_orderkey", "l_linenumber",
                      F.concat(F.lit("EF "), F.col("l_quantity").cast("string"), F.lit(" cm on "),
                               F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(", gave "),
@@ -58,7 +58,7 @@ def measurement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     return ev.select("event_id", F.concat(F.col("event_type"), F.lit(" seen in "), F.date_format("ts", "MMMM"),
                                           F.lit(" on "), F.date_format("ts", "dd/MM/yyyy"), F.lit(" at "),
                                           F.date_format("ts", "HH:mm"), F.lit(" pm, Mayo examined")).alias("text"))
