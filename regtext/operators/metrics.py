@@ -102,18 +102,28 @@ def optimal_thresholds(curve: DataFrame, by: tuple = ()) -> DataFrame:
 
 def label_stats(cum: DataFrame, by: tuple = ()) -> DataFrame:
     """M7 + M8 + M10 in one aggregate over the cumulative table ->
-    (by.., label, auc, ap, threshold): ROC AUC, average precision and the tuned threshold."""
+    (by.., label, auc, ap, threshold, tp, fp, fn, tn, P, N): ROC AUC, average precision, the tuned
+    threshold and the confusion counts of ``score > threshold`` -- read off the same rows (at the
+    chosen threshold row, rows strictly above it are ``tp - pos`` / ``fp - neg``), so the scored
+    rows are not scanned a second time. A label without a curve predicts nothing positive."""
     contrib = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / F.lit(2.0))
     prec = F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")
     rec = F.col("tp") / F.col("P").cast("double")
     on_curve = ((F.col("tp") - F.col("pos")) < F.col("P")) & (F.col("P") > 0) & ((F.col("tp") + F.col("fp")) > 0)
     # rows off the curve get a NULL ordering and are skipped by min_by
     order = F.when(on_curve, F.struct(F.abs(prec - rec).alias("gap"), F.col(SCORE).alias("t")))
-    return cum.groupBy(*_g(by)).agg(
+    pick = F.struct(F.col(SCORE).alias("threshold"), (F.col("tp") - F.col("pos")).alias("tp_gt"),
+                    (F.col("fp") - F.col("neg")).alias("fp_gt"))
+    agg = cum.groupBy(*_g(by)).agg(
         safe_div(F.sum(contrib), F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
         F.when(F.first("P") > 0, F.sum(F.when(F.col("P") > 0, (F.col("pos") / F.col("P").cast("double")) * prec)))
         .alias("ap"),
-        F.min_by(F.col(SCORE), order).alias("threshold"))
+        F.min_by(pick, order).alias("_pick"), F.first("P").alias("P"), F.first("N").alias("N"))
+    tp = F.coalesce(F.col("_pick.tp_gt"), F.lit(0)).cast("bigint")
+    fp = F.coalesce(F.col("_pick.fp_gt"), F.lit(0)).cast("bigint")
+    return agg.select(*_g(by), "auc", "ap", F.col("_pick.threshold").alias("threshold"), tp.alias("tp"),
+                      fp.alias("fp"), (F.col("P") - tp).cast("bigint").alias("fn"),
+                      (F.col("N") - fp).cast("bigint").alias("tn"), "P", "N")
 
 
 # ---------------------------------------------------------------- confusion counts
@@ -197,17 +207,14 @@ def evaluation_report(long: DataFrame, auc: str = "roc", average: str = "micro",
     by = list(by)
     g = _g(by)
     cum = cumulative_counts(with_micro(long, POOLED) if average == "micro" else long, score_buckets, by=by)
-    stats = label_stats(cum, by).withColumnRenamed("auc", "roc").withColumnRenamed("ap", "pr") \
-        .withColumn("auc", F.col("roc" if auc == "roc" else "pr")).drop("roc", "pr")
-    counts = confusion(tuned_predictions(long, stats.select(*g, "threshold"), by), F.col("pred"), by)
-    per_out = prf(counts).join(F.broadcast(stats), g, "left") \
-        .select(*g, "auc", "threshold", "precision", "recall", "f1")
+    stats = label_stats(cum, by).withColumn("auc", F.col("auc" if auc == "roc" else "ap"))
+    counts = stats.filter(F.col(LABEL) != POOLED).select(*g, "tp", "fp", "fn", "tn")
+    per_out = prf(stats.filter(F.col(LABEL) != POOLED)).select(*g, "auc", "threshold", "precision", "recall", "f1")
     avg = averaged_prf(counts, average, by)
     if average == "micro":
         auc_avg = stats.filter(F.col(LABEL) == POOLED).select(*by, F.col("auc").alias("_auc"))
     else:
-        sup = counts.select(*g, (F.col("tp") + F.col("fn")).alias("support"))
-        rm = stats.filter(F.col(LABEL) != POOLED).join(sup, g)
+        rm = stats.filter(F.col(LABEL) != POOLED).select(*g, "auc", (F.col("tp") + F.col("fn")).alias("support"))
         auc_avg = rm.groupBy(*by).agg((F.avg("auc") if average == "macro" else
                                        safe_div(F.sum(F.col("auc") * F.col("support")), F.sum("support"))).alias("_auc"))
     # both sides hold one row per group: stack them and fold (no join needed)
@@ -217,8 +224,7 @@ def evaluation_report(long: DataFrame, auc: str = "roc", average: str = "micro",
                                     *[nul.alias(c) for c in ("precision", "recall", "f1")], "_auc"))
     avg_row = stacked.groupBy(*by).agg(F.max("average").alias(LABEL), F.max("_auc").alias("auc"),
                                        nul.alias("threshold"), *[F.max(c).alias(c) for c in ("precision", "recall", "f1")])
-    return per_out.filter(F.col(LABEL) != POOLED).unionByName(avg_row.select(*g, "auc", "threshold", "precision",
-                                                                              "recall", "f1"))
+    return per_out.unionByName(avg_row.select(*g, "auc", "threshold", "precision", "recall", "f1"))
 
 
 def logits_report(long_logits: DataFrame, threshold: float = 0.5, score_buckets: int = 4096) -> DataFrame:

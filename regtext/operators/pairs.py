@@ -22,23 +22,32 @@ def expand_abbreviations(col, dictionary: dict[str, list[str]]) -> Column:
     """Replace every space-separated token found in ``dictionary`` by its expansion; with
     several candidates, the one occurring most often in the same text wins (ties: first listed).
 
-    The dictionary is a bounded literal map evaluated inside the projection (no shuffle).
+    Per document the best expansion is computed once for each dictionary key the text contains
+    (presence is a hash-set ``IN``); tokens are then looked up in that small per-row map. The
+    dictionary is a bounded literal (no shuffle, no join).
     """
     if len(dictionary) > MAX_LITERAL_DICTIONARY:
         raise ValueError("dictionary too large for a literal map")
     text = F.col(col) if isinstance(col, str) else col
-    m = F.create_map(*[x for k in sorted(dictionary) for x in (F.lit(k), F.array(*[F.lit(v) for v in dictionary[k]]))])
+    keys = sorted(dictionary)
+    m = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.lit(v) for v in dictionary[k]]))])
     init = F.struct(F.lit(-1).cast("bigint").alias("n"), F.lit(None).cast("string").alias("best"))
 
-    def pick(tok):
-        cands = F.try_element_at(m, tok)
-        best = F.aggregate(cands, init,
-                           lambda acc, c: F.when(_occurrences(text, c) > acc["n"],
-                                                 F.struct(_occurrences(text, c).alias("n"), c.alias("best")))
-                           .otherwise(acc))
-        return F.coalesce(best["best"], tok)
-
-    return F.array_join(F.transform(F.split(text, " "), pick), " ")
+    def best_of(t, cands):
+        return F.aggregate(cands, init, lambda acc, c: F.when(_occurrences(t, c) > acc["n"],
+                                                               F.struct(_occurrences(t, c).alias("n"), c.alias("best")))
+                           .otherwise(acc))["best"]
+
+    def expand(t):
+        def with_tokens(toks):
+            present = F.array_distinct(F.filter(toks, lambda x: x.isin(keys)))
+            best = F.map_from_arrays(present, F.transform(present, lambda k: best_of(t, F.element_at(m, k))))
+            # bound once per row: an expression inside the per-token lambda would be re-evaluated per token
+            return let(best, lambda bm: F.array_join(
+                F.transform(toks, lambda x: F.coalesce(F.try_element_at(bm, x), x)), " "))
+        return let(F.split(t, " "), with_tokens)
+
+    return let(text, expand)
 
 
 def _grams(df: DataFrame, key: str, text_col: str, k: int, unit: str) -> DataFrame:

@@ -109,7 +109,7 @@ def s5(spark, sf):
 def s6(spark, sf):
     rep = M.evaluation_report(scored_long(spark, sf))
     long = rep.unpivot(["label"], ["auc", "precision", "recall", "f1"], "metric", "value")
-    t = SINK.results_table(long)
+    t = SINK.results_table(long, metrics=["auc", "f1", "precision", "recall"])
     return t.select("label", *[r6(c).alias(c) for c in t.columns if c != "label"])
 
 

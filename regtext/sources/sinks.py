@@ -12,9 +12,10 @@ def write_split(df: DataFrame, path: str, split_col: str = "split", fmt: str = "
     df.write.mode(mode).partitionBy(split_col).format(fmt).save(path)
 
 
-def results_table(metrics_long: DataFrame, prefix: str = "valid_") -> DataFrame:
-    """Long (label, metric, value) -> one row per label, one column per metric."""
-    piv = metrics_long.groupBy("label").pivot("metric").agg(F.first("value"))
+def results_table(metrics_long: DataFrame, prefix: str = "valid_", metrics: list[str] | None = None) -> DataFrame:
+    """Long (label, metric, value) -> one row per label, one column per metric. Giving the
+    metric names saves the job that would look up the distinct values."""
+    piv = metrics_long.groupBy("label").pivot("metric", metrics).agg(F.first("value"))
     return piv.select("label", *[F.col(c).alias(prefix + c) for c in piv.columns if c != "label"])
 
 
