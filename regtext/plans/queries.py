@@ -99,7 +99,7 @@ def s5(spark, sf):
     """Write the R1 split partitioned by split under the checkpoint folder; read the held-out part back."""
     from ..session import scratch_path
     import uuid
-    tagged = R.random_split(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    tagged = R.random_split(table(spark, sf, "documents", heavy=False).select("doc_id", "lang"), "doc_id")
     path = scratch_path(spark, f"s5-{uuid.uuid4().hex}")
     SINK.write_split(tagged, path)
     return spark.read.parquet(f"{path}/split=test")
@@ -158,7 +158,7 @@ def p1(spark, sf):
 
 @query("p2_drop_nulls")
 def p2(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    d = table(spark, sf, "documents", heavy=False).select("doc_id", "lang", "n_chars")
     j = d.join(table(spark, sf, "labels"), "doc_id", "left")
     return P.drop_nulls(j).select("doc_id", "lang", "n_chars", F.col("quality").cast("bigint"),
                                   F.col("toxic").cast("bigint"))
@@ -184,7 +184,7 @@ def p5(spark, sf):
 
 @query("p6_label_cast_fill")
 def p6(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
+    d = table(spark, sf, "documents", heavy=False).select("doc_id")
     j = d.join(table(spark, sf, "labels"), "doc_id", "left")
     return P.labels_to_int(j, ["quality", "toxic"]).select(
         "doc_id", F.col("quality").cast("bigint"), F.col("toxic").cast("bigint"))
@@ -224,7 +224,7 @@ def p10(spark, sf):
 # ======================================================================= J: joins
 @query("j1_notes_registry")
 def j1(spark, sf):
-    notes = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    notes = table(spark, sf, "documents", heavy=False).select("doc_id", "lang", "source", "n_chars")
     out = P.join_registry(notes, table(spark, sf, "labels"), ["doc_id"], ["quality", "toxic"])
     return out.select("doc_id", F.col("quality").cast("bigint"), F.col("toxic").cast("bigint"), "lang", "source",
                       "n_chars")
@@ -360,7 +360,7 @@ def a11(spark, sf):
 
 
 def _labels_on_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return table(spark, sf, "documents", heavy=False).select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
 
 
 @query("a12_loss_weights")
@@ -381,7 +381,7 @@ def a13(spark, sf):
 
 @query("a14_mean_ci")
 def a14(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", heavy=False)
     out = A.mean_ci(d, "n_chars", ["lang"])
     return out.select("lang", "n", *[r6(c).alias(c) for c in ("mean", "std", "half_width", "ci_lower", "ci_upper")])
 
@@ -399,19 +399,19 @@ def a16(spark, sf):
 # ======================================================================= R: splits
 @query("r1_random_split")
 def r1(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
+    d = table(spark, sf, "documents", heavy=False).select("doc_id")
     return R.random_split(d, "doc_id", validate=True)
 
 
 @query("r2_cohort_split")
 def r2(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    d = table(spark, sf, "documents", heavy=False).select("doc_id", "lang", "source")
     return R.cohort_split(d, "doc_id", "lang", "en", "source", "src0", validate=True).select("doc_id", "split")
 
 
 @query("r3_exact_sample")
 def r3(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang")
+    d = table(spark, sf, "documents", heavy=False).select("doc_id", "lang")
     return R.exact_sample(d, "doc_id", 0.1)
 
 

@@ -26,9 +26,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> DataFrame:
+    """Scan one driver table; ``heavy=False`` for queries that read only keys and numbers."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in CPU_HEAVY else df
+    return spread(df) if heavy and name in CPU_HEAVY else df
 
 
 def r6(c) -> Column:
