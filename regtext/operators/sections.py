@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import PY_SPACE, lines, sentences, space_tokens
+from ..functions.text import PY_SPACE, keywords, lines, sentences, space_tokens
 
 SECTION_HEADER = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z ]*):"
 
@@ -64,8 +64,13 @@ def flatten_to_rows(df: DataFrame, key: str, nested_col: str) -> DataFrame:
              .filter(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def sentence_tokens(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """K5: per document the sentences as word lists -> ``ARRAY<ARRAY<STRING>>`` column ``tokens``."""
+def sentence_tokens(df: DataFrame, key: str, text_col: str, preprocess: bool = False) -> DataFrame:
+    """K5: per document the sentences as word lists -> ``ARRAY<ARRAY<STRING>>`` column ``tokens``.
+
+    With ``preprocess`` the text is first keyword-normalised (T1), as the original tokenizer does;
+    that text keeps no sentence punctuation, so it is one sentence of keyword tokens."""
+    if preprocess:
+        return df.select(key, F.array(space_tokens(keywords(text_col))).alias("tokens"))
     return df.select(key, F.transform(sentences(text_col),
                                       lambda s: space_tokens(F.regexp_replace(F.lower(s), PY_SPACE + "+", " ")))
                      .alias("tokens"))

@@ -534,6 +534,8 @@ def oracle_sql() -> dict[str, str]:
                                f"array_to_string(t, ' ')), chr(10)) AS tokens FROM (SELECT doc_id, {sentence_token_lists('text')} AS tl "
                                f"FROM documents)")
 
+    o["k5b_keyword_tokens"] = (f"SELECT doc_id, CAST(1 AS BIGINT) AS n_sentences, CAST(len({space_tokens('kw')}) AS BIGINT) AS n_tokens, "
+                               f"array_to_string({space_tokens('kw')}, ' ') AS tokens FROM (SELECT doc_id, {keywords('text')} AS kw FROM documents)")
     base = f"long AS ({long_cte()})"
     o["m4_pr_curve"] = (f"WITH {base}, cum AS ({cum_cte('long')}), curve AS ({CURVE}) SELECT label, {r6('threshold')} AS threshold, "
                         f"{r6('precision')} AS precision, {r6('recall')} AS recall, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM curve")

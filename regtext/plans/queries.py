@@ -580,6 +580,14 @@ def k5(spark, sf):
                     F.array_join(F.transform("tokens", lambda t: F.array_join(t, " ")), "\n").alias("tokens"))
 
 
+@query("k5b_keyword_tokens")
+def k5b(spark, sf):
+    k = S.sentence_tokens(table(spark, sf, "documents"), "doc_id", "text", preprocess=True)
+    return k.select("doc_id", F.size("tokens").cast("bigint").alias("n_sentences"),
+                    F.size(F.element_at("tokens", 1)).cast("bigint").alias("n_tokens"),
+                    F.array_join(F.element_at("tokens", 1), " ").alias("tokens"))
+
+
 # ======================================================================= M: evaluation
 @query("m4_pr_curve")
 def m4(spark, sf):
