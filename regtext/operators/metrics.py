@@ -208,23 +208,36 @@ def evaluation_report(long: DataFrame, auc: str = "roc", average: str = "micro",
     g = _g(by)
     cum = cumulative_counts(with_micro(long, POOLED) if average == "micro" else long, score_buckets, by=by)
     stats = label_stats(cum, by).withColumn("auc", F.col("auc" if auc == "roc" else "ap"))
-    counts = stats.filter(F.col(LABEL) != POOLED).select(*g, "tp", "fp", "fn", "tn")
     per_out = prf(stats.filter(F.col(LABEL) != POOLED)).select(*g, "auc", "threshold", "precision", "recall", "f1")
-    avg = averaged_prf(counts, average, by)
+    avg_row = _average_row(prf(stats), average, by)
+    return per_out.unionByName(avg_row.select(*g, "auc", "threshold", "precision", "recall", "f1"))
+
+
+def _average_row(per: DataFrame, average: str, by: list[str]) -> DataFrame:
+    """The averaged report row per ``by`` group, as one conditional aggregate over the per-label
+    table (pooled row included for the micro AUC): micro pools the counts, macro averages the
+    per-label values, weighted weighs them by support; undefined values count as 0."""
+    real = F.col(LABEL) != POOLED
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    sup = (F.col("tp") + F.col("fn")).cast("double")
+    nul = F.lit(None).cast("double")
     if average == "micro":
-        auc_avg = stats.filter(F.col(LABEL) == POOLED).select(*by, F.col("auc").alias("_auc"))
+        tp, fp, fn = (F.sum(F.when(real, F.col(c))) for c in ("tp", "fp", "fn"))
+        p, r = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
+        f1 = safe_div(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn)
+        cols = [F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0)), F.coalesce(f1, F.lit(0.0))]
+        auc = F.max(F.when(~real, F.col("auc")))
+    elif average == "macro":
+        cols = [F.avg(F.when(real, z(c))) for c in ("precision", "recall", "f1")]
+        auc = F.avg(F.when(real, F.col("auc")))
+    elif average == "weighted":
+        w = F.sum(F.when(real, sup))
+        cols = [safe_div(F.sum(F.when(real, z(c) * sup)), w) for c in ("precision", "recall", "f1")]
+        auc = safe_div(F.sum(F.when(real, F.col("auc") * sup)), w)
     else:
-        rm = stats.filter(F.col(LABEL) != POOLED).select(*g, "auc", (F.col("tp") + F.col("fn")).alias("support"))
-        auc_avg = rm.groupBy(*by).agg((F.avg("auc") if average == "macro" else
-                                       safe_div(F.sum(F.col("auc") * F.col("support")), F.sum("support"))).alias("_auc"))
-    # both sides hold one row per group: stack them and fold (no join needed)
-    nul = F.lit(None).cast("double")
-    stacked = avg.select(*by, "average", "precision", "recall", "f1", nul.alias("_auc")) \
-        .unionByName(auc_avg.select(*by, F.lit(None).cast("string").alias("average"),
-                                    *[nul.alias(c) for c in ("precision", "recall", "f1")], "_auc"))
-    avg_row = stacked.groupBy(*by).agg(F.max("average").alias(LABEL), F.max("_auc").alias("auc"),
-                                       nul.alias("threshold"), *[F.max(c).alias(c) for c in ("precision", "recall", "f1")])
-    return per_out.unionByName(avg_row.select(*g, "auc", "threshold", "precision", "recall", "f1"))
+        raise ValueError(average)
+    return per.groupBy(*by).agg(F.lit(average).alias(LABEL), auc.alias("auc"), nul.alias("threshold"),
+                                *[c.alias(n) for c, n in zip(cols, ("precision", "recall", "f1"))])
 
 
 def logits_report(long_logits: DataFrame, threshold: float = 0.5, score_buckets: int = 4096) -> DataFrame:
