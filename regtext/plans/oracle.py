@@ -536,6 +536,18 @@ def oracle_sql() -> dict[str, str]:
 
     o["k5b_keyword_tokens"] = (f"SELECT doc_id, CAST(1 AS BIGINT) AS n_sentences, CAST(len({space_tokens('kw')}) AS BIGINT) AS n_tokens, "
                                f"array_to_string({space_tokens('kw')}, ' ') AS tokens FROM (SELECT doc_id, {keywords('text')} AS kw FROM documents)")
+    o["e1_cohort_build"] = (
+        "WITH n AS (SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations "
+        "WHERE text IS NOT NULL AND role IN ('user', 'assistant') AND conv_id IS NOT NULL GROUP BY conv_id, role), "
+        "j AS (SELECT n.conv_id, role, CAST(COALESCE(CAST(quality AS INTEGER), 0) AS BIGINT) AS quality, "
+        f"CAST(COALESCE(CAST(toxic AS INTEGER), 0) AS BIGINT) AS toxic, {nondiagnostic(history_sections('t'))} AS text "
+        "FROM n JOIN labels l ON n.conv_id = l.doc_id), "
+        "k AS (SELECT * FROM j WHERE text <> ''), "
+        "u AS (SELECT conv_id, row_number() OVER (ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id) - 1 AS rn, "
+        "count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM k)) "
+        "SELECT k.conv_id, role, quality, toxic, text, CASE WHEN rn < floor(0.8::DOUBLE * n) THEN 'train' "
+        "WHEN rn < floor((((1.0::DOUBLE - 0.8::DOUBLE) / 2.0::DOUBLE) + 0.8::DOUBLE) * n) THEN 'validation' ELSE 'test' END AS split "
+        "FROM k JOIN u ON k.conv_id = u.conv_id")
     base = f"long AS ({long_cte()})"
     o["m4_pr_curve"] = (f"WITH {base}, cum AS ({cum_cte('long')}), curve AS ({CURVE}) SELECT label, {r6('threshold')} AS threshold, "
                         f"{r6('precision')} AS precision, {r6('recall')} AS recall, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM curve")

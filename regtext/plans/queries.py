@@ -588,6 +588,15 @@ def k5b(spark, sf):
                     F.array_join(F.element_at("tokens", 1), " ").alias("tokens"))
 
 
+@query("e1_cohort_build")
+def e1(spark, sf):
+    from .cohort import build_cohort
+    conv = table(spark, sf, "conversations")
+    out = build_cohort(conv, table(spark, sf, "labels"), "conv_id", "role", "turn", "text", {"conv_id": "doc_id"},
+                       ["quality", "toxic"], descriptions=DIALOG_ROLES, sectionize=["medical history"])
+    return out.select("conv_id", "role", F.col("quality").cast("bigint"), F.col("toxic").cast("bigint"), "text", "split")
+
+
 # ======================================================================= M: evaluation
 @query("m4_pr_curve")
 def m4(spark, sf):
