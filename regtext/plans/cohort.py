@@ -18,21 +18,29 @@ from ..operators import split as R
 def build_cohort(notes: DataFrame, registry: DataFrame, note_key: str, desc_col: str, line_col: str, text_col: str,
                  registry_keys: dict[str, str], labels: list[str], descriptions: list[str] | None = None,
                  concatenate: bool = True, first_line: int = 1, sectionize: list[str] | None = None,
-                 preprocess: bool = True, split: bool = True, validate: bool = True) -> DataFrame:
-    """-> (note_key, desc, labels..., text, split).
+                 preprocess: bool = True, split: bool = True, validate: bool = True,
+                 carry: list[str] | None = None) -> DataFrame:
+    """-> (note_key, desc, carry..., labels..., text, split).
 
-    ``registry_keys`` maps note columns to registry columns for the inner join (J1).
+    ``registry_keys`` maps note columns to registry columns for the inner join (J1); note columns
+    used as join keys other than the note key and description must be listed in ``carry`` (they
+    stay through the concatenation). Lines are concatenated before the join, which is valid because
+    the join keys are grouping keys, and joins fewer rows. A note matched to several registry rows
+    (e.g. two surgeries) keeps the one with the lowest ``carry`` values.
     """
+    carry = list(carry or [])
+    keys = [note_key, desc_col, *carry]
     n = notes.filter(F.col(text_col).isNotNull())                                           # S1
     if descriptions is not None:
         n = n.filter(F.col(desc_col).isin(descriptions))
     if concatenate:                                                                          # A2
-        n = P.ordered_concat(n, [note_key, desc_col], line_col, text_col, out_col="text")
+        n = P.ordered_concat(n, keys, line_col, text_col, out_col="text")
     else:                                                                                    # P8
-        n = P.first_line(n, line_col, first_line, [note_key, desc_col], [line_col]).select(
-            note_key, desc_col, F.col(text_col).alias("text"))
+        n = P.first_line(n, line_col, first_line, keys, [line_col]).select(*keys, F.col(text_col).alias("text"))
     reg = registry.select(*[F.col(r).alias(k) for k, r in registry_keys.items()], *labels)
     j = P.join_registry(n, reg, list(registry_keys), labels)                                # J1
+    if carry:                                                                                # A1
+        j = P.keyed_dedup(j, [note_key, desc_col], carry)
     j = P.labels_to_int(j, labels)                                                           # P6
     t = F.col("text")
     for s in sectionize or []:                                                               # T12 / T13

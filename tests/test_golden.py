@@ -226,3 +226,19 @@ def test_t1_keywords(spark):
 
 def test_t2_clean_report(spark):
     assert one(spark, X.clean_report, "Impression: No (old) stroke volume, EF 55%.\nNot seen") == "no not seen"
+
+
+def test_cohort_build_carries_join_keys(spark):
+    from regtext.plans.cohort import build_cohort
+    notes = spark.createDataFrame(
+        [(1, "H&P", "p1", "2020-01-01", 2, "second"), (1, "H&P", "p1", "2020-01-01", 1, "first"),
+         (2, "H&P", "p2", "2020-02-02", 1, "Past Medical History: diabetes mellitus"),
+         (3, "OTHER", "p1", "2020-01-01", 1, "ignored note type")],
+        "K_NOTE_KEY long, IP_NOTE_DESC string, PAT_MRN_ID string, Surg_Dt string, LINE int, NOTE_TEXT string")
+    reg = spark.createDataFrame([("p1", "2020-01-01", 1), ("p2", "2020-02-02", None)],
+                                "PAT_MRN_ID string, Surg_Dt string, HX_x int")
+    out = build_cohort(notes, reg, "K_NOTE_KEY", "IP_NOTE_DESC", "LINE", "NOTE_TEXT",
+                       {"PAT_MRN_ID": "PAT_MRN_ID", "Surg_Dt": "Surg_Dt"}, ["HX_x"], descriptions=["H&P"],
+                       sectionize=["medical history"], preprocess=False, split=False, carry=["PAT_MRN_ID", "Surg_Dt"])
+    got = {r.K_NOTE_KEY: (r.HX_x, r.text) for r in out.collect()}
+    assert got == {1: (1, "first\nsecond"), 2: (0, " diabetes mellitus")}
