@@ -34,11 +34,6 @@ def wide_to_long(df: DataFrame, row_id: str, truth_cols: dict[str, str], score_c
     return df.select(F.col(row_id).alias(ROW), F.inline(st))
 
 
-def with_micro(long: DataFrame, name: str = "micro") -> DataFrame:
-    """Append every row again under one pooled label (the micro average of rank metrics)."""
-    return long.unionByName(long.withColumn(LABEL, F.lit(name)))
-
-
 # ---------------------------------------------------------------- cumulative counts
 # Every operator takes ``by``: extra grouping columns (an epoch, a run, a split) evaluated in the
 # same plan, so E epochs cost one job, not E.
@@ -47,11 +42,19 @@ def _g(by) -> list[str]:
 
 
 def cumulative_counts(long: DataFrame, score_buckets: int = 4096, probabilities: bool = True,
-                      by: tuple = ()) -> DataFrame:
-    """(by.., label, score, pos, neg, tp, fp, P, N): tp/fp count rows with score >= this score."""
+                      by: tuple = (), pooled: str | None = None) -> DataFrame:
+    """(by.., label, score, pos, neg, tp, fp, P, N): tp/fp count rows with score >= this score.
+
+    ``pooled`` adds one more label holding all labels together (micro averages of rank metrics).
+    It is built from the per-(label, score) pre-aggregate re-aggregated per score, not by
+    shuffling the scored rows a second time."""
     g = _g(by)
     c = long.groupBy(*g, SCORE).agg(F.sum(F.col(Y).cast("bigint")).alias("pos"),
                                     F.sum((1 - F.col(Y)).cast("bigint")).alias("neg"))
+    if pooled is not None:
+        pool = c.groupBy(*by, SCORE).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) \
+            .withColumn(LABEL, F.lit(pooled))
+        c = c.unionByName(pool)
     s = F.col(SCORE) if probabilities else F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(SCORE)))
     b = F.least(F.greatest(F.floor(s * F.lit(score_buckets)), F.lit(0)), F.lit(score_buckets - 1)).cast("int")
     c = c.withColumn("_b", b)
@@ -206,7 +209,7 @@ def evaluation_report(long: DataFrame, auc: str = "roc", average: str = "micro",
     """
     by = list(by)
     g = _g(by)
-    cum = cumulative_counts(with_micro(long, POOLED) if average == "micro" else long, score_buckets, by=by)
+    cum = cumulative_counts(long, score_buckets, by=by, pooled=POOLED if average == "micro" else None)
     stats = label_stats(cum, by).withColumn("auc", F.col("auc" if auc == "roc" else "ap"))
     per_out = prf(stats.filter(F.col(LABEL) != POOLED)).select(*g, "auc", "threshold", "precision", "recall", "f1")
     avg_row = _average_row(prf(stats), average, by)
@@ -245,7 +248,7 @@ def logits_report(long_logits: DataFrame, threshold: float = 0.5, score_buckets:
     probabilities; per label ROC AUC and F1 at the tuned threshold -> (metric, label, value)."""
     probs = long_logits.withColumn(SCORE, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(SCORE).cast("double"))))
     micro = averaged_prf(confusion(probs, F.col(SCORE) >= F.lit(threshold)), "micro")
-    cum = cumulative_counts(with_micro(probs, POOLED), score_buckets)
+    cum = cumulative_counts(probs, score_buckets, pooled=POOLED)
     aucs = roc_auc(cum)
     thr = optimal_thresholds(pr_curve(cum.filter(F.col(LABEL) != POOLED)))
     tuned = prf(confusion(tuned_predictions(probs, thr), F.col("pred")))

@@ -631,7 +631,7 @@ def m7(spark, sf):
 
 @query("m8_roc_auc")
 def m8(spark, sf):
-    return M.roc_auc(M.cumulative_counts(M.with_micro(scored_long(spark, sf)))).withColumn("auc", r6("auc"))
+    return M.roc_auc(M.cumulative_counts(scored_long(spark, sf), pooled="micro")).withColumn("auc", r6("auc"))
 
 
 @query("m9_losses")
@@ -641,7 +641,7 @@ def m9(spark, sf):
 
 @query("m10_average_precision")
 def m10(spark, sf):
-    return M.average_precision(M.cumulative_counts(M.with_micro(scored_long(spark, sf)))).withColumn("ap", r6("ap"))
+    return M.average_precision(M.cumulative_counts(scored_long(spark, sf), pooled="micro")).withColumn("ap", r6("ap"))
 
 
 @query("m11_evaluation_report")
