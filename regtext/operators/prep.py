@@ -88,6 +88,21 @@ def drop_nan_literal(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (F.col(col) != F.lit("nan")))
 
 
+def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Ingest: floating NaN -> NULL (SQL semantics downstream: NULLs are skipped by aggregates)."""
+    from pyspark.sql.types import DoubleType, FloatType
+    targets = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    return df.select(*[F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) if c in targets else F.col(c)
+                       for c in df.columns])
+
+
+def date_key(col) -> Column:
+    """Ingest: a date kept as text (optionally with a midnight time suffix) or a timestamp -> DATE,
+    so registry joins compare dates, not strings."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.to_date(F.regexp_replace(c.cast("string"), r"[ T]00:00:00(?:\.0+)?$", ""))
+
+
 # ---------------------------------------------------------------- J: joins
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast-hint ``df`` only when a bounded probe proves it has at most ``max_rows`` rows;

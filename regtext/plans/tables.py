@@ -14,6 +14,7 @@ SCORE_MULTIPLIERS = {"quality": 7919, "toxic": 104729}
 
 # tables whose per-row work (regexes over whole texts) is CPU-heavy
 CPU_HEAVY = {"documents"}
+SPREAD_TASKS_PER_CORE = 2
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def spread(df: DataFrame) -> DataFrame:
     nothing is added."""
     sc = df.sparkSession.sparkContext
     if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
+        # a few tasks per core even out documents of very different lengths
+        return df.repartition(sc.defaultParallelism * SPREAD_TASKS_PER_CORE)
     return df
 
 

@@ -242,3 +242,10 @@ def test_cohort_build_carries_join_keys(spark):
                        sectionize=["medical history"], preprocess=False, split=False, carry=["PAT_MRN_ID", "Surg_Dt"])
     got = {r.K_NOTE_KEY: (r.HX_x, r.text) for r in out.collect()}
     assert got == {1: (1, "first\nsecond"), 2: (0, " diabetes mellitus")}
+
+
+def test_ingest_helpers(spark):
+    df = spark.createDataFrame([(1.0, "2020-01-02 00:00:00.000000000"), (float("nan"), "2020-01-03")], "x double, d string")
+    rows = P.nan_to_null(df).select("x", P.date_key("d").alias("d")).collect()
+    assert rows[0].x == 1.0 and rows[1].x is None
+    assert [str(r.d) for r in rows] == ["2020-01-02", "2020-01-03"]
