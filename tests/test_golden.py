@@ -249,3 +249,13 @@ def test_ingest_helpers(spark):
     rows = P.nan_to_null(df).select("x", P.date_key("d").alias("d")).collect()
     assert rows[0].x == 1.0 and rows[1].x is None
     assert [str(r.d) for r in rows] == ["2020-01-02", "2020-01-03"]
+
+
+def test_s4_code_features_zero_fill_and_dates(spark):
+    from regtext.sources.notes import code_features
+    df = spark.createDataFrame([("m1", "2020-01-02 00:00:00.000000000", "33533", 1),
+                                ("m1", "2020-01-02 00:00:00.000000000", "33510", 2),
+                                ("m2", "2021-05-06", "33510", 1)], "CCF_MRN string, Surg_Dt string, code string, n int")
+    out = {r.CCF_MRN: r for r in code_features(df, "CCF_MRN", "Surg_Dt", "code", "n").collect()}
+    assert str(out["m1"].Surg_Dt) == "2020-01-02" and out["m1"].CPT_33533 == 1 and out["m1"].CPT_33510 == 2
+    assert out["m2"].CPT_33533 == 0
