@@ -3,9 +3,9 @@
 Input is a long table ``(row_id, label, y_true, score)``. Curves and rank statistics need
 cumulative sums over descending score per label. They are built in two levels so that no task
 sorts a whole label: scores are first pre-aggregated per (label, score); the distinct scores are
-cut into ``score_buckets`` equal-width buckets on [0, 1] (probabilities; other scores go through a
-sigmoid, which keeps the order); per-bucket totals give each bucket its base, and the running
-sum inside a bucket is a window partitioned by (label, bucket).
+cut into ``score_buckets`` equal-width buckets of the logit (probabilities; raw scores are taken as
+logits), an order-preserving map that keeps crowded tails apart; per-bucket totals give each bucket
+its base, and the running sum inside a bucket is a window partitioned by (label, bucket).
 
 All ratios are DOUBLE (``sum(int)/2`` would be DECIMAL) and undefined ratios are NULL.
 """
@@ -55,8 +55,16 @@ def cumulative_counts(long: DataFrame, score_buckets: int = 4096, probabilities:
         pool = c.groupBy(*by, SCORE).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) \
             .withColumn(LABEL, F.lit(pooled))
         c = c.unionByName(pool)
-    s = F.col(SCORE) if probabilities else F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(SCORE)))
-    b = F.least(F.greatest(F.floor(s * F.lit(score_buckets)), F.lit(0)), F.lit(score_buckets - 1)).cast("int")
+    # bucket on the logit (order-preserving): scores crowded near 0 or 1, as rare labels produce,
+    # still spread over many buckets; raw scores (logits) are used as they are
+    if probabilities:
+        p = F.least(F.greatest(F.col(SCORE), F.lit(1e-12)), F.lit(1.0 - 1e-12))
+        z = F.log(p / (F.lit(1.0) - p))
+    else:
+        z = F.col(SCORE).cast("double")
+    r = 30.0
+    zc = F.least(F.greatest(z, F.lit(-r)), F.lit(r))
+    b = F.least(F.floor((zc + F.lit(r)) / F.lit(2 * r) * F.lit(score_buckets)), F.lit(score_buckets - 1)).cast("int")
     c = c.withColumn("_b", b)
     tot = c.groupBy(*g, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)

@@ -63,3 +63,17 @@ def test_swapped_classes(spark):
     a1 = M.roc_auc(M.cumulative_counts(df)).collect()[0].auc
     flipped = df.withColumn("y_true", 1 - F.col("y_true")).withColumn("score", 1 - F.col("score"))
     assert M.roc_auc(M.cumulative_counts(flipped)).collect()[0].auc == pytest.approx(a1)
+
+
+def test_bucketing_does_not_change_results(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 200)
+    s = np.round(rng.random(200) ** 6, 4)  # crowded near 0, with ties
+    df = spark.createDataFrame([(i, "a", int(a), float(b)) for i, (a, b) in enumerate(zip(y, s))],
+                               "row_id long, label string, y_true int, score double")
+    ref = None
+    for nb in (1, 7, 4096):
+        r = M.label_stats(M.cumulative_counts(df, score_buckets=nb)).collect()[0]
+        got = (round(r.auc, 12), round(r.ap, 12), r.threshold, r.tp, r.fp, r.fn, r.tn)
+        ref = ref or got
+        assert got == ref
