@@ -45,3 +45,18 @@ def start_note_cleaning(spark: SparkSession, source_dir: str, schema: StructType
         .outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def concat_note_stream(lines: DataFrame, keys: list[str], line_col: str, text_col: str, time_col: str,
+                       gap: str = "10 minutes", delay: str = "30 minutes", sep: str = "\n",
+                       out_col: str = "concat_text") -> DataFrame:
+    """A2 on a stream: note lines arriving over time are grouped per note into event-time sessions
+    (a note is complete once no line arrived for ``gap``) and concatenated in line order. The
+    watermark (``delay``) bounds the state: a session is emitted, in append mode, once the
+    watermark passes its end, and its state is dropped."""
+    base = lines.filter(F.col(text_col).isNotNull()).withWatermark(time_col, delay)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(line_col).alias("k"), F.col(text_col).alias("t"))))
+    return (base.groupBy(*keys, F.session_window(F.col(time_col), gap).alias("session"))
+            .agg(F.array_join(F.transform(parts, lambda x: x["t"]), sep).alias(out_col))
+            .select(*keys, F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"),
+                    out_col))
