@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import PY_SPACE, keywords, lines, sentences, space_tokens
+from ..functions.text import PY_SPACE, keywords, let, lines, sentences, space_tokens
 
 SECTION_HEADER = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z ]*):"
 
@@ -48,14 +48,18 @@ def remove_sections(df: DataFrame, key: str, text_col: str, names: list[str] | N
     """Drop the named sections (header and body) and rebuild the report from the rest as
     ``HEADER: body`` pieces in their original order; text before the first header is kept."""
     drop = names if names is not None else K.SECTIONS_TO_REMOVE
-    pre = F.trim(F.element_at(F.split(F.col(text_col), SECTION_HEADER), 1))
-    headers = F.regexp_extract_all(F.col(text_col), F.lit(SECTION_HEADER), 1)
-    bodies = F.slice(F.split(F.col(text_col), SECTION_HEADER), 2, 1 << 30)
-    z = F.arrays_zip(headers.alias("h"), bodies.alias("b"))
-    kept = F.filter(z, lambda e: ~F.trim(e["h"]).isin(drop))
-    pieces = F.transform(kept, lambda e: F.concat(F.trim(e["h"]), F.lit(": "), F.trim(e["b"])))
-    rebuilt = F.array_join(F.filter(F.concat(F.array(pre), pieces), lambda x: x != ""), " ")
-    return df.withColumn(out_col, rebuilt)
+
+    def rebuild(t):
+        def from_parts(parts):
+            pre = F.trim(F.element_at(parts, 1))
+            headers = F.regexp_extract_all(t, F.lit(SECTION_HEADER), 1)
+            z = F.arrays_zip(headers.alias("h"), F.slice(parts, 2, 1 << 30).alias("b"))
+            kept = F.filter(z, lambda e: ~F.trim(e["h"]).isin(drop))
+            pieces = F.transform(kept, lambda e: F.concat(F.trim(e["h"]), F.lit(": "), F.trim(e["b"])))
+            return F.array_join(F.filter(F.concat(F.array(pre), pieces), lambda x: x != ""), " ")
+        return let(F.split(t, SECTION_HEADER), from_parts)
+
+    return df.withColumn(out_col, let(F.col(text_col), rebuild))
 
 
 def flatten_to_rows(df: DataFrame, key: str, nested_col: str) -> DataFrame:

@@ -49,8 +49,10 @@ def top_terms(freq: DataFrame, k: int = 100, stop: list[str] | None = None, toke
 def word_counts(df: DataFrame, text_col: str, preprocess: bool = False) -> DataFrame:
     """Per row ``n_words`` and ``n_distinct_words`` (optionally on keyword-normalised text)."""
     w = py_split(keywords(text_col) if preprocess else F.col(text_col))
-    return df.withColumn("n_words", F.size(w).cast("bigint")) \
-             .withColumn("n_distinct_words", F.size(F.array_distinct(w)).cast("bigint"))
+    # the word array is its own projection: read twice, it is still computed once
+    return df.withColumn("_w", w) \
+             .withColumn("n_words", F.size("_w").cast("bigint")) \
+             .withColumn("n_distinct_words", F.size(F.array_distinct("_w")).cast("bigint")).drop("_w")
 
 
 # ---------------------------------------------------------------- A10-A12: label statistics

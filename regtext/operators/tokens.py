@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import unicode_words
+from ..functions.text import let, unicode_words
 from ..session import materialize as materialize_table
 from .ranking import global_offsets
 
@@ -66,15 +66,17 @@ def flatten_ids(nested: Column, max_len: int = K.MAX_SEQ_LEN, start_id: int = K.
                 pad_id: int = K.PAD_ID) -> Column:
     """K2: flatten per-sentence id lists, drop every START but the first, then either cut to
     ``max_len - 1`` ids + END, or pad with ``pad_id`` (mask 0). Returns struct(input_ids, attention_mask)."""
-    flat = F.flatten(nested)
-    kept = F.filter(flat, lambda x, i: (i == 0) | (x != F.lit(start_id)))
-    n = F.size(kept)
-    cut = F.concat(F.slice(kept, 1, max_len - 1), F.array(F.lit(end_id)))
-    fill = F.greatest(F.lit(max_len) - n, F.lit(0))
-    ids = F.when(n >= max_len, cut).otherwise(F.concat(kept, F.array_repeat(F.lit(pad_id), fill)))
-    mask = F.when(n >= max_len, F.array_repeat(F.lit(1), F.lit(max_len))) \
-        .otherwise(F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)))
-    return F.struct(ids.alias("input_ids"), mask.alias("attention_mask"))
+    def shape(kept):
+        n = F.size(kept)
+        cut = F.concat(F.slice(kept, 1, max_len - 1), F.array(F.lit(end_id)))
+        fill = F.greatest(F.lit(max_len) - n, F.lit(0))
+        ids = F.when(n >= max_len, cut).otherwise(F.concat(kept, F.array_repeat(F.lit(pad_id), fill)))
+        mask = F.when(n >= max_len, F.array_repeat(F.lit(1), F.lit(max_len))) \
+            .otherwise(F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)))
+        return F.struct(ids.alias("input_ids"), mask.alias("attention_mask"))
+
+    kept = F.filter(F.flatten(nested), lambda x, i: (i == 0) | (x != F.lit(start_id)))
+    return let(kept, shape)  # the filtered list is read four times; computed once
 
 
 def pack_blocks(docs: DataFrame, key: str, ids_col: str, block: int = K.MAX_SEQ_LEN,
