@@ -192,12 +192,15 @@ def sort_group_concat(df: DataFrame, by: list[str], agg: str, sort_by: str, sele
     """A3: drop rows with any null, concatenate ``agg`` per ``by`` in ``sort_by`` order (or keep the
     row's own text when not collapsing), then one row per ``unique_key`` and project ``select``."""
     base = df.na.drop(how="any")
+    # one representative row per unique key first, then one concatenation per group joined to it:
+    # joining the concatenation back to every line would copy a note's whole text once per line
+    rep = keyed_dedup(base, [unique_key], [sort_by])
     if collapse:
         cat = ordered_concat(base, by, sort_by, agg, out_col=out_col)
-        base = base.join(cat, by, "inner")
+        out = rep.join(cat, by, "inner")
     else:
-        base = base.withColumn(out_col, F.col(agg))
-    return keyed_dedup(base, [unique_key], [sort_by]).select(*select)
+        out = rep.withColumn(out_col, F.col(agg))
+    return out.select(*select)
 
 
 # ---------------------------------------------------------------- A8/A9: categorical labels
