@@ -271,9 +271,15 @@ def lines(col) -> Column:
 SENTENCE_BREAK = r"(?<=[.!?])\s+|\n+"
 
 
+def is_blank(x: Column) -> Column:
+    """True when a string holds only (Python) whitespace."""
+    return F.trim(F.translate(x, PY_SPACE_CHARS, " " * len(PY_SPACE_CHARS))) == ""
+
+
 def sentences(col) -> Column:
-    """T10 helper: split on sentence terminators followed by whitespace, or on newlines."""
-    return F.filter(F.split(_c(col), SENTENCE_BREAK), lambda x: F.trim(x) != "")
+    """T10 helper: split on sentence terminators followed by whitespace, or on newlines; pieces
+    holding only whitespace are dropped."""
+    return F.filter(F.split(_c(col), SENTENCE_BREAK), lambda x: ~is_blank(x))
 
 
 def unicode_words(col) -> Column:

@@ -138,7 +138,8 @@ def nondiagnostic(x: str) -> str:
 def sentences(x: str) -> str:
     s = rr(x, rf"([.!?]){JAVA_SPACE}+", r"\1" + "\x01")
     s = rr(s, r"\n+", "\x01")
-    return f"list_filter(string_split({s}, chr(1)), lambda w: trim(w) <> '')"
+    blank = f"trim(regexp_replace(w, {q(PY_SPACE)}, ' ', 'g')) = ''"
+    return f"list_filter(string_split({s}, chr(1)), lambda w: NOT ({blank}))"
 
 
 def history_sections(x: str) -> str:
