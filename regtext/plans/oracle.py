@@ -446,6 +446,8 @@ def oracle_sql() -> dict[str, str]:
         "FROM c LEFT JOIN t ON c.doc_id = t.doc_id")
     o["r3_exact_sample"] = f"SELECT doc_id, lang FROM ({split_rank('documents', 'doc_id')}) WHERE rn < floor(0.1::DOUBLE * n)"
 
+    o["r3b_hash_sample"] = ("SELECT doc_id, lang FROM documents WHERE "
+                            "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000 < 1000")
     o["t1_keywords"] = f"SELECT doc_id, {keywords('text')} AS keywords FROM documents"
     o["t2_clean_report"] = f"SELECT doc_id, {clean_report('text')} AS cleaned FROM documents"
     o["t3_nondiagnostic"] = f"SELECT doc_id, {nondiagnostic('text')} AS cleaned FROM documents"

@@ -415,6 +415,12 @@ def r3(spark, sf):
     return R.exact_sample(d, "doc_id", 0.1)
 
 
+@query("r3b_hash_sample")
+def r3b(spark, sf):
+    d = table(spark, sf, "documents", heavy=False).select("doc_id", "lang")
+    return R.hash_sample(d, "doc_id", 0.1)
+
+
 # ======================================================================= T: text
 @query("t1_keywords")
 def t1(spark, sf):
