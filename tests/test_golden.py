@@ -259,3 +259,61 @@ def test_s4_code_features_zero_fill_and_dates(spark):
     out = {r.CCF_MRN: r for r in code_features(df, "CCF_MRN", "Surg_Dt", "code", "n").collect()}
     assert str(out["m1"].Surg_Dt) == "2020-01-02" and out["m1"].CPT_33533 == 1 and out["m1"].CPT_33510 == 2
     assert out["m2"].CPT_33533 == 0
+
+
+def test_a4_chunked_concat(spark):
+    df = spark.createDataFrame([(1, "en", "Heart failure"), (2, "en", "Valve repair"), (1500, "en", "Later note")],
+                               "doc_id long, lang string, text string")
+    got = {(r.lang, r.chunk): r.corpus_text for r in A.grouped_text_concat(df, ["lang"], "doc_id", "text").collect()}
+    assert got == {("en", 0): "heart failure valve repair", ("en", 1): "later note"}
+
+
+def test_a13_subgroup_summary(spark):
+    df = spark.createDataFrame([(i, 1 if i < 6 else 0, float(i)) for i in range(10)], "k long, flag int, y double")
+    r = [x for x in A.subgroup_summary(df, "k", ["flag"], ["y"], fractions=(1.0,)).collect()][0]
+    assert r.n == 6 and r.mean == pytest.approx(2.5) and r.std == pytest.approx(1.870829, abs=1e-6)
+
+
+def test_p1_prefix_selection_and_substring_quirk(spark):
+    df = spark.createDataFrame([(1, 1, 0, 5)], "PAT_MRN_ID int, SP_a int, HOSP_ID int, x int")
+    assert P.select_by_prefix(df, ["SP_"], keep=["PAT_MRN_ID"]).columns == ["PAT_MRN_ID", "SP_a"]
+    assert P.select_by_prefix(df, ["SP_"], substring=True).columns == ["SP_a", "HOSP_ID"]
+
+
+def test_j2_drops_before_join_and_renames_clashes(spark):
+    l = spark.createDataFrame([(1, "2020-01-01", 1, "a")], "m int, d string, SP_x int, note string")
+    r = spark.createDataFrame([(1, "2020-01-01", 1, 0, "b")], "m int, d string, PREOP_y int, HX_z int, note string")
+    out = P.join_dropping(l, r, ["m", "d"], drop_left=["SP_x"], drop_right_prefixes=["PREOP_", "SP_"])
+    assert sorted(out.columns) == ["HX_z", "d", "m", "note", "note_right"]
+
+
+def test_j4_broadcast_only_when_small(spark):
+    facts = spark.range(100).withColumnRenamed("id", "k")
+    dim = spark.range(10).withColumnRenamed("id", "k")
+    plan = P.join_small_dimension(facts, dim, ["k"], max_rows=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()
+    plan2 = P.join_small_dimension(facts, dim, ["k"], max_rows=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan2.lower()
+
+
+def test_a6_top_terms_ties_by_token(spark):
+    freq = spark.createDataFrame([("the", 9), ("b", 3), ("a", 3), ("c", 1)], "token string, n long")
+    got = [r.token for r in A.top_terms(freq, 2, ["the"]).collect()]
+    assert got == ["a", "b"]
+
+
+def test_a7_word_counts(spark):
+    df = spark.createDataFrame([("the cat the hat",)], "t string")
+    r = A.word_counts(df, "t").collect()[0]
+    assert (r.n_words, r.n_distinct_words) == (4, 3)
+
+
+def test_s2_exclusive_note_types(spark):
+    from regtext.sources.notes import NoteSource, route_sources
+    a = spark.createDataFrame([("op", 1)], "src string, k int")
+    b = spark.createDataFrame([("full", 2)], "src string, k int")
+    c = spark.createDataFrame([("hp", 3)], "src string, k int")
+    reg = {"operative_report": NoteSource(lambda: a, "op", 2), "op_notes": NoteSource(lambda: b, "op", 1),
+           "h&p": NoteSource(lambda: c)}
+    got = sorted(r.src for r in route_sources(reg, ["op_notes", "operative_report", "h&p"]).collect())
+    assert got == ["hp", "op"]
