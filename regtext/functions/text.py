@@ -50,6 +50,11 @@ def py_split(col) -> Column:
     return F.filter(F.split(ws, " "), lambda x: x != "")
 
 
+def py_strip(col) -> Column:
+    """Python ``str.strip()``: leading and trailing whitespace of any kind."""
+    return F.regexp_replace(_c(col), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
+
+
 def space_tokens(col) -> Column:
     """Split on single spaces and drop empty tokens (text already reduced to ' ' as whitespace)."""
     return F.filter(F.split(_c(col), " "), lambda x: x != "")

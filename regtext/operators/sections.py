@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import PY_SPACE, keywords, let, lines, sentences, space_tokens
+from ..functions.text import PY_SPACE, keywords, let, lines, py_strip, sentences, space_tokens
 
 SECTION_HEADER = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z ]*):"
 
@@ -39,8 +39,8 @@ def section_table(df: DataFrame, key: str, text_col: str, header_pattern: str =
     bodies = F.slice(F.split(F.col(text_col), header_pattern), 2, 1 << 30)
     z = F.arrays_zip(headers.alias("h"), bodies.alias("b"))
     return (df.select(key, F.posexplode_outer(z).alias("sec_no", "_z")).filter(F.col("sec_no").isNotNull())
-            .select(key, F.col("sec_no").cast("bigint").alias("sec_no"), F.trim(F.col("_z.h")).alias("header"),
-                    F.trim(F.col("_z.b")).alias("body")))
+            .select(key, F.col("sec_no").cast("bigint").alias("sec_no"), py_strip(F.col("_z.h")).alias("header"),
+                    py_strip(F.col("_z.b")).alias("body")))
 
 
 def remove_sections(df: DataFrame, key: str, text_col: str, names: list[str] | None = None,
@@ -51,11 +51,11 @@ def remove_sections(df: DataFrame, key: str, text_col: str, names: list[str] | N
 
     def rebuild(t):
         def from_parts(parts):
-            pre = F.trim(F.element_at(parts, 1))
+            pre = py_strip(F.element_at(parts, 1))
             headers = F.regexp_extract_all(t, F.lit(SECTION_HEADER), 1)
             z = F.arrays_zip(headers.alias("h"), F.slice(parts, 2, 1 << 30).alias("b"))
-            kept = F.filter(z, lambda e: ~F.trim(e["h"]).isin(drop))
-            pieces = F.transform(kept, lambda e: F.concat(F.trim(e["h"]), F.lit(": "), F.trim(e["b"])))
+            kept = F.filter(z, lambda e: ~py_strip(e["h"]).isin(drop))
+            pieces = F.transform(kept, lambda e: F.concat(py_strip(e["h"]), F.lit(": "), py_strip(e["b"])))
             return F.array_join(F.filter(F.concat(F.array(pre), pieces), lambda x: x != ""), " ")
         return let(F.split(t, SECTION_HEADER), from_parts)
 

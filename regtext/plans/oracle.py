@@ -159,6 +159,29 @@ def hashed(word: str) -> str:
     return f"(4 + (('0x' || substr(md5({word}), 1, 6))::INTEGER % 30000))"
 
 
+def procedure_after(x: str) -> str:
+    marker = K.PROCEDURE_AFTER_MARKER
+    tail = q("(?s)(?:" + marker.replace("(?i)", "") + ")(.*)")
+    return (f"array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '\\*+'), "
+            f"lambda p: regexp_matches(p, {q(marker)})), lambda p: regexp_extract(p, {tail}, 1, 'i')), chr(10))")
+
+
+def remove_sections(x: str, names=None) -> str:
+    drop = lst(K.SECTIONS_TO_REMOVE if names is None else names)
+    return let(f"regexp_split_to_array({x}, {q(SECTION_HEADER)})",
+               f"array_to_string(list_filter(list_concat([{py_strip('v[1]')}], list_transform(list_filter("
+               f"list_zip(regexp_extract_all({x}, {q(SECTION_HEADER)}, 1), v[2:]), lambda e: NOT list_contains({drop}, {py_strip('e[1]')})), "
+               f"lambda e: {py_strip('e[1]')} || ': ' || {py_strip('e[2]')})), lambda w: w <> ''), ' ')")
+
+
+def py_strip(x: str) -> str:
+    return rr(x, f"^{PY_SPACE}+|{PY_SPACE}+$")
+
+
+def first_integer(x: str) -> str:
+    return f"nullif(regexp_extract({x}, '(\\p{{Nd}}+)', 1), '')"
+
+
 # ----------------------------------------------------------------------------- evaluation CTEs
 def long_cte(epoch: int = 0) -> str:
     parts = []
@@ -476,9 +499,10 @@ def oracle_sql() -> dict[str, str]:
     stext = ("'DATE: ' || source || ' LANGUAGE: ' || lang || ' NOTE: ' || text || ' SURGEON: ' || source || "
              "' FINDINGS: ' || CAST(n_chars AS VARCHAR)")
     o["t11_section_table"] = (
-        f"SELECT doc_id, CAST(unnest(range(len(h))) AS BIGINT) AS sec_no, trim(unnest(h)) AS header, trim(unnest(b)) AS body FROM "
+        f"SELECT doc_id, sec_no, {py_strip('h1')} AS header, {py_strip('b1')} AS body FROM (SELECT doc_id, "
+        f"CAST(unnest(range(len(h))) AS BIGINT) AS sec_no, unnest(h) AS h1, unnest(b) AS b1 FROM "
         f"(SELECT doc_id, regexp_extract_all(t, {q(SECTION_HEADER)}, 1) AS h, regexp_split_to_array(t, {q(SECTION_HEADER)})[2:] AS b "
-        f"FROM (SELECT doc_id, {stext} AS t FROM documents))")
+        f"FROM (SELECT doc_id, {stext} AS t FROM documents)))")
     htext = "CASE WHEN lang = 'en' THEN 'Reason for visit. Past Medical History: ' || text ELSE text END"
     o["t12_history_filter"] = f"SELECT doc_id, {history_sections(htext)} AS history FROM documents"
     ptext = ("'Indication: ' || lang || ' PROCEDURE: ' || text || ' FINDINGS: ok ** Operative Report: ' || source || "
@@ -488,12 +512,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array({ptext}, '\\*+'), "
         f"lambda p: regexp_matches(p, {q(marker)})), lambda p: regexp_extract(p, {q('(?s)(?:' + marker.replace('(?i)', '') + ')(.*)')}, 1, 'i')), chr(10)) "
         f"AS procedure FROM documents")
-    drop = lst(K.SECTIONS_TO_REMOVE)
-    o["t15_remove_sections"] = (
-        f"SELECT doc_id, array_to_string(list_filter(list_concat([trim(parts[1])], list_transform(list_filter("
-        f"list_zip(h, parts[2:]), lambda e: NOT list_contains({drop}, trim(e[1]))), lambda e: trim(e[1]) || ': ' || trim(e[2]))), "
-        f"lambda x: x <> ''), ' ') AS report FROM (SELECT doc_id, regexp_extract_all(t, {q(SECTION_HEADER)}, 1) AS h, "
-        f"regexp_split_to_array(t, {q(SECTION_HEADER)}) AS parts FROM (SELECT doc_id, {stext} AS t FROM documents))")
+    o["t15_remove_sections"] = f"SELECT doc_id, {remove_sections('t')} AS report FROM (SELECT doc_id, {stext} AS t FROM documents)"
     o["t16_dict_column"] = ("SELECT key, CAST(count(*) AS BIGINT) AS n, round(SUM(TRY_CAST(value AS DOUBLE)), 6) AS total FROM "
                             "(SELECT k AS key, json_extract_string(j, '$.\"' || k || '\"') AS value FROM (SELECT j, unnest(json_keys(j)) AS k "
                             "FROM (SELECT replace(replace(props, '''', '\"'), 'u\"', '\"') AS j FROM events))) GROUP BY key")

@@ -51,3 +51,26 @@ def test_spark_matches_duckdb(spark, name, spark_fn, sql_fn):
     want = dict(con.execute(f"SELECT id, {sql_fn('text')} FROM t").fetchall())
     bad = [(rows[i][0], got[i], want[i]) for i in got if got[i] != want[i]]
     assert not bad, bad[:5]
+
+MORE = [
+    ("procedure_after", X.procedure_after, O.procedure_after),
+    ("first_integer", X.first_integer, O.first_integer),
+]
+
+
+@pytest.mark.parametrize("name,spark_fn,sql_fn", MORE, ids=[s[0] for s in MORE])
+def test_more_steps(spark, name, spark_fn, sql_fn):
+    test_spark_matches_duckdb(spark, name, spark_fn, sql_fn)
+
+
+def test_remove_sections_matches(spark):
+    from regtext.operators.sections import remove_sections
+    rows = [r for k in range(3) for r in strings(zlib.crc32(b"sections") + k)]
+    df = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "id long, text string")
+    got = {r.id: r.report for r in remove_sections(df, "id", "text").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, t) for i, (t,) in enumerate(rows)])
+    want = dict(con.execute(f"SELECT id, {O.remove_sections('text')} FROM t").fetchall())
+    bad = [(rows[i][0], got[i], want[i]) for i in got if got[i] != want[i]]
+    assert not bad, bad[:5]
