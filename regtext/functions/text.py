@@ -230,7 +230,7 @@ def procedure_section(col) -> Column:
     def spans(v):
         sp = F.when(v.rlike(K.PROCEDURE_PRIMARY_STARTS), F.regexp_extract_all(v, F.lit(prim), 1)) \
             .otherwise(F.regexp_extract_all(v, F.lit(sec), 1))
-        return F.array_join(F.filter(F.transform(sp, lambda x: F.trim(x)), lambda x: x != ""), " ")
+        return F.array_join(F.filter(F.transform(sp, lambda x: py_strip(x)), lambda x: x != ""), " ")
 
     return let(_c(col), spans)
 
