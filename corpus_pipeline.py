@@ -7,8 +7,9 @@ DataFrame that is written as Parquet and read again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regtext.llm import quality, simhash
+from regtext.llm import decontam, linededup, mixing, quality, simhash
 from regtext.llm.common import read
 from regtext.session import materialize
 
@@ -20,11 +21,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs, read(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = linededup.dedup_lines(docs)
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup),
+          ("decontamination", decontamination), ("source_mix", source_mix)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
