@@ -85,8 +85,18 @@ KNOWN = (
 )
 
 
+# Title lines that often stand above a full text.
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License",
+          "BSD-3-Clause": "BSD 3-Clause License"}
+
+
+def known_rows() -> list[tuple[str, str]]:
+    """The known texts, the full ones (more than a line) also under their title."""
+    return [*KNOWN, *((name, f"{TITLES[name]}\n\n{text}") for name, text in KNOWN if name in TITLES and "\n" in text)]
+
+
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license string, text string")
+    return spark.createDataFrame(known_rows(), "license string, text string")
 
 
 def normalise(text: Column) -> Column:
