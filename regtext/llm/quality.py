@@ -146,25 +146,29 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", key:
     level = delta / (max(counts.count(), 1) * len(RULES))
     rate = max_false_rejection / len(RULES)
 
+    tests = F.transform(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("c"), F.col(f"{r}_{i}").alias("k"))
+                                  for r in RULES for i, c in enumerate(CUTOFFS)]),
+                        lambda t: t.withField("ok", binomial_tail(F.col("n_good"), t["k"], rate) <= level))
+
     def chosen(rule):
-        tests = F.array(*[F.struct(F.lit(c).alias("c"), (binomial_tail(F.col("n_good"), F.col(f"{rule}_{i}"), rate) <= level)
-                                   .alias("ok")) for i, c in enumerate(CUTOFFS)])
         start = F.struct(F.lit(None).cast("double").alias("cut"), F.lit(True).alias("open"))
-        return F.aggregate(tests, start, lambda acc, t: F.when(
+        return F.aggregate(F.filter("tests", lambda t: t["rule"] == rule), start, lambda acc, t: F.when(
             acc["open"] & t["ok"], F.struct(t["c"].alias("cut"), F.lit(True).alias("open")))
             .otherwise(F.struct(acc["cut"].alias("cut"), F.lit(False).alias("open"))))["cut"]
 
+    counts = counts.select("stratum", "n_good", tests.alias("tests"))
     return counts.select("stratum", "n_good", F.struct(*[chosen(r).alias(r) for r in RULES]).alias("cut"))
 
 
 def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang", feature: str = "features") -> DataFrame:
     """``scored`` plus ``kept`` (boolean) and ``rejected_by`` (names of the rules above their cut-off)."""
     kept, by = fresh(scored.columns, "kept"), fresh(scored.columns, "rejected_by")
-    c = cutoffs.select(F.col("stratum").alias("stratum_"), F.col("cut").alias("cut_"))
-    joined = scored.join(c, F.col(stratum).eqNullSafe(F.col("stratum_")), "left")
+    group, cut = fresh(scored.columns, "stratum_"), fresh(scored.columns, "cut_")
+    joined = scored.join(cutoffs.select(F.col("stratum").alias(group), F.col("cut").alias(cut)),
+                         F.col(stratum).eqNullSafe(F.col(group)), "left")
     f = F.col(feature)
-    hits = F.array_compact(F.array(*[F.when(f["scores"][r] > F.col("cut_")[r], F.lit(r)) for r in RULES]))
-    return joined.withColumn(by, hits).withColumn(kept, ~f["base_failed"] & (F.size(by) == 0)).drop("stratum_", "cut_")
+    hits = F.array_compact(F.array(*[F.when(f["scores"][r] > F.col(cut)[r], F.lit(r)) for r in RULES]))
+    return joined.withColumn(by, hits).withColumn(kept, ~f["base_failed"] & (F.size(by) == 0)).drop(group, cut)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id",
