@@ -112,19 +112,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
     ident = lambda: (internal_id(F.col(key)).alias("id"), F.xxhash64(or_empty(F.col(text))).alias("th"))
     hashed = docs.filter(F.col(text).isNotNull()).select(*ident(), line_hashes(F.col(text)).alias("lines"))
     hashed = materialize(hashed, "line-hashes").dropDuplicates(["id", "th"])
-    gone = repeated_runs(hashed, gram, window).select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.array_distinct(
-        F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"] - 1)))).alias("gone_"))
-    joined = docs.join(gone, (internal_id(F.col(key)) == F.col("id_")) & (F.xxhash64(or_empty(F.col(text))) == F.col("th_"))
+    id_, th_, gone_ = (fresh(docs.columns, c) for c in ("id_", "th_", "gone_"))
+    gone = repeated_runs(hashed, gram, window).select(F.col("id").alias(id_), F.col("th").alias(th_), F.array_distinct(
+        F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"] - 1)))).alias(gone_))
+    joined = docs.join(gone, (internal_id(F.col(key)) == F.col(id_)) & (F.xxhash64(or_empty(F.col(text))) == F.col(th_))
                        & F.col(text).isNotNull(), "left")
 
     def rest(ls):
-        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone_"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone_))
         return F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")
 
-    new = F.when(F.col("gone_").isNull(), F.col(text)).otherwise(bind(F.split(F.col(text), "\n"), rest))
-    out = joined.withColumn(text, new)
-    if report:
-        out = joined.withColumn(fresh(docs.columns, "n_lines"), F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long")) \
-            .withColumn(fresh(docs.columns, "n_deleted"), F.coalesce(F.size("gone_"), F.lit(0)).cast("long")) \
-            .withColumn(text, new)
-    return out.drop("id_", "th_", "gone_")
+    new = F.when(F.col(gone_).isNull(), F.col(text)).otherwise(bind(F.split(F.col(text), "\n"), rest))
+    counts = {"n_lines": F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)), "n_deleted": F.coalesce(F.size(gone_), F.lit(0))}
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+                         *[n.cast("long").alias(fresh(docs.columns, c)) for c, n in counts.items() if report])

@@ -193,15 +193,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """One document of every component, all columns: the one with the smallest key. Of several rows with
     that key the first in column order stays; of a component without any key, the first row."""
     _, groups = _assign(docs, key, text, shingle, distance)
-    rn, fp = fresh(docs.columns, "rn"), fresh(docs.columns, "fingerprint")
+    rn, fp, head, part, root = (fresh(docs.columns, c) for c in ("rn", "fingerprint", "head_", "part_", "root_"))
     order = [F.col(f"`{c}`").asc_nulls_first() for c in docs.columns]
-    heads = groups.filter("component_id IS NOT NULL").select(F.col("component_id").alias("id_")).distinct()
-    keyed = docs.join(heads, F.col(key) == F.col("id_"), "left_semi") \
+    heads = groups.filter("component_id IS NOT NULL").select(F.col("component_id").alias(head)).distinct()
+    keyed = docs.join(heads, F.col(key) == F.col(head), "left_semi") \
         .withColumn(rn, F.row_number().over(W.partitionBy(key).orderBy(*order)))
     # rows without a key are found again by their fingerprint
     nameless = fingerprints(docs.filter(F.col(key).isNull()), docs.columns, text, shingle)
-    roots = groups.filter("component_id IS NULL").select("fp", F.col("root").alias("root_"))
-    nameless = nameless.join(roots, F.col(fp) == F.col("fp")).withColumn(
-        rn, F.row_number().over(W.partitionBy("root_").orderBy(*order)))
-    return keyed.filter(F.col(rn) == 1).select(*docs.columns) \
-        .unionByName(nameless.filter(F.col(rn) == 1).select(*docs.columns))
+    roots = groups.filter("component_id IS NULL").select(F.col("fp").alias(part), F.col("root").alias(root))
+    nameless = nameless.join(roots, F.col(fp) == F.col(part)).withColumn(
+        rn, F.row_number().over(W.partitionBy(root).orderBy(*order)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.filter(F.col(rn) == 1).select(*columns).unionByName(nameless.filter(F.col(rn) == 1).select(*columns))

@@ -1,0 +1,105 @@
+import random
+
+import xxhash
+
+from regtext.llm import linededup as L
+
+from .data import awkward_rows, docs, table, with_clashes
+
+LOW = -(1 << 63)
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def of_text(s):
+    return signed(xxhash.xxh64_intdigest(s.encode(), 42))
+
+
+def of_list(hs):  # an array hashes element by element, each result seeding the next
+    seed = 42
+    for h in hs:
+        seed = signed(xxhash.xxh64_intdigest((h & (2 ** 64 - 1)).to_bytes(8, "little"), seed & (2 ** 64 - 1)))
+    return seed
+
+
+def brute(rows, gram=3, window=3):
+    """Plain-Python winnowing, anchors, extension and deletion."""
+    ident = lambda k, t: (LOW if k is None else k, of_text(t))
+    texts = {ident(k, t): [of_text(x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n")] for k, t in rows if t is not None}
+    blank, marks = of_text(""), []
+    for d, ls in texts.items():
+        grams = [None if all(x == blank for x in ls[i:i + gram]) else of_list(ls[i:i + gram]) for i in range(len(ls) - gram + 1)]
+        order = [(1 << 63 if g is None else g, -i) for i, g in enumerate(grams)]
+        picked = {min(range(j, min(j + window, len(grams))), key=lambda i: order[i]) for j in range(max(len(grams) - window + 1, 1)) if grams}
+        marks += [(grams[i], d, i) for i in picked if grams[i] is not None]
+    first = {}
+    for g, d, i in sorted(marks):
+        first.setdefault(g, (d, i))
+    pairs = {}
+    for g, d, i in marks:
+        if first[g] != (d, i):
+            pairs.setdefault((d, first[g][0]), []).append((i, first[g][1]))
+    gone = {}
+    for (d, a), hits in pairs.items():
+        x, y, runs = texts[d], texts[a], []
+        for p, q in sorted(hits):
+            if any(s <= p and p + gram <= e for s, e in runs):
+                continue
+            s = e = p
+            while s > 0 and s - p + q > 0 and x[s - 1] == y[s - 1 - p + q]:
+                s -= 1
+            while e < len(x) and e - p + q < len(y) and x[e] == y[e - p + q]:
+                e += 1
+            runs.append((s, e))
+        for s, e in runs:
+            gone.setdefault(d, set()).update(range(s, e))
+    return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(ident(k, t), ()))) for k, t in rows]
+
+
+def line_rows(seed=1):
+    rnd = random.Random(seed)
+    pool = ["", "a", "b", "c ", "d", " e", "f"] + [f"x{j}" for j in range(8)]
+    rows = [(i if i % 50 else None, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25)))) for i in range(200)]
+    base = "\n".join(f"line {j}" for j in range(12))
+    rows += [(1000 + i, f"pre {i}\n{base}\npost {i}") for i in range(30)]
+    return rows + [(2000, base), (2000, base), (2001, None), (2002, ""), (2003, "z\n" * 400), (2004, "\n" * 40), (2005, "\n" * 41)]
+
+
+def test_equals_brute_force(spark):
+    rows = line_rows()
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table(got) == sorted(map(repr, brute(rows)))
+
+
+def test_other_gram_and_window(spark):
+    rows = line_rows(2)
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gram=2, window=4)
+    assert table(got) == sorted(map(repr, brute(rows, 2, 4)))
+
+
+def test_guarantee_and_first_copy(spark):
+    """A run of GRAM + WINDOW - 1 lines that occurs earlier loses lines, and every line stays somewhere."""
+    rnd = random.Random(4)
+    block = [f"shared {i}" for i in range(L.GRAM + L.WINDOW - 1)]
+    rows = []
+    for i in range(60):
+        own = [f"own {i} {j}" for j in range(rnd.randint(0, 12))]
+        at = rnd.randint(0, len(own))
+        rows.append((i, "\n".join(own[:at] + block + own[at:])))
+    out = {r.doc_id: r.text.split("\n") for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(b in out[0] for b in block)
+    assert all(b not in out[i] for i in range(1, 60) for b in block)
+    assert all(x in out[i] for i, t in rows for x in t.split("\n") if x.startswith("own"))
+
+
+def test_awkward_rows_columns_and_empty_table(spark):
+    d = docs(spark)
+    got = L.dedup_lines(with_clashes(d))
+    assert got.columns == with_clashes(d).columns
+    want = brute([(r[0], r[1]) for r in awkward_rows()])
+    assert table(got.select("doc_id", "text")) == sorted(map(repr, want))
+    assert L.dedup_lines(d.limit(0)).count() == 0
+    report = L.dedup_lines(d, report=True)
+    assert report.filter("doc_id = 47").select("n_lines", "n_deleted").first() is not None
