@@ -97,11 +97,11 @@ def s4(spark, sf):
 @query("s5_split_export")
 def s5(spark, sf):
     """Write the R1 split partitioned by split under the checkpoint folder; read the held-out part back."""
-    from ..session import scratch_path
-    import uuid
+    from ..session import delete_on_exit, scratch_path
     tagged = R.random_split(table(spark, sf, "documents", heavy=False).select("doc_id", "lang"), "doc_id")
-    path = scratch_path(spark, f"s5-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "s5")
     SINK.write_split(tagged, path)
+    delete_on_exit(spark, path)
     return spark.read.parquet(f"{path}/split=test")
 
 

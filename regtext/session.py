@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,12 +43,17 @@ def build_session(master: str | None = None, app: str = "regtext",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created and set.
+    Where the setting is absent, a local master gets a scratch folder of its own (driver and executors
+    are one process there). Any other master fails: a folder on the driver's disk would leave every
+    executor writing to its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError(f"spark.checkpoint.dir is not set: name a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="regtext-ckpt-", dir=os.environ.get("REGTEXT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -56,15 +62,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
+    """A new path under the shared checkpoint folder for a written intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the application delete ``path`` when it ends (a lazy result may read it until then)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading it
-    back: computed once, columnar on disk, and re-readable after an executor is lost."""
-    import uuid
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    back: computed once, columnar on disk, and re-readable after an executor is lost. The table is
+    deleted when the application ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
