@@ -2,9 +2,8 @@
 
 Input is a long table ``(row_id, label, y_true, score)``. Curves and rank statistics need
 cumulative sums over descending score per label. They are built in two levels so that no task
-sorts a whole label: scores are first pre-aggregated per (label, score); the distinct scores are
-cut into ``score_buckets`` equal-width buckets of the logit (probabilities; raw scores are taken as
-logits), an order-preserving map that keeps crowded tails apart; per-bucket totals give each bucket
+sorts a whole label: scores are first pre-aggregated per (label, score); the distinct scores of a
+label are cut into ``score_buckets`` buckets at their quantiles; per-bucket totals give each bucket
 its base, and the running sum inside a bucket is a window partitioned by (label, bucket).
 
 All ratios are DOUBLE (``sum(int)/2`` would be DECIMAL) and undefined ratios are NULL.
@@ -12,9 +11,13 @@ All ratios are DOUBLE (``sum(int)/2`` would be DECIMAL) and undefined ratios are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 LABEL, Y, SCORE, ROW = "label", "y_true", "score", "row_id"
 
 
@@ -41,46 +44,65 @@ def _g(by) -> list[str]:
     return [*by, LABEL]
 
 
-def cumulative_counts(long: DataFrame, score_buckets: int = 4096, probabilities: bool = True,
-                      by: tuple = (), pooled: str | None = None) -> DataFrame:
+def usable(long: DataFrame) -> DataFrame:
+    """Rows with a truth and a score: NULL and NaN scores rank nowhere and are left out of every metric."""
+    return long.filter(F.col(Y).isNotNull() & F.col(SCORE).isNotNull() & ~F.isnan(F.col(SCORE).cast("double")))
+
+
+def unusable_count(long: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by.., label, n_unusable): how many rows ``usable`` leaves out."""
+    bad = F.col(Y).isNull() | F.col(SCORE).isNull() | F.isnan(F.col(SCORE).cast("double"))
+    return long.groupBy(*_g(by)).agg(F.sum(bad.cast("bigint")).alias("n_unusable"))
+
+
+def cumulative_counts(long: DataFrame, score_buckets: int = 512, by: tuple = (), pooled: str | None = None) -> DataFrame:
     """(by.., label, score, pos, neg, tp, fp, P, N): tp/fp count rows with score >= this score.
 
-    ``pooled`` adds one more label holding all labels together (micro averages of rank metrics).
-    It is built from the per-(label, score) pre-aggregate re-aggregated per score, not by
-    shuffling the scored rows a second time."""
+    ``pooled`` adds one more label holding all labels together (micro averages of rank metrics), from
+    the same aggregate over grouping sets. Running sums are two-level: the distinct scores of a label
+    are cut at their own quantiles, so every bucket holds about ``1 / score_buckets`` of them however
+    crowded the scores are, and the sum inside a bucket is a window partitioned by (label, bucket).
+    The per-score counts are written once under the shared folder."""
     g = _g(by)
-    c = long.groupBy(*g, SCORE).agg(F.sum(F.col(Y).cast("bigint")).alias("pos"),
-                                    F.sum((1 - F.col(Y)).cast("bigint")).alias("neg"))
-    if pooled is not None:
-        pool = c.groupBy(*by, SCORE).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) \
-            .withColumn(LABEL, F.lit(pooled))
-        c = c.unionByName(pool)
-    # bucket on the logit (order-preserving): scores crowded near 0 or 1, as rare labels produce,
-    # still spread over many buckets; raw scores (logits) are used as they are
-    if probabilities:
-        p = F.least(F.greatest(F.col(SCORE), F.lit(1e-12)), F.lit(1.0 - 1e-12))
-        z = F.log(p / (F.lit(1.0) - p))
+    sums = (F.sum(F.col(Y).cast("bigint")).alias("pos"), F.sum((1 - F.col(Y)).cast("bigint")).alias("neg"))
+    rows = usable(long)
+    if pooled is None:
+        c = rows.groupBy(*g, SCORE).agg(*sums)
     else:
-        z = F.col(SCORE).cast("double")
-    r = 30.0
-    zc = F.least(F.greatest(z, F.lit(-r)), F.lit(r))
-    b = F.least(F.floor((zc + F.lit(r)) / F.lit(2 * r) * F.lit(score_buckets)), F.lit(score_buckets - 1)).cast("int")
-    c = c.withColumn("_b", b)
+        rows = rows.select(*by, LABEL, SCORE, Y)
+        c = rows.groupingSets([[*by, LABEL, SCORE], [*by, SCORE]], *by, LABEL, SCORE).agg(*sums, F.grouping(LABEL).alias("_all"))
+        c = c.select(*by, F.when(F.col("_all") == 1, F.lit(pooled)).otherwise(F.col(LABEL)).alias(LABEL), SCORE, "pos", "neg")
+    # read four times below; the scored rows (a model's output) are evaluated once
+    c = materialize(c, "score-counts")
+    points = [i / score_buckets for i in range(1, score_buckets)]
+    cuts = c.groupBy(*g).agg(F.percentile_approx(F.col(SCORE).cast("double"), points, 20 * score_buckets).alias("_q"),
+                             F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    below = lambda q: F.aggregate(F.sequence(F.lit(1), F.lit(score_buckets.bit_length())),  # noqa: E731  binary search
+                                  F.struct(F.lit(0).alias("lo"), F.size(q).alias("hi")), lambda acc, _: _halve(acc, q), lambda acc: acc["lo"])
+    nulls = [F.col(x).eqNullSafe(F.col(f"_c{i}")) for i, x in enumerate(g)]
+    named = cuts.select(*[F.col(x).alias(f"_c{i}") for i, x in enumerate(g)], "_q", "P", "N")
+    c = c.join(named, reduce(lambda a, b: a & b, nulls)).select(*g, SCORE, "pos", "neg", "P", "N", below(F.col("_q")).alias("_b"))
     tot = c.groupBy(*g, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*g)
     # windows below run over the per-(label, bucket) totals: at most groups x score_buckets rows
     bases = tot.select(*g, "_b",
                        F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_base_p"),
-                       F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_base_n"),
-                       F.sum("_bp").over(whole).alias("P"), F.sum("_bn").over(whole).alias("N"))
+                       F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_base_n"))
     inb = Window.partitionBy(*g, "_b").orderBy(F.desc(SCORE)).rowsBetween(Window.unboundedPreceding, 0)
-    return (c.join(bases, [*g, "_b"])
+    return (c.join(bases, [*g, "_b"])  # labels without a name have no curve
             .select(*g, SCORE, "pos", "neg",
                     (F.col("_base_p") + F.sum("pos").over(inb)).alias("tp"),
                     (F.col("_base_n") + F.sum("neg").over(inb)).alias("fp"), "P", "N"))
 
 
+def _halve(acc: Column, q: Column) -> Column:
+    mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+    open_ = acc["lo"] < acc["hi"]
+    right = F.get(q, mid) < F.col(SCORE).cast("double")
+    return F.struct(F.when(open_ & right, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                    F.when(open_ & ~right, mid).otherwise(acc["hi"]).alias("hi"))
+
+
 def pr_curve(cum: DataFrame, by: tuple = ()) -> DataFrame:
     """M4: (label, threshold, precision, recall, tp, fp) for every distinct score, descending
     thresholds below the first one reaching full recall dropped (as the common library does)."""
@@ -111,12 +133,13 @@ def optimal_thresholds(curve: DataFrame, by: tuple = ()) -> DataFrame:
         F.min_by(F.col("threshold"), F.struct(gap, F.col("threshold"))).alias("threshold"))
 
 
-def label_stats(cum: DataFrame, by: tuple = ()) -> DataFrame:
+def label_stats(cum: DataFrame, by: tuple = (), at: float | None = None) -> DataFrame:
     """M7 + M8 + M10 in one aggregate over the cumulative table ->
     (by.., label, auc, ap, threshold, tp, fp, fn, tn, P, N): ROC AUC, average precision, the tuned
     threshold and the confusion counts of ``score > threshold`` -- read off the same rows (at the
     chosen threshold row, rows strictly above it are ``tp - pos`` / ``fp - neg``), so the scored
-    rows are not scanned a second time. A label without a curve predicts nothing positive."""
+    rows are not scanned a second time. A label without a curve predicts nothing positive. With ``at`` also the counts
+    ``tp_at, fp_at, fn_at`` of ``score >= at``."""
     contrib = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / F.lit(2.0))
     prec = F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")
     rec = F.col("tp") / F.col("P").cast("double")
@@ -125,16 +148,19 @@ def label_stats(cum: DataFrame, by: tuple = ()) -> DataFrame:
     order = F.when(on_curve, F.struct(F.abs(prec - rec).alias("gap"), F.col(SCORE).alias("t")))
     pick = F.struct(F.col(SCORE).alias("threshold"), (F.col("tp") - F.col("pos")).alias("tp_gt"),
                     (F.col("fp") - F.col("neg")).alias("fp_gt"))
+    fixed = [] if at is None else [F.sum(F.when(c, F.col(x)).otherwise(0)).alias(n) for n, c, x in (
+        ("tp_at", F.col(SCORE) >= at, "pos"), ("fp_at", F.col(SCORE) >= at, "neg"), ("fn_at", F.col(SCORE) < at, "pos"))]
     agg = cum.groupBy(*_g(by)).agg(
         safe_div(F.sum(contrib), F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
         F.when(F.first("P") > 0, F.sum(F.when(F.col("P") > 0, (F.col("pos") / F.col("P").cast("double")) * prec)))
         .alias("ap"),
-        F.min_by(pick, order).alias("_pick"), F.first("P").alias("P"), F.first("N").alias("N"))
+        F.min_by(pick, order).alias("_pick"), F.first("P").alias("P"), F.first("N").alias("N"), *fixed)
     tp = F.coalesce(F.col("_pick.tp_gt"), F.lit(0)).cast("bigint")
     fp = F.coalesce(F.col("_pick.fp_gt"), F.lit(0)).cast("bigint")
     return agg.select(*_g(by), "auc", "ap", F.col("_pick.threshold").alias("threshold"), tp.alias("tp"),
                       fp.alias("fp"), (F.col("P") - tp).cast("bigint").alias("fn"),
-                      (F.col("N") - fp).cast("bigint").alias("tn"), "P", "N")
+                      (F.col("N") - fp).cast("bigint").alias("tn"), "P", "N",
+                      *([] if at is None else ["tp_at", "fp_at", "fn_at"]))
 
 
 # ---------------------------------------------------------------- confusion counts
@@ -142,7 +168,7 @@ def confusion(long: DataFrame, pred: Column, by: tuple = ()) -> DataFrame:
     """Per label tp, fp, fn, tn from a 0/1 prediction expression."""
     p = pred.cast("int")
     y = F.col(Y).cast("int")
-    return long.groupBy(*_g(by)).agg(
+    return usable(long).groupBy(*_g(by)).agg(
         F.sum(((p == 1) & (y == 1)).cast("bigint")).alias("tp"),
         F.sum(((p == 1) & (y == 0)).cast("bigint")).alias("fp"),
         F.sum(((p == 0) & (y == 1)).cast("bigint")).alias("fn"),
@@ -189,7 +215,7 @@ def losses(long: DataFrame, gamma: float = 2.0, by: tuple = ()) -> DataFrame:
     bce = -(y * ln(p) + (F.lit(1.0) - y) * ln(F.lit(1.0) - p))
     pt = F.least(F.greatest(F.when(y >= 0.5, p).otherwise(F.lit(1.0) - p), F.lit(1e-4)), F.lit(1 - 1e-4))
     focal = -F.pow(F.lit(1.0) - pt, F.lit(gamma)) * F.log(pt)
-    per = long.groupBy(*_g(by)).agg(F.avg(bce).alias("bce"), F.avg(focal).alias("focal"),
+    per = usable(long).groupBy(*_g(by)).agg(F.avg(bce).alias("bce"), F.avg(focal).alias("focal"),
                                     F.count(F.lit(1)).alias("_n"), F.sum(bce).alias("_s"))
     total = per.groupBy(*by).agg(F.lit("all").alias(LABEL), (F.sum("_s") / F.sum("_n")).alias("bce"),
                                  F.sum("focal").alias("focal"))
@@ -199,8 +225,8 @@ def losses(long: DataFrame, gamma: float = 2.0, by: tuple = ()) -> DataFrame:
 # ---------------------------------------------------------------- M11 / M12 / M15 reports
 def tuned_predictions(long: DataFrame, thresholds: DataFrame, by: tuple = ()) -> DataFrame:
     """Long table with ``pred`` = score > tuned threshold (labels without a threshold predict 0).
-    The threshold table has one row per (group, label): broadcast."""
-    return long.join(F.broadcast(thresholds), _g(by), "left") \
+    The threshold table has one row per (group, label); how it is joined is left to the optimiser."""
+    return long.join(thresholds, _g(by), "left") \
         .withColumn("pred", F.when(F.col(SCORE) > F.col("threshold"), 1).otherwise(0))
 
 
@@ -208,7 +234,7 @@ POOLED = "__pooled__"
 
 
 def evaluation_report(long: DataFrame, auc: str = "roc", average: str = "micro",
-                      score_buckets: int = 4096, by: tuple = ()) -> DataFrame:
+                      score_buckets: int = 512, by: tuple = ()) -> DataFrame:
     """Per label (auc, threshold, precision, recall, f1) at the tuned threshold, plus one
     row for the ``average`` (auc pooled for micro, mean for macro, support-weighted for weighted),
     for every ``by`` group in one plan.
@@ -251,29 +277,39 @@ def _average_row(per: DataFrame, average: str, by: list[str]) -> DataFrame:
                                 *[c.alias(n) for c, n in zip(cols, ("precision", "recall", "f1"))])
 
 
-def logits_report(long_logits: DataFrame, threshold: float = 0.5, score_buckets: int = 4096) -> DataFrame:
+def logits_report(long_logits: DataFrame, threshold: float = 0.5, score_buckets: int = 512) -> DataFrame:
     """Sigmoid of logits; micro precision/recall/F1 at ``threshold`` and micro ROC AUC on the
-    probabilities; per label ROC AUC and F1 at the tuned threshold -> (metric, label, value)."""
+    probabilities; per label ROC AUC and F1 at the tuned threshold -> (metric, label, value). All of it is
+    read off one cumulative table."""
     probs = long_logits.withColumn(SCORE, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(SCORE).cast("double"))))
-    micro = averaged_prf(confusion(probs, F.col(SCORE) >= F.lit(threshold)), "micro")
-    cum = cumulative_counts(probs, score_buckets, pooled=POOLED)
-    aucs = roc_auc(cum)
-    thr = optimal_thresholds(pr_curve(cum.filter(F.col(LABEL) != POOLED)))
-    tuned = prf(confusion(tuned_predictions(probs, thr), F.col("pred")))
-    m = micro.select(F.inline(F.array(
-        F.struct(F.lit("f1_micro").alias("metric"), F.lit("all").alias(LABEL), F.col("f1").alias("value")),
-        F.struct(F.lit("precision_micro").alias("metric"), F.lit("all").alias(LABEL), F.col("precision").alias("value")),
-        F.struct(F.lit("recall_micro").alias("metric"), F.lit("all").alias(LABEL), F.col("recall").alias("value")))))
-    a = aucs.select(F.when(F.col(LABEL) == POOLED, F.lit("roc_auc_micro")).otherwise(F.lit("auc")).alias("metric"),
-                    F.when(F.col(LABEL) == POOLED, F.lit("all")).otherwise(F.col(LABEL)).alias(LABEL),
-                    F.col("auc").alias("value"))
-    f = tuned.select(F.lit("f1").alias("metric"), LABEL, F.coalesce(F.col("f1"), F.lit(0.0)).alias("value"))
-    return m.unionByName(a).unionByName(f)
-
-
-def error_types(long: DataFrame, pred: Column) -> DataFrame:
-    """Tp / fp / fn / tn per (row, label)."""
+    st = prf(label_stats(cumulative_counts(probs, score_buckets, pooled=POOLED), at=threshold))
+    real = F.col(LABEL) != POOLED
+    tp, fp, fn = (F.col(f"{c}_at") for c in ("tp", "fp", "fn"))
+    cell = lambda metric, label, v: F.struct(F.lit(metric).alias("metric"), label.alias(LABEL), v.cast("double").alias("value"))
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    rows = F.when(real, F.array(cell("auc", F.col(LABEL), F.col("auc")), cell("f1", F.col(LABEL), zero(F.col("f1"))))).otherwise(F.array(
+        cell("roc_auc_micro", F.lit("all"), F.col("auc")), cell("precision_micro", F.lit("all"), zero(safe_div(tp, tp + fp))),
+        cell("recall_micro", F.lit("all"), zero(safe_div(tp, tp + fn))),
+        cell("f1_micro", F.lit("all"), zero(safe_div(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn)))))
+    return st.select(F.inline(rows))
+
+
+def outcome(pred: Column) -> Column:
+    """tp / fp / fn / tn of a 0/1 prediction against the truth column."""
     p, y = pred.cast("int"), F.col(Y).cast("int")
-    kind = F.when((p == 1) & (y == 0), "fp").when((p == 0) & (y == 1), "fn") \
-        .when((p == 1) & (y == 1), "tp").otherwise("tn")
-    return long.select(ROW, LABEL, kind.alias("outcome"))
+    return F.when((p == 1) & (y == 0), "fp").when((p == 0) & (y == 1), "fn").when((p == 1) & (y == 1), "tp") \
+        .when((p == 0) & (y == 0), "tn")
+
+
+def error_types(long: DataFrame, pred: Column, texts: DataFrame | None = None) -> DataFrame:
+    """Tp / fp / fn / tn per (row, label), with the row's columns of ``texts(row_id, ...)`` if given.
+    Rows without a truth or a score have no outcome (NULL)."""
+    out = long.select(ROW, LABEL, outcome(pred).alias("outcome"))
+    return out if texts is None else out.join(texts, ROW)
+
+
+def error_types_wide(long: DataFrame, pred: Column, labels: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """M15, one column per label with its outcome (NULL where a row has no outcome for it)."""
+    kinds = [F.max(F.when(F.col(LABEL) == F.lit(l), F.col("outcome"))).alias(l) for l in labels]
+    out = error_types(long, pred).groupBy(ROW).agg(*kinds)
+    return out if texts is None else out.join(texts, ROW)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let, py_split
-from .prep import broadcast_if_small
-
-MAX_LITERAL_DICTIONARY = 50_000
 
 
 def _occurrences(text: Column, sub: Column) -> Column:
@@ -18,19 +15,23 @@ def _occurrences(text: Column, sub: Column) -> Column:
         .otherwise(F.lit(0).cast("bigint"))
 
 
-def expand_abbreviations(col, dictionary: dict[str, list[str]]) -> Column:
-    """Replace every space-separated token found in ``dictionary`` by its expansion; with
-    several candidates, the one occurring most often in the same text wins (ties: first listed).
+def dictionary_table(spark: SparkSession, dictionary: dict[str, list[str]]) -> DataFrame:
+    """A small dictionary as the table ``(token, expansions)`` that ``expand_abbreviations`` takes."""
+    return spark.createDataFrame(sorted(dictionary.items()), "token string, expansions array<string>")
+
+
+def expand_abbreviations(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
+    """Replace every space-separated token of ``col`` found in ``dictionary(token, expansions)`` by its
+    expansion; with several candidates, the one occurring most often in the same text wins (ties: first
+    listed). NULL texts stay NULL.
 
-    Per document the best expansion is computed once for each dictionary key the text contains
-    (presence is a hash-set ``IN``); tokens are then looked up in that small per-row map. The
-    dictionary is a bounded literal (no shuffle, no join).
+    The distinct tokens of a row join the dictionary; only matches come back (a row's matches, not its
+    tokens) and are looked up in a per-row map. The best expansion is found once per row and token.
     """
-    if len(dictionary) > MAX_LITERAL_DICTIONARY:
-        raise ValueError("dictionary too large for a literal map")
-    text = F.col(col) if isinstance(col, str) else col
-    keys = sorted(dictionary)
-    m = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.lit(v) for v in dictionary[k]]))])
+    text_hash = F.xxhash64(col)
+    toks = df.select(F.col(key).alias("_k"), text_hash.alias("_h"), F.explode(F.array_distinct(F.split(col, " "))).alias("token"))
+    hits = toks.join(dictionary.select("token", "expansions"), "token").groupBy("_k", "_h").agg(
+        F.map_from_entries(F.collect_set(F.struct("token", "expansions"))).alias("_m"))
     init = F.struct(F.lit(-1).cast("bigint").alias("n"), F.lit(None).cast("string").alias("best"))
 
     def best_of(t, cands):
@@ -38,54 +39,68 @@ def expand_abbreviations(col, dictionary: dict[str, list[str]]) -> Column:
                                                                F.struct(_occurrences(t, c).alias("n"), c.alias("best")))
                            .otherwise(acc))["best"]
 
-    def expand(t):
-        def with_tokens(toks):
-            present = F.array_distinct(F.filter(toks, lambda x: x.isin(keys)))
-            best = F.map_from_arrays(present, F.transform(present, lambda k: best_of(t, F.element_at(m, k))))
-            # bound once per row: an expression inside the per-token lambda would be re-evaluated per token
-            return let(best, lambda bm: F.array_join(
-                F.transform(toks, lambda x: F.coalesce(F.try_element_at(bm, x), x)), " "))
-        return let(F.split(t, " "), with_tokens)
+    def replaced(t):
+        best = F.transform_values("_m", lambda _, cands: best_of(t, cands))
+        # bound once per row: an expression inside the per-token lambda would be evaluated per token
+        return let(best, lambda bm: F.array_join(
+            F.transform(F.split(t, " "), lambda x: F.coalesce(F.try_element_at(bm, x), x)), " "))
 
-    return let(text, expand)
+    out = df.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (text_hash == F.col("_h")), "left")
+    new = F.when(F.col("_m").isNull(), F.col(col)).otherwise(let(F.col(col), replaced))
+    return out.select(*[new.alias(c) if c == col else F.col(c) for c in df.columns])
 
 
-def _grams(df: DataFrame, key: str, text_col: str, k: int, unit: str) -> DataFrame:
-    """(key, pos, gram hash). Tokens are hashed once (xxhash64); a gram's key is the hash of its
-    ``k`` token hashes, built inside one ``transform`` over the positions and only then exploded,
-    so an exploded row never carries the document's whole token array."""
-    toks = py_split(text_col) if unit == "word" else F.filter(F.split(F.col(text_col), ""), lambda x: x != "")
+def _tokens(df: DataFrame, text_col: str, unit: str) -> Column:
+    return py_split(text_col) if unit == "word" else F.filter(F.split(F.col(text_col), ""), lambda x: x != "")
+
 
+def _grams(df: DataFrame, key: str, text_col: str, k: int, unit: str) -> DataFrame:
+    """(key, pos, gram hash, hash of the token before, hash of the token after). Tokens are hashed once;
+    a gram's key is the hash of its ``k`` token hashes, built inside one ``transform`` over the positions
+    and only then exploded, so an exploded row never carries the document's whole token array."""
     def grams(h):
         idx = F.sequence(F.lit(0), F.size(h) - F.lit(k))
         return F.when(F.size(h) >= k, F.transform(idx, lambda i: F.struct(
-            i.alias("pos"), F.xxhash64(F.slice(h, i + 1, F.lit(k))).alias("_g"))))
+            i.alias("pos"), F.xxhash64(F.slice(h, i + 1, F.lit(k))).alias("_g"),
+            F.get(h, i - 1).alias("_prev"), F.get(h, i + k).alias("_next"))))
 
-    hashes = F.transform(toks, lambda t: F.xxhash64(t))
+    hashes = F.transform(_tokens(df, text_col, unit), lambda t: F.xxhash64(t))
     g = df.select(F.col(key).alias("_key"), let(hashes, grams).alias("_gs"))
     return g.select("_key", F.inline_outer("_gs")).filter(F.col("_g").isNotNull())
 
 
 def longest_shared_passage(a: DataFrame, a_key: str, a_text: str, b: DataFrame, b_key: str, b_text: str,
-                           k: int = 8, unit: str = "word", broadcast_rows: int = 5_000_000) -> DataFrame:
+                           k: int = 8, unit: str = "word") -> DataFrame:
     """For every (a, b) pair sharing a ``k``-gram, the longest common run of consecutive
     tokens -> (a_key, b_key, start_a, start_b, size); ties: smallest start_a, then start_b.
 
-    Grams are hashed (xxhash64) and equi-joined; every hit of one common run lies on one diagonal
-    ``pos_b - pos_a`` with consecutive ``pos_a``, so runs are gaps-and-islands per (a, b, diagonal)
-    and exact for runs of at least ``k`` tokens. The b side (the benchmark) is broadcast when a
-    bounded probe shows it is small; otherwise the join shuffles and AQE splits skewed grams.
+    Grams are hashed and equi-joined. Of all hits the join keeps only the ends of maximal runs: a run
+    starts where the tokens before differ and stops where the tokens after differ, and on one diagonal
+    ``pos_b - pos_a`` starts and stops alternate. Repetitive texts so give rows for their runs, not for
+    every pair of equal grams. The join's strategy and the split of hot grams are AQE's. The winning
+    run is verified token by token against both texts.
     """
-    ga = _grams(a, a_key, a_text, k, unit).withColumnRenamed("_key", "a").withColumnRenamed("pos", "pa")
-    gb = _grams(b, b_key, b_text, k, unit).withColumnRenamed("_key", "b").withColumnRenamed("pos", "pb")
-    hits = ga.join(broadcast_if_small(gb, broadcast_rows), "_g").withColumn("_d", F.col("pb") - F.col("pa"))
-    w = Window.partitionBy("a", "b", "_d").orderBy("pa")
-    isl = hits.withColumn("_island", F.col("pa") - F.row_number().over(w))
-    runs = isl.groupBy("a", "b", "_d", "_island").agg(F.min("pa").alias("start_a"), F.count(F.lit(1)).alias("_n"))
-    runs = runs.select("a", "b", "start_a", (F.col("start_a") + F.col("_d")).alias("start_b"),
-                       (F.col("_n") + F.lit(k - 1)).cast("bigint").alias("size"))
-    best = runs.groupBy("a", "b").agg(F.max_by(F.struct("start_a", "start_b", "size"),
-                                               F.struct(F.col("size"), -F.col("start_a"), -F.col("start_b"))).alias("_m"))
-    return best.select(F.col("a").alias(a_key), F.col("b").alias(b_key if b_key != a_key else b_key + "_b"),
-                       F.col("_m.start_a").cast("bigint").alias("start_a"),
-                       F.col("_m.start_b").cast("bigint").alias("start_b"), F.col("_m.size").alias("size"))
+    ga = _grams(a, a_key, a_text, k, unit).select(F.col("_key").alias("a"), F.col("pos").alias("pa"), "_g",
+                                                  F.col("_prev").alias("p1"), F.col("_next").alias("n1"))
+    gb = _grams(b, b_key, b_text, k, unit).select(F.col("_key").alias("b"), F.col("pos").alias("pb"), F.col("_g").alias("_g2"),
+                                                  F.col("_prev").alias("p2"), F.col("_next").alias("n2"))
+    differ = lambda x, y: F.col(x).isNull() | F.col(y).isNull() | (F.col(x) != F.col(y))
+    ends = ga.join(gb, (F.col("_g") == F.col("_g2")) & (differ("p1", "p2") | differ("n1", "n2")))
+    diag = ends.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("_d")).agg(
+        F.sort_array(F.collect_list(F.when(differ("p1", "p2"), F.col("pa")))).alias("_starts"),
+        F.sort_array(F.collect_list(F.when(differ("n1", "n2"), F.col("pa")))).alias("_stops"))
+    runs = diag.select("a", "b", "_d", F.inline(F.arrays_zip("_starts", "_stops"))).select(
+        "a", "b", F.col("_starts").alias("start_a"), (F.col("_starts") + F.col("_d")).alias("start_b"),
+        (F.col("_stops") - F.col("_starts") + F.lit(k)).cast("bigint").alias("size"))
+    best = runs.groupBy("a", "b").agg(F.max(F.struct(F.col("size"), (-F.col("start_a")).alias("na"), (-F.col("start_b")).alias("nb")))
+                                      .alias("_m"))
+    best = best.select("a", "b", (-F.col("_m.na")).alias("start_a"), (-F.col("_m.nb")).alias("start_b"), F.col("_m.size").alias("size"))
+
+    def cut(texts, key, text_col, name, start):
+        t = texts.select(F.col(key).alias(name), _tokens(texts, text_col, unit).alias("_t"))
+        return lambda rows, out: rows.join(t, name).withColumn(out, F.slice("_t", F.col(start) + 1, F.col("size").cast("int"))).drop("_t")
+
+    both = cut(b, b_key, b_text, "b", "start_b")(cut(a, a_key, a_text, "a", "start_a")(best, "_sa"), "_sb")
+    return both.filter(F.col("_sa") == F.col("_sb")).select(
+        F.col("a").alias(a_key), F.col("b").alias(b_key if b_key != a_key else b_key + "_b"),
+        F.col("start_a").cast("bigint").alias("start_a"), F.col("start_b").cast("bigint").alias("start_b"), "size")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.text import let
 
 
 # ---------------------------------------------------------------- P: projections and filters
@@ -104,13 +105,6 @@ def date_key(col) -> Column:
 
 
 # ---------------------------------------------------------------- J: joins
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only when a bounded probe proves it has at most ``max_rows`` rows;
-    otherwise leave the strategy to the optimizer (sort-merge / AQE conversion)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def join_registry(notes: DataFrame, registry: DataFrame, keys: list[str], labels: list[str],
                   label_prefixes: list[str] | None = None) -> DataFrame:
     """Notes inner-join a label registry. Only requested labels the notes do not already carry
@@ -143,48 +137,54 @@ def join_then_dedup(left: DataFrame, right: DataFrame, keys: list[str], dedup_ke
     return keyed_dedup(left.join(right, keys, "inner"), dedup_keys, order)
 
 
-def join_small_dimension(facts: DataFrame, dim: DataFrame, keys: list[str], max_rows: int = 1_000_000) -> DataFrame:
-    """Facts joined to a small dimension, broadcast when its size is proven bounded."""
-    return facts.join(broadcast_if_small(dim, max_rows), keys, "inner")
+def join_small_dimension(facts: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts joined to a small dimension. The strategy is the optimiser's: AQE broadcasts a side whose
+    measured size is below ``spark.sql.autoBroadcastJoinThreshold``."""
+    return facts.join(dim, keys, "inner")
 
 
 # ---------------------------------------------------------------- A1-A3: dedup and concatenation
+def first_row(order: list[str], others: list[str]) -> Column:
+    """Aggregate: the first row by ``order``, then by the other columns (a total order). One struct
+    carries order and payload once; partial aggregation keeps one candidate per key per task."""
+    return F.min(F.struct(*[F.col(c) for c in order + [c for c in others if c not in order]]))
+
+
 def keyed_dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """A1: one row per ``keys`` -- the first by ``order`` (ascending, then all columns for a total
-    order). Built as a hash aggregate with ``min_by``: map-side partial aggregation keeps one
-    candidate per key per task, so a hot key never piles up in one task."""
-    others = [c for c in df.columns if c not in keys]
-    tiebreak = order + [c for c in others if c not in order]
-    rest = [c for c in others]
+    """A1: one row per ``keys`` -- the first by ``order`` (ascending, then all columns for a total order)."""
+    rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.select(*keys).dropDuplicates(keys)
-    best = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in tiebreak]))
-    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col("_r." + c).alias(c) for c in rest])
+    own = [c for c in order if c in rest]
+    return df.groupBy(*keys).agg(first_row(own, rest).alias("_r")).select(*keys, *[F.col("_r." + c).alias(c) for c in rest])
 
 
-def _ordered_join(arr: Column, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(arr), lambda x: x["t"]), sep)
+def _ordered_join(arr: Column, sep: str, distinct: bool = False) -> Column:
+    """Join ``(k, t)`` structs in order; with ``distinct`` one text (the smallest) for every ``k``."""
+    s = F.array_sort(arr)
+    if distinct:
+        s = let(s, lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i - 1)["k"] != x["k"], F.lit(True))))
+    return F.array_join(F.transform(s, lambda x: x["t"]), sep)
 
 
 def ordered_concat(df: DataFrame, keys: list[str], line_col: str, text_col: str, sep: str = "\n",
                    out_col: str = "concat_text", chunk_lines: int | None = 1000) -> DataFrame:
     """A2: ``sep``-join ``text_col`` ordered by ``line_col`` (numeric), one row per ``keys``.
 
-    Null keys and null texts are removed first. With ``chunk_lines`` the lines of a note are
-    concatenated in line ranges first (partial strings), then the ranges are joined: a note with
-    very many lines is split across tasks before its final row is built.
+    Null keys and null texts are removed first, and a line number that occurs more than once keeps one
+    text (the smallest). With ``chunk_lines`` the lines of a note are concatenated in line ranges first
+    (a line number lies in one range), then the ranges are joined: a note with very many lines is split
+    across tasks before its final row is built.
     """
     base = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & F.col(text_col).isNotNull())
+    lines = F.collect_list(F.struct(F.col(line_col).alias("k"), F.col(text_col).alias("t")))
     if chunk_lines:
-        part = (base.groupBy(*keys, F.floor(F.col(line_col) / F.lit(chunk_lines)).alias("_chunk"))
-                .agg(_ordered_join(F.collect_list(F.struct(F.col(line_col).alias("k"), F.col(text_col).alias("t"))),
-                                   sep).alias("_part")))
+        part = base.groupBy(*keys, F.floor(F.col(line_col) / F.lit(chunk_lines)).alias("_chunk")) \
+            .agg(_ordered_join(lines, sep, distinct=True).alias("_part"))
         return part.groupBy(*keys).agg(
             _ordered_join(F.collect_list(F.struct(F.col("_chunk").alias("k"), F.col("_part").alias("t"))), sep)
             .alias(out_col))
-    return base.groupBy(*keys).agg(
-        _ordered_join(F.collect_list(F.struct(F.col(line_col).alias("k"), F.col(text_col).alias("t"))), sep)
-        .alias(out_col))
+    return base.groupBy(*keys).agg(_ordered_join(lines, sep, distinct=True).alias(out_col))
 
 
 def sort_group_concat(df: DataFrame, by: list[str], agg: str, sort_by: str, select: list[str],
@@ -192,63 +192,50 @@ def sort_group_concat(df: DataFrame, by: list[str], agg: str, sort_by: str, sele
     """A3: drop rows with any null, concatenate ``agg`` per ``by`` in ``sort_by`` order (or keep the
     row's own text when not collapsing), then one row per ``unique_key`` and project ``select``."""
     base = df.na.drop(how="any")
+    if not collapse:
+        return keyed_dedup(base, [unique_key], [sort_by]).withColumn(out_col, F.col(agg)).select(*select)
+    if by == [unique_key]:  # the group is the row: concatenation and representative in one aggregate
+        rest = [c for c in df.columns if c != unique_key]
+        text = _ordered_join(F.collect_list(F.struct(F.col(sort_by).alias("k"), F.col(agg).alias("t"))), "\n")
+        one = base.groupBy(unique_key).agg(text.alias(out_col), first_row([sort_by], rest).alias("_r"))
+        return one.select(unique_key, out_col, *[F.col("_r." + c).alias(c) for c in rest]).select(*select)
     # one representative row per unique key first, then one concatenation per group joined to it:
     # joining the concatenation back to every line would copy a note's whole text once per line
     rep = keyed_dedup(base, [unique_key], [sort_by])
-    if collapse:
-        cat = ordered_concat(base, by, sort_by, agg, out_col=out_col)
-        out = rep.join(cat, by, "inner")
-    else:
-        out = rep.withColumn(out_col, F.col(agg))
-    return out.select(*select)
+    return rep.join(ordered_concat(base, by, sort_by, agg, out_col=out_col), by, "inner").select(*select)
 
 
 # ---------------------------------------------------------------- A8/A9: categorical labels
-def frequent_values(df: DataFrame, col: str, cut: float = K.RARE_CUT) -> list:
-    """Values whose share of the non-null rows is at least ``cut``; at most ``1/cut`` of them.
-
-    One aggregate gives the non-null total; the per-value counts are then filtered against
-    ``cut * total`` (no window over the value table, which can be as large as the column)."""
-    nn = df.filter(F.col(col).isNotNull())
-    total = nn.count()
-    if total == 0:
-        return []
-    counts = nn.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    # share >= cut  <=>  n >= cut * total  (compared in the same double arithmetic as the share)
-    kept = counts.filter((F.col("n") / F.lit(float(total))) >= F.lit(cut))
-    limit = int(1 / cut) + 2 if cut > 0 else None
-    rows = kept.limit(limit).collect() if limit else kept.collect()
-    return [r[col] for r in rows]
+def frequent_values(df: DataFrame, cols: list[str], cut: float = K.RARE_CUT) -> dict[str, list[str]]:
+    """Per column the values (as text) whose share of its non-null rows is at least ``cut`` (above 0); at
+    most ``1/cut`` of them a column reach the driver. One job for all columns."""
+    if cut <= 0:
+        raise ValueError("cut must be above 0: every value is frequent otherwise")
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    counts = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("c").agg(F.sum("n").cast("double").alias("t"))
+    kept = counts.join(total, "c").filter(F.col("n") / F.col("t") >= F.lit(cut)).collect()
+    return {c: sorted(r["v"] for r in kept if r["c"] == c) for c in cols}
 
 
 def mask_rare(df: DataFrame, cols: list[str], cut: float = K.RARE_CUT, token: str = "NULL") -> DataFrame:
-    """Values with share < ``cut`` of the column's non-null values become ``token``.
-
-    Only the frequent values (bounded by ``1/cut``) are collected; the mask is a literal ``isin``.
-    """
-    out = df
-    for c in cols:
-        keep = frequent_values(df, c, cut)
-        out = out.withColumn(c, F.when(F.col(c).isNull(), F.lit(None).cast("string"))
-                             .when(F.col(c).isin(keep), F.col(c).cast("string")).otherwise(F.lit(token)))
-    return out
-
-
-def one_hot(df: DataFrame, cols: list[str], max_values: int = 256, drop_source: bool = False):
-    """A ``{col}_{value}`` 0/1 column for each distinct non-null value (sorted).
-
-    The distinct values are fetched with one bounded job (fails above ``max_values``) because
-    the output schema depends on them. Returns (DataFrame, new label names).
-    """
-    out, names = df, []
-    for c in cols:
-        vals = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_values + 1).collect()]
-        if len(vals) > max_values:
-            raise ValueError(f"{c}: more than {max_values} distinct values; not a categorical label")
-        vals = sorted(vals, key=lambda v: str(v))
-        new = [F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}") for v in vals]
-        names += [f"{c}_{v}" for v in vals]
-        out = out.select(*out.columns, *new)
-        if drop_source:
-            out = out.drop(c)
-    return out, names
+    """Values with share < ``cut`` of the column's non-null values become ``token`` (``cut`` 0 masks
+    nothing). Only the frequent values (bounded by ``1/cut``) are collected."""
+    if cut <= 0:
+        return df.select(*[F.col(c).cast("string").alias(c) if c in cols else F.col(c) for c in df.columns])
+    keep = frequent_values(df, cols, cut)
+    return df.select(*[F.when(F.col(c).isNull(), F.lit(None).cast("string")).when(F.col(c).cast("string").isin(keep[c]), F.col(c).cast("string"))
+                       .otherwise(F.lit(token)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def one_hot(df: DataFrame, cols: list[str], values: dict[str, list] | None = None, cut: float = K.RARE_CUT,
+            drop_source: bool = False):
+    """A ``{col}_{value}`` 0/1 column for each value (sorted). The values are those given, or the
+    ones that A8 keeps at ``cut``: a label wide enough for a column has that share of the rows, and the
+    schema stays bounded by ``1/cut`` columns a label. Returns (DataFrame, new label names)."""
+    values = values or frequent_values(df, cols, cut)
+    new = [F.coalesce((F.col(c).cast("string") == F.lit(str(v))).cast("int"), F.lit(0)).alias(f"{c}_{v}")
+           for c in cols for v in sorted(values[c], key=str)]
+    names = [f"{c}_{v}" for c in cols for v in sorted(values[c], key=str)]
+    kept = [c for c in df.columns if not (drop_source and c in cols)]
+    return df.select(*kept, *new), names

@@ -6,14 +6,14 @@ Two shared building blocks:
   (hash, key) order. It counts rows per hash-prefix bucket (65,536 buckets, partial aggregation),
   then sorts only the one bucket that contains each cut. Nothing but bucket counts and the cut
   rows reach the driver, and no task sorts more than one bucket.
-* ``global_offsets`` gives every row the sum of a weight over all rows with a smaller key
-  (exclusive prefix sum). Keys are cut into ranges sized from a row count; per-range totals are
-  turned into range bases on a table with one row per range, and the in-range running sum is a
-  window partitioned by range.
+* ``global_offsets`` gives every row the sum of a weight over all rows before it (exclusive prefix
+  sum). Rows are cut into ranges of equal counts by sampled quantiles of the order columns; range
+  totals become range bases, and the in-range running sum is a window partitioned by range.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,33 +72,58 @@ def before_cut(hash_col: str, key_col: str, cut) -> Column:
     return (F.col(hash_col) < F.lit(h)) | ((F.col(hash_col) == F.lit(h)) & (F.col(key_col) < F.lit(k)))
 
 
-def global_offsets(df: DataFrame, key_col: str, weight_col: str, rows_per_range: int = 1_000_000,
+def range_bounds(df: DataFrame, order: list[str], n_rows: int, n_ranges: int, per_range: int = 50, seed: int = 17) -> list[tuple]:
+    """Bounds that cut ``df`` into about ``n_ranges`` ranges of equal row counts in ``order``: quantiles of a
+    sample of ``per_range`` rows a range (what the driver holds). Bounds are whole order tuples, so a
+    key that many rows share is cut too as long as a later order column tells its rows apart."""
+    if n_ranges <= 1:
+        return []
+    share = min(1.0, per_range * n_ranges / max(n_rows, 1))
+    sample = sorted(tuple(r) for r in df.select(*order).sample(False, share, seed).collect())
+    picks = [sample[len(sample) * i // n_ranges] for i in range(1, n_ranges)] if sample else []
+    return sorted(set(picks))
+
+
+def range_number(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
+    """How many bounds lie before a row: a binary search over a constant array."""
+    if not bounds:
+        return F.lit(0)
+    types = [df.schema[c].dataType.simpleString() for c in order]
+    schema = "array<struct<" + ",".join(f"o{i}:{t}" for i, t in enumerate(types)) + ">>"
+    table = F.from_json(F.lit(json.dumps([{f"o{i}": v for i, v in enumerate(b)} for b in bounds])), schema)
+    mine = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        open_ = acc["lo"] < acc["hi"]
+        right = F.get(table, mid) < mine
+        return F.struct(F.when(open_ & right, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(open_ & ~right, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda acc: acc["lo"])
+
+
+def global_offsets(df: DataFrame, order: list[str], weight_col: str, rows_per_range: int = 1_000_000,
                    out_col: str = "offset") -> tuple[DataFrame, int]:
-    """Add ``out_col`` = sum of ``weight_col`` over rows with a smaller numeric ``key_col``;
-    also return the grand total of the weight.
-
-    Keys must be unique. Ranges are equal-width on the key, their count taken from the row count
-    so that a range holds about ``rows_per_range`` rows on evenly spread keys. One small job
-    reads (min, max, count, total); the rest stays lazy. The windows run on the narrow
-    (key, weight) projection only; other columns are joined back on the key, so a range's task
-    never sorts wide rows.
-    """
-    st = df.agg(F.min(key_col).alias("lo"), F.max(key_col).alias("hi"), F.count(F.lit(1)).alias("n"),
-                F.sum(weight_col).alias("total")).collect()[0]
+    """Add ``out_col`` = sum of ``weight_col`` over the rows before this one in ``order``; also return the
+    grand total. Rows equal in all of ``order`` must be interchangeable.
+
+    Rows are cut into ranges of about ``rows_per_range`` by sampled quantiles; the ranges' totals become
+    their bases on the driver (a number a range), and the running sum inside a range is a window
+    partitioned by range. ``df`` is read three times (two narrow passes): pass a written table.
+    Other columns ride along, nothing is joined back."""
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.sum(weight_col).alias("total")).collect()[0]
     if st["n"] == 0:
         return df.withColumn(out_col, F.lit(0).cast("bigint")), 0
-    n_ranges = max(1, math.ceil(st["n"] / rows_per_range))
-    width = max(1, math.ceil((st["hi"] - st["lo"] + 1) / n_ranges))
-    rng = F.floor((F.col(key_col) - F.lit(st["lo"])) / F.lit(width)).cast("bigint")
-    narrow = df.select(key_col, weight_col)
-    tagged = narrow.withColumn("_rng", rng)
-    totals = tagged.groupBy("_rng").agg(F.sum(weight_col).alias("_tot"))
-    # one row per range: a window over it is bounded by n_ranges rows
-    bases = totals.select("_rng", (F.sum("_tot").over(Window.orderBy("_rng")) - F.col("_tot")).alias("_base"))
-    bases = F.broadcast(bases) if n_ranges <= 100_000 else bases
-    w = Window.partitionBy("_rng").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
-    offs = (tagged.join(bases, "_rng")
-            .select(key_col, (F.col("_base") + F.coalesce(F.sum(weight_col).over(w), F.lit(0))).cast("bigint").alias(out_col)))
-    others = [c for c in df.columns if c not in (key_col, weight_col)]
-    out = df.join(offs, key_col) if others else df.join(offs, key_col)
-    return out, int(st["total"] or 0)
+    bounds = range_bounds(df, order, st["n"], math.ceil(st["n"] / rows_per_range))
+    tagged = df.withColumn("_rng", range_number(df, order, bounds))
+    totals = {r["_rng"]: r["t"] or 0 for r in tagged.groupBy("_rng").agg(F.sum(weight_col).alias("t")).collect()}
+    bases, run = [], 0
+    for i in range(len(bounds) + 1):
+        bases.append(run)
+        run += totals.get(i, 0)
+    base = F.get(F.from_json(F.lit(json.dumps(bases)), "array<bigint>"), F.col("_rng"))
+    w = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.withColumn(out_col, (base + F.coalesce(F.sum(weight_col).over(w), F.lit(0))).cast("bigint"))
+    return out.drop("_rng"), int(st["total"] or 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -17,19 +17,25 @@ def line_table(df: DataFrame, key: str, text_col: str) -> DataFrame:
              .filter(F.col("line_no").isNotNull()).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+def merged_sentences(col, min_len: int = 3) -> Column:
+    """T10 helper: the sentences of a text; one with fewer than ``min_len`` words is appended to its
+    predecessor (a run of short sentences joins the same predecessor), the first is never merged."""
+    def long_enough(x):
+        return F.size(F.filter(F.split(x, PY_SPACE + "+"), lambda w: w != "")) >= min_len
+
+    def merge(s):
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | long_enough(F.get(s, i)))
+        parts = let(first, lambda f: F.transform(f, lambda b, j: F.array_join(
+            F.slice(s, b + 1, F.coalesce(F.get(f, j + 1), F.size(s)) - b), " ")))
+        return F.when(F.size(s) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+    return let(sentences(col), merge)
+
+
 def sentence_table(df: DataFrame, key: str, text_col: str, min_len: int = 3) -> DataFrame:
-    """(key, sent_no, sentence). A sentence with fewer than ``min_len`` words is appended to
-    its predecessor (a run of short sentences joins the same predecessor); the first sentence is
-    never merged. The running group number is a window partitioned by document."""
-    s = df.select(key, F.posexplode_outer(sentences(text_col)).alias("_pos", "_s")).filter(F.col("_pos").isNotNull())
-    n_words = F.size(F.filter(F.split(F.col("_s"), PY_SPACE + "+"), lambda x: x != ""))
-    starts = ((F.col("_pos") == 0) | (n_words >= min_len)).cast("int")
-    w = Window.partitionBy(key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    g = s.withColumn("_grp", F.sum(starts).over(w) - 1)
-    return (g.groupBy(key, "_grp")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_s"))), lambda x: x["_s"]),
-                              " ").alias("sentence"))
-            .select(key, F.col("_grp").cast("bigint").alias("sent_no"), "sentence"))
+    """(key, sent_no, sentence), merged inside the row: no exchange."""
+    return df.select(key, F.posexplode_outer(merged_sentences(text_col, min_len)).alias("sent_no", "sentence")) \
+             .filter(F.col("sent_no").isNotNull()).withColumn("sent_no", F.col("sent_no").cast("bigint"))
 
 
 def section_table(df: DataFrame, key: str, text_col: str, header_pattern: str = SECTION_HEADER) -> DataFrame:

@@ -59,9 +59,9 @@ def exact_sample(df: DataFrame, key: str, fraction: float, seed: int = SPLIT_SEE
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = SPLIT_SEED) -> DataFrame:
-    """R3 (approximate size, no extra job): keep a key when its md5 slot is below ``fraction``."""
-    slot = F.conv(F.substring(md5_key(seed, key), 1, 8), 16, 10).cast("bigint") % F.lit(10000)
-    return df.filter(slot < F.lit(int(round(fraction * 10000))))
+    """R3 (approximate size, no extra job): keep a key when its 32-bit md5 slot is below ``fraction``."""
+    slot = F.conv(F.substring(md5_key(seed, key), 1, 8), 16, 10).cast("bigint")
+    return df.filter(slot < F.lit(fraction * 4294967296.0))
 
 
 def cohort_split(df: DataFrame, key: str, site_col: str, site, version_col: str, test_version,

@@ -114,13 +114,13 @@ def subgroup_summary(df: DataFrame, key: str, flags: list[str], outcomes: list[s
     """Mean and sample std of every outcome over rows with ``flag == 1``, on deterministic
     hash samples of each fraction -> (fraction, flag, outcome, n, mean, std)."""
     slot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10) \
-        .cast("bigint") % F.lit(10000)
+        .cast("bigint")  # 32 bits
     fr = F.array(*[F.lit(float(f)) for f in fractions])
     long = (df.select(key, slot.alias("_slot"), *flags, *[F.col(o).cast("double").alias(o) for o in outcomes])
             .unpivot([key, "_slot", *outcomes], flags, "flag", "_fv").filter(F.col("_fv") == 1)
             .unpivot([key, "_slot", "flag"], outcomes, "outcome", "value")
             .withColumn("fraction", F.explode(fr))
-            .filter(F.col("_slot") < F.round(F.col("fraction") * 10000)))
+            .filter(F.col("_slot") < F.col("fraction") * 4294967296.0))
     return long.groupBy("fraction", "flag", "outcome").agg(
         F.count("value").cast("bigint").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"))

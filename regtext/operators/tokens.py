@@ -1,13 +1,12 @@
 """Token sequences and label matrices (K1-K4).
 
 Ids: UNK 0, PAD 1, START 2, END 3 (parameters), vocabulary from 4. A corpus vocabulary replaces
-the pretrained sub-word tokenizer of the original; a hashed vocabulary (md5 of the token) needs
-no join at all.
+the pretrained sub-word tokenizer of the original.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -16,39 +15,60 @@ from ..session import materialize as materialize_table
 from .ranking import global_offsets
 
 
-def build_vocabulary(docs: DataFrame, text_col: str, vocab_size: int = 30000, min_count: int = 1) -> DataFrame:
-    """(token, n, token_id): the ``vocab_size`` most frequent words (ties by token), ids from 4.
-
-    The ranking is a distributed top-k; the id window then runs over at most ``vocab_size`` rows.
-    """
+def build_vocabulary(docs: DataFrame, text_col: str, min_count: int = 1, rows_per_range: int = 1_000_000) -> DataFrame:
+    """(token, n, token_id): every word with ``min_count`` occurrences or more, ids from 4 by falling
+    count, ties by token. Ids come from a two-level rank over ranges of (count, token): no task and no
+    window holds the whole vocabulary."""
     freq = docs.select(F.explode_outer(unicode_words(text_col)).alias("token")).filter(F.col("token").isNotNull()) \
-        .groupBy("token") \
-        .agg(F.count(F.lit(1)).cast("bigint").alias("n")).filter(F.col("n") >= min_count)
-    top = freq.orderBy(F.desc("n"), F.asc("token")).limit(vocab_size)
-    return top.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
-                                     + F.lit(K.FIRST_VOCAB_ID - 1)).cast("int").alias("token_id"))
+        .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n")).filter(F.col("n") >= min_count)
+    counted = materialize_table(freq.select("token", "n", (-F.col("n")).alias("_o"), F.lit(1).cast("bigint").alias("_one")), "vocabulary")
+    ranked, _ = global_offsets(counted, ["_o", "token"], "_one", rows_per_range, out_col="_rank")
+    return ranked.select("token", "n", (F.col("_rank") + F.lit(K.FIRST_VOCAB_ID)).cast("int").alias("token_id"))
+
+
+def to_ids(docs: DataFrame, key: str, words: Column, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
+    """(key, ids): the words of every row as vocabulary ids, in order; unknown words are UNK.
 
+    Rows are dealt by row number before the words are exploded, so putting a row's ids together again
+    needs no second exchange when the vocabulary is small enough to be broadcast; how it is joined is
+    left to the optimiser. Rows are told apart by number, not by key."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), words.alias("_w"))
+    rows = rows.repartition("_row")
+    toks = rows.select("_row", key, F.posexplode_outer("_w").alias("_pos", "token"))
+    j = toks.join(vocab.select("token", "token_id"), "token", "left")
+    # a row without words keeps one line with a NULL position; it is left out of its list
+    entry = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce("token_id", F.lit(K.UNK_ID)).alias("id")))
+    seq = j.groupBy("_row", key).agg(F.sort_array(F.collect_list(entry)).alias("_s"))
+    return seq.select(key, F.transform("_s", lambda x: x["id"]).alias(out_col))
 
-def encode(docs: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int = K.MAX_SEQ_LEN,
-           broadcast_vocab: bool = True) -> DataFrame:
+
+def encode(docs: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int = K.MAX_SEQ_LEN) -> DataFrame:
     """K1: (key, input_ids, attention_mask): START + first ``max_len - 2`` word ids + END, padded.
 
-    Words are truncated *before* they are exploded, so a document contributes at most ``max_len``
-    rows to the join with the vocabulary; the vocabulary is capped at ``vocab_size`` rows and is
-    broadcast.
-    """
-    toks = docs.select(key, F.posexplode_outer(F.slice(unicode_words(text_col), 1, max_len - 2)).alias("pos", "token"))
-    v = vocab.select("token", "token_id")
-    j = toks.join(F.broadcast(v) if broadcast_vocab else v, "token", "left") \
-        .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(K.UNK_ID)))
-    # a document without words keeps one row with a NULL position; it is filtered out of its list
-    seq = j.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_s"))
-    ids = F.concat(F.array(F.lit(K.START_ID)), F.transform(F.col("_s"), lambda x: x["token_id"]), F.array(F.lit(K.END_ID)))
-    out = seq.select(key, ids.alias("_ids"))
+    Words are truncated *before* they are exploded: a document gives the join at most ``max_len`` rows."""
+    ids = to_ids(docs, key, F.slice(unicode_words(text_col), 1, max_len - 2), vocab, "_w")
+    out = ids.select(key, F.concat(F.array(F.lit(K.START_ID)), F.col("_w"), F.array(F.lit(K.END_ID))).alias("_ids"))
     return pad(out, "_ids", max_len).drop("_ids")
 
 
+def encode_sentences(docs: DataFrame, key: str, sentences_col: str, vocab: DataFrame, max_len: int = K.MAX_SEQ_LEN) -> DataFrame:
+    """K1 + K2 over sentence word lists: (key, input_ids, attention_mask) of START, the word ids of every
+    sentence with END behind each, cut or padded to ``max_len`` by ``flatten_ids``."""
+    ended = F.flatten(F.transform(sentences_col, lambda ws: F.array_append(ws, F.lit(SENTENCE_END))))
+    ids = to_ids(docs, key, ended, vocab.unionByName(_end_marker(docs.sparkSession, vocab)), "_w")
+    one = F.array(F.concat(F.array(F.lit(K.START_ID)), F.col("_w")))
+    return ids.select(key, flatten_ids(one, max_len).alias("t")).select(key, "t.input_ids", "t.attention_mask")
+
+
+# no corpus word holds a blank, so the marker of a sentence's end cannot be one
+SENTENCE_END = " end "
+
+
+def _end_marker(spark, vocab: DataFrame) -> DataFrame:
+    return spark.range(1).select(F.lit(SENTENCE_END).alias("token"), F.lit(0).cast("bigint").alias("n"),
+                                 F.lit(K.END_ID).cast("int").alias("token_id"))
+
+
 def pad(df: DataFrame, ids_col: str, max_len: int, pad_id: int = K.PAD_ID) -> DataFrame:
     n = F.size(F.col(ids_col))
     fill = F.greatest(F.lit(max_len) - n, F.lit(0))
@@ -56,12 +76,6 @@ def pad(df: DataFrame, ids_col: str, max_len: int, pad_id: int = K.PAD_ID) -> Da
              .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)))
 
 
-def hashed_ids(words: Column, vocab_size: int = 30000) -> Column:
-    """Hashed vocabulary: id = 4 + (first 6 hex digits of md5(word)) mod ``vocab_size``."""
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % F.lit(vocab_size)
-                                         + F.lit(K.FIRST_VOCAB_ID)).cast("int"))
-
-
 def flatten_ids(nested: Column, max_len: int = K.MAX_SEQ_LEN, start_id: int = K.START_ID, end_id: int = K.END_ID,
                 pad_id: int = K.PAD_ID) -> Column:
     """K2: flatten per-sentence id lists, drop every START but the first, then either cut to
@@ -80,22 +94,21 @@ def flatten_ids(nested: Column, max_len: int = K.MAX_SEQ_LEN, start_id: int = K.
 
 
 def pack_blocks(docs: DataFrame, key: str, ids_col: str, block: int = K.MAX_SEQ_LEN,
-                rows_per_range: int = 1_000_000, materialize: bool = True) -> DataFrame:
+                rows_per_range: int = 1_000_000) -> DataFrame:
     """K3: concatenate all id sequences in ``key`` order and cut into ``block``-long blocks; the
-    remainder is dropped; ``labels`` = ``input_ids``.
+    remainder is dropped; ``labels`` = ``input_ids``. Rows that share a key follow each other in the
+    order of a hash of their ids.
 
-    The id table is written once as Parquet under the shared checkpoint folder (lineage cut)
-    since the offsets and the blocks both read it. Each document gets its global start offset from a
-    two-level prefix sum (``global_offsets``), cuts its ids into the slices of the blocks it
-    overlaps inside one projection, and blocks are assembled by grouping on the block id: a block
-    never holds more than ``block`` ids, whatever the corpus size.
+    The id table is written once under the shared checkpoint folder (lineage cut). Each row gets its
+    global start offset from a two-level prefix sum (``global_offsets``), cuts its ids into the slices
+    of the blocks it overlaps inside one projection, and blocks are assembled by grouping on the
+    block id: a block never holds more than ``block`` ids, whatever the corpus size.
     """
-    ids = docs.select(key, ids_col).withColumn("_len", F.size(ids_col).cast("bigint"))
-    if materialize:
-        ids = materialize_table(ids, "k3-ids")
+    ids = docs.select(key, ids_col, F.size(ids_col).cast("bigint").alias("_len"), F.xxhash64(ids_col).alias("_tie"))
+    ids = materialize_table(ids, "k3-ids")
     # filtered after the lineage cut, so the id expression is not copied into a pushed-down filter
     ids = ids.filter(F.col("_len") > 0)
-    off, total = global_offsets(ids, key, "_len", rows_per_range, out_col="_off")
+    off, total = global_offsets(ids, [key, "_tie"], "_len", rows_per_range, out_col="_off")
     n_blocks = total // block
     if n_blocks == 0:
         return docs.sparkSession.createDataFrame([], "block_id bigint, input_ids array<int>, labels array<int>")
@@ -108,9 +121,9 @@ def pack_blocks(docs: DataFrame, key: str, ids_col: str, block: int = K.MAX_SEQ_
         return F.struct(b.alias("block_id"), F.slice(F.col(ids_col), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("p"))
 
     pieces = off.filter(first < F.lit(n_blocks)).select(
-        key, F.inline_outer(F.transform(F.sequence(first, last), piece))).filter(F.col("block_id").isNotNull())
+        "_off", F.inline_outer(F.transform(F.sequence(first, last), piece))).filter(F.col("block_id").isNotNull())
     blocks = pieces.groupBy("block_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("p").alias("p")))),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_off").alias("k"), F.col("p").alias("p")))),
                               lambda x: x["p"])).alias("input_ids"))
     return blocks.withColumn("labels", F.col("input_ids"))
 

@@ -155,10 +155,6 @@ def sentence_token_lists(x: str) -> str:
     return f"list_transform({sentences(x)}, lambda s: {space_tokens(rr('lower(s)', PY_SPACE + '+', ' '))})"
 
 
-def hashed(word: str) -> str:
-    return f"(4 + (('0x' || substr(md5({word}), 1, 6))::INTEGER % 30000))"
-
-
 def procedure_after(x: str) -> str:
     marker = K.PROCEDURE_AFTER_MARKER
     tail = q("(?s)(?:" + marker.replace("(?i)", "") + ")(.*)")
@@ -335,6 +331,8 @@ def oracle_sql() -> dict[str, str]:
     cpt = ", ".join(f"{r6('CPT_' + c)} AS CPT_{c}" for c in CODES)
     o["s4_code_features"] = (f"SELECT f.l_orderkey, strftime(o.o_orderdate, '%Y-%m-%d') AS order_date, {cpt} "
                              f"FROM ({code_pivot()}) f JOIN orders o ON f.l_orderkey = o.o_orderkey")
+    o["s4b_code_totals"] = (f"SELECT l_orderkey, l_returnflag || l_linestatus AS code, {r6('SUM(l_quantity)')} AS value FROM lineitem "
+                            "GROUP BY l_orderkey, l_returnflag || l_linestatus")
     o["s5_split_export"] = (f"SELECT doc_id, lang FROM ({split_rank('documents', 'doc_id')}) "
                             "WHERE rn >= floor((((1.0::DOUBLE - 0.8::DOUBLE) / 2.0::DOUBLE) + 0.8::DOUBLE) * n)")
     o["s6_results_table"] = (f"WITH {report_ctes()} SELECT label, {r6('auc')} AS valid_auc, {r6('f1')} AS valid_f1, "
@@ -342,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
     o["s7_prediction_dump"] = (f"WITH {report_ctes()} SELECT 'run0' AS run_id, CAST(0 AS BIGINT) AS epoch, row_id, label, "
                                f"y_true, p AS y_pred FROM pred")
     o["s8_frequency_table"] = (f"SELECT token, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({unicode_words('text')}) AS token "
-                               f"FROM documents WHERE lang = 'en') GROUP BY token")
+                               f"FROM documents) GROUP BY token")
     o["s9_metric_history"] = f"SELECT run_id, epoch, split, label, metric, {r6('value')} AS value FROM ({history_sql()})"
 
     o["p1_select_by_prefix"] = "SELECT p_partkey, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"
@@ -395,8 +393,9 @@ def oracle_sql() -> dict[str, str]:
 
     o["a1_keyed_dedup"] = ("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
                            "ORDER BY ts, event_id, event_type) AS rn FROM events) WHERE rn = 1")
-    o["a2_note_concat"] = ("SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS concat_text FROM conversations "
-                           "WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id, role")
+    o["a2_note_concat"] = ("SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS concat_text FROM "
+                           "(SELECT conv_id, role, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL "
+                           "AND role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id, role, turn) GROUP BY conv_id, role")
     o["a3_sort_group_concat"] = ("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS concat_text FROM conversations "
                                  "WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL "
                                  "GROUP BY conv_id")
@@ -438,14 +437,14 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT label, how, {r6('0.05 + 0.9 * CASE WHEN how = ' + q('null') + ' THEN share ELSE 1.0 - share END')} AS weight FROM s")
     o["a13_subgroup_summary"] = (
         f"WITH b AS (SELECT l.doc_id, quality, toxic, CAST(n_chars AS DOUBLE) AS n_chars, CAST(len({py_split('text')}) AS DOUBLE) AS n_words, "
-        "('0x' || substr(md5('42:' || CAST(l.doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000 AS slot "
+        "('0x' || substr(md5('42:' || CAST(l.doc_id AS VARCHAR)), 1, 8))::BIGINT AS slot "
         "FROM labels l JOIN documents d ON l.doc_id = d.doc_id), "
         "u AS (SELECT doc_id, slot, 'quality' AS flag, n_chars, n_words FROM b WHERE quality = 1 "
         "UNION ALL SELECT doc_id, slot, 'toxic', n_chars, n_words FROM b WHERE toxic = 1), "
         "v AS (SELECT slot, flag, 'n_chars' AS outcome, n_chars AS value FROM u UNION ALL SELECT slot, flag, 'n_words', n_words FROM u), "
         "f AS (SELECT unnest([1.0::DOUBLE, 0.5::DOUBLE, 0.1::DOUBLE]) AS fraction) "
         f"SELECT fraction, flag, outcome, CAST(count(value) AS BIGINT) AS n, {r6('avg(value)')} AS mean, {r6('stddev_samp(value)')} AS std "
-        "FROM v, f WHERE slot < round(fraction * 10000) GROUP BY fraction, flag, outcome")
+        "FROM v, f WHERE slot < fraction * 4294967296.0 GROUP BY fraction, flag, outcome")
     o["a14_mean_ci"] = (
         "WITH g AS (SELECT lang, avg(CAST(n_chars AS DOUBLE)) AS mean, stddev_samp(CAST(n_chars AS DOUBLE)) AS std, count(n_chars) AS n "
         "FROM documents WHERE n_chars IS NOT NULL AND NOT isnan(CAST(n_chars AS DOUBLE)) GROUP BY lang), "
@@ -470,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
     o["r3_exact_sample"] = f"SELECT doc_id, lang FROM ({split_rank('documents', 'doc_id')}) WHERE rn < floor(0.1::DOUBLE * n)"
 
     o["r3b_hash_sample"] = ("SELECT doc_id, lang FROM documents WHERE "
-                            "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000 < 1000")
+                            "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT < 0.1::DOUBLE * 4294967296.0")
     o["t1_keywords"] = f"SELECT doc_id, {keywords('text')} AS keywords FROM documents"
     o["t2_clean_report"] = f"SELECT doc_id, {clean_report('text')} AS cleaned FROM documents"
     o["t3_nondiagnostic"] = f"SELECT doc_id, {nondiagnostic('text')} AS cleaned FROM documents"
@@ -505,9 +504,23 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT doc_id, {stext} AS t FROM documents)))")
     htext = "CASE WHEN lang = 'en' THEN 'Reason for visit. Past Medical History: ' || text ELSE text END"
     o["t12_history_filter"] = f"SELECT doc_id, {history_sections(htext)} AS history FROM documents"
-    ptext = ("'Indication: ' || lang || ' PROCEDURE: ' || text || ' FINDINGS: ok ** Operative Report: ' || source || "
-             "' DISPOSITION: home'")
+    ptext = ("CASE WHEN lang = 'de' THEN 'Name of Operation: ' || text || ' #: Procedure type: ' || source ELSE "
+             "'Indication: ' || lang || ' PROCEDURE: ' || text || ' FINDINGS: ok ** Operative Report: ' || source || ' DISPOSITION: home' END")
     marker = K.PROCEDURE_AFTER_MARKER
+    start = {"p": f"(?s)^.*?(?:{K.PROCEDURE_PRIMARY_STARTS})(.*)$", "s": f"(?s)^.*?(?:{K.PROCEDURE_SECONDARY_STARTS})(.*)$"}
+    span_end = r"(?s)^(.*?)(?:(?i:\b\w+:)|\*+|#:|\z)"
+    strip_span = rr("span", f"^{PY_SPACE}+|{PY_SPACE}+$")
+    o["t13_procedure_section"] = (
+        f"WITH RECURSIVE t AS (SELECT doc_id, x, regexp_matches(x, {q(K.PROCEDURE_PRIMARY_STARTS)}) AS prim FROM "
+        f"(SELECT doc_id, {ptext} AS x FROM documents)), "
+        "r AS (SELECT doc_id, prim, 0 AS i, x AS rest, CAST(NULL AS VARCHAR) AS span FROM t UNION ALL "
+        "SELECT doc_id, prim, i + 1, substr(tail, length(sp) + 1), sp FROM (SELECT doc_id, prim, i, tail, "
+        f"regexp_extract(tail, {q(span_end)}, 1) AS sp FROM (SELECT doc_id, prim, i, CASE WHEN prim THEN regexp_extract(rest, {q(start['p'])}, 1) "
+        f"ELSE regexp_extract(rest, {q(start['s'])}, 1) END AS tail FROM r WHERE (prim AND regexp_matches(rest, {q(K.PROCEDURE_PRIMARY_STARTS)})) "
+        f"OR (NOT prim AND regexp_matches(rest, {q(K.PROCEDURE_SECONDARY_STARTS)}))))), "
+        f"c AS (SELECT doc_id, i, {strip_span} AS span FROM r WHERE i > 0) "
+        "SELECT t.doc_id, COALESCE(string_agg(c.span, ' ' ORDER BY i) FILTER (WHERE c.span <> ''), '') AS procedure "
+        "FROM t LEFT JOIN c ON t.doc_id = c.doc_id GROUP BY t.doc_id")
     o["t14_procedure_after"] = (
         f"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array({ptext}, '\\*+'), "
         f"lambda p: regexp_matches(p, {q(marker)})), lambda p: regexp_extract(p, {q('(?s)(?:' + marker.replace('(?i)', '') + ')(.*)')}, 1, 'i')), chr(10)) "
@@ -528,26 +541,44 @@ def oracle_sql() -> dict[str, str]:
     o["t20_cleaning_chain"] = (f"SELECT doc_id, cleaned FROM (SELECT doc_id, {nondiagnostic(history_sections(htext))} AS cleaned "
                                f"FROM documents) WHERE cleaned <> ''")
 
+    o["t20b_cleaning_report"] = (
+        f"WITH c0 AS (SELECT lang, {htext} AS a FROM documents), c1 AS (SELECT *, {history_sections('a')} AS b FROM c0), "
+        f"c2 AS (SELECT lang, a, b, {remove_time_info('b')} AS c FROM c1), c3 AS (SELECT *, {nondiagnostic('c')} AS d FROM c2), "
+        "s AS (SELECT lang, 0 AS step_no, 'history' AS step, a AS x, b AS y FROM c3 UNION ALL SELECT lang, 1, 'time_info', b, c FROM c3 "
+        "UNION ALL SELECT lang, 2, 'nondiagnostic', c, d FROM c3) "
+        "SELECT lang, CAST(step_no AS BIGINT) AS step_no, step, count(*) AS n_rows, CAST(SUM(CASE WHEN x <> y THEN 1 ELSE 0 END) AS BIGINT) AS n_changed, "
+        "CAST(SUM(CASE WHEN x <> '' AND y = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_emptied, CAST(SUM(length(x)) AS BIGINT) AS chars_before, "
+        "CAST(SUM(length(y)) AS BIGINT) AS chars_after FROM s GROUP BY lang, step_no, step")
+
     words = unicode_words("text")
     o["k1_vocab_encode"] = (
         f"WITH w AS (SELECT doc_id, list_slice({words}, 1, 510) AS ws FROM documents), "
         f"vocab AS (SELECT token, token_id FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM "
-        f"(SELECT token, count(*) AS n FROM (SELECT unnest({words}) AS token FROM documents) GROUP BY token)) WHERE token_id < 5004), "
+        f"(SELECT token, count(*) AS n FROM (SELECT unnest({words}) AS token FROM documents) GROUP BY token))), "
         "t AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM w), "
         "ids AS (SELECT w.doc_id, COALESCE(list(COALESCE(v.token_id, 0) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []) AS ids "
         "FROM w LEFT JOIN t ON w.doc_id = t.doc_id LEFT JOIN vocab v ON t.token = v.token GROUP BY w.doc_id) "
         "SELECT doc_id, array_to_string(list_resize(list_concat([2], ids, [3]), 512, 1), ',') AS input_ids, "
         "array_to_string(list_resize(list_transform(range(len(ids) + 2), lambda x: 1), 512, 0), ',') AS attention_mask FROM ids")
-    nested = (f"list_transform({sentence_token_lists('text')}, lambda ws: list_concat([2], list_transform(ws, lambda w: "
-              f"{hashed('w')}), [3]))")
+    vocab = (f"vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (SELECT token, count(*) AS n "
+             f"FROM (SELECT unnest({words}) AS token FROM documents) GROUP BY token))")
+    stripped = f"translate(s, {q(K.PUNCTUATION)}, '')"
     o["k2_flatten_ids"] = (
-        f"WITH f AS (SELECT doc_id, list_filter(flatten({nested}), lambda x, i: i = 1 OR x <> 2) AS k FROM documents) "
+        f"WITH {vocab}, s0 AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM (SELECT doc_id, {sentences('text')} AS l "
+        f"FROM documents)), g AS (SELECT *, SUM(CASE WHEN pos = 0 OR len({py_split('s')}) >= 3 THEN 1 ELSE 0 END) OVER "
+        "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM s0), "
+        "m AS (SELECT doc_id, grp, string_agg(s, ' ' ORDER BY pos) AS s FROM g GROUP BY doc_id, grp), "
+        f"w AS (SELECT doc_id, grp, {space_tokens(rr(f'lower({stripped})', PY_SPACE + '+', ' '))} AS ws FROM m), "
+        "t AS (SELECT doc_id, grp, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM w "
+        "UNION ALL SELECT doc_id, grp, NULL, 1000000000 FROM w), "
+        "i AS (SELECT doc_id, grp, pos, CASE WHEN t.token IS NULL THEN 3 ELSE COALESCE(v.token_id, 0) END AS id FROM t LEFT JOIN vocab v ON t.token = v.token), "
+        "f AS (SELECT doc_id, list_concat([2], list(id ORDER BY grp, pos)) AS k FROM i GROUP BY doc_id) "
         "SELECT doc_id, array_to_string(CASE WHEN len(k) >= 512 THEN list_concat(k[1:511], [3]) ELSE list_resize(k, 512, 1) END, ',') "
         "AS input_ids, array_to_string(CASE WHEN len(k) >= 512 THEN list_resize([1], 512, 1) ELSE "
         "list_resize(list_transform(k, lambda x: 1), 512, 0) END, ',') AS attention_mask FROM f")
     o["k3_pack_blocks"] = (
-        f"WITH t AS (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM (SELECT doc_id, "
-        f"list_transform({words}, lambda w: {hashed('w')}) AS ids FROM documents)), "
+        f"WITH {vocab}, w AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, {words} AS ws FROM documents)), "
+        "t AS (SELECT doc_id, pos, token_id AS id FROM w JOIN vocab USING (token)), "
         "r AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS rn, count(*) OVER () AS total FROM t) "
         "SELECT CAST(rn // 512 AS BIGINT) AS block_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS input_ids, "
         "CAST(count(*) AS BIGINT) AS n_labels FROM r WHERE rn // 512 < total // 512 GROUP BY rn // 512")
@@ -570,6 +601,35 @@ def oracle_sql() -> dict[str, str]:
         "SELECT k.conv_id, role, quality, toxic, text, CASE WHEN rn < floor(0.8::DOUBLE * n) THEN 'train' "
         "WHEN rn < floor((((1.0::DOUBLE - 0.8::DOUBLE) / 2.0::DOUBLE) + 0.8::DOUBLE) * n) THEN 'validation' ELSE 'test' END AS split "
         "FROM k JOIN u ON k.conv_id = u.conv_id")
+    o["e1b_first_line"] = (
+        "WITH n AS (SELECT conv_id // 2 AS surgery_id, conv_id, role, text FROM conversations WHERE turn = 0 AND text IS NOT NULL), "
+        "f AS (SELECT *, row_number() OVER (PARTITION BY surgery_id ORDER BY conv_id, role, text) AS rn FROM n) "
+        "SELECT surgery_id, conv_id, role, quality, text FROM (SELECT surgery_id, conv_id, role, "
+        f"CAST(COALESCE(quality, 0) AS BIGINT) AS quality, {nondiagnostic('text')} AS text FROM f JOIN labels l ON surgery_id = l.doc_id "
+        "WHERE rn = 1) WHERE text <> ''")
+    o["e1c_raw_registry"] = (
+        "WITH n AS (SELECT conv_id // 2 AS surgery_id, conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations "
+        "WHERE text IS NOT NULL AND conv_id IS NOT NULL AND role IS NOT NULL GROUP BY conv_id, role), "
+        "reg AS (SELECT doc_id, CASE WHEN doc_id % 29 = 3 THEN 'odd' || doc_id WHEN doc_id % 3 = 0 THEN 'low' ELSE 'high' END AS grade FROM documents), "
+        "j AS (SELECT * FROM (SELECT n.*, grade, row_number() OVER (PARTITION BY surgery_id ORDER BY conv_id, role) AS rn "
+        "FROM n JOIN reg ON surgery_id = doc_id) WHERE rn = 1), "
+        "sh AS (SELECT grade AS g, count(*)::DOUBLE / SUM(count(*)) OVER () AS share FROM j GROUP BY grade), "
+        "m AS (SELECT j.*, CASE WHEN share >= 0.03 THEN grade ELSE 'NULL' END AS masked FROM j JOIN sh ON grade = g), "
+        "v AS (SELECT DISTINCT masked AS val FROM m), "
+        f"c AS (SELECT surgery_id, conv_id, role, masked, {nondiagnostic('t')} AS text FROM m) "
+        "SELECT surgery_id, conv_id, role, md5(text) AS text_md5, 'grade_' || val AS label, CAST(CASE WHEN masked = val THEN 1 ELSE 0 END AS BIGINT) AS value "
+        "FROM c, v WHERE text <> ''")
+    o["e1d_version_split"] = (
+        "WITH n AS (SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations "
+        "WHERE text IS NOT NULL AND role IN ('user', 'assistant') AND conv_id IS NOT NULL GROUP BY conv_id, role), "
+        "j AS (SELECT n.conv_id, role, CAST(COALESCE(quality, 0) AS BIGINT) AS quality, CAST(COALESCE(toxic, 0) AS BIGINT) AS toxic, "
+        f"{nondiagnostic('t')} AS text FROM n JOIN labels l ON n.conv_id = l.doc_id), "
+        "k AS (SELECT j.*, CASE WHEN source = 'src0' THEN 'test' ELSE 'train' END AS side FROM j JOIN documents d ON j.conv_id = d.doc_id "
+        "WHERE j.text <> '' AND d.lang = 'en' AND source IS NOT NULL), "
+        "u AS (SELECT conv_id, row_number() OVER (ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id) - 1 AS rn, count(*) OVER () AS n "
+        "FROM (SELECT DISTINCT conv_id FROM k WHERE side = 'train')) "
+        "SELECT k.conv_id, role, quality, toxic, text, CASE WHEN u.rn < round_even(0.15::DOUBLE * u.n, 0) THEN 'validation' ELSE side END AS split "
+        "FROM k LEFT JOIN u ON k.conv_id = u.conv_id AND side = 'train'")
     base = f"long AS ({long_cte()})"
     o["m4_pr_curve"] = (f"WITH {base}, cum AS ({cum_cte('long')}), curve AS ({CURVE}) SELECT label, {r6('threshold')} AS threshold, "
                         f"{r6('precision')} AS precision, {r6('recall')} AS recall, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM curve")
@@ -606,6 +666,19 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT 'precision_micro', 'all', {r6('precision')} FROM mic UNION ALL SELECT 'recall_micro', 'all', {r6('recall')} FROM mic "
         f"UNION ALL SELECT CASE WHEN label = '__pooled__' THEN 'roc_auc_micro' ELSE 'auc' END, CASE WHEN label = '__pooled__' "
         f"THEN 'all' ELSE label END, {r6('auc')} FROM rank UNION ALL SELECT 'f1', label, {r6('COALESCE(' + F1 + ', 0.0)')} FROM prf")
-    o["m15_error_types"] = (f"WITH {base} SELECT row_id, label, CASE WHEN score >= 0.5 AND y_true = 0 THEN 'fp' WHEN score < 0.5 "
-                            f"AND y_true = 1 THEN 'fn' WHEN score >= 0.5 AND y_true = 1 THEN 'tp' ELSE 'tn' END AS outcome FROM long")
+    o["m3b_predicted_names"] = (f"WITH {base} SELECT row_id AS doc_id, COALESCE(string_agg(label, ',' ORDER BY label) FILTER (WHERE score >= 0.5), '') "
+                                "AS predicted FROM long GROUP BY row_id")
+    o["m14b_linear_attribution"] = (
+        f"WITH d AS (SELECT d.doc_id, quality, toxic, {unicode_words('text')} AS ws FROM documents d JOIN labels l ON d.doc_id = l.doc_id), "
+        "t AS (SELECT quality, toxic, unnest(ws) AS token FROM d), "
+        "n AS (SELECT count(*)::DOUBLE AS n, SUM(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS nq, SUM(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS nt FROM d), "
+        "s AS (SELECT token, count(*) AS s, SUM(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS sq, SUM(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS st FROM t GROUP BY token) "
+        f"SELECT 'quality' AS label, token, {r6('(length(token) - 4) * (sq - nq * s / n)')} + 0.0 AS attribution FROM s, n "
+        f"UNION ALL SELECT 'toxic', token, {r6('(length(token) - 4) * (st - nt * s / n)')} + 0.0 FROM s, n")
+    kind = ("CASE WHEN score >= 0.5 AND y_true = 0 THEN 'fp' WHEN score < 0.5 AND y_true = 1 THEN 'fn' "
+            "WHEN score >= 0.5 AND y_true = 1 THEN 'tp' ELSE 'tn' END")
+    o["m15_error_types"] = f"WITH {base} SELECT row_id, label, {kind} AS outcome, text FROM long JOIN documents ON row_id = doc_id"
+    o["m15b_error_types_wide"] = (f"WITH {base}, e AS (SELECT row_id, label, {kind} AS k FROM long) SELECT row_id, "
+                                  "max(CASE WHEN label = 'quality' THEN k END) AS quality, max(CASE WHEN label = 'toxic' THEN k END) AS toxic, "
+                                  "text FROM e JOIN documents ON row_id = doc_id GROUP BY row_id, text")
     return o

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..operators import cleaning as C
 from ..operators import metrics as M
+from ..operators import models as ML
 from ..operators import prep as P
 from ..operators import sections as S
 from ..operators import split as R
 from ..operators import stats as A
 from ..operators import tokens as TK
-from ..operators.pairs import expand_abbreviations, longest_shared_passage
+from ..operators.pairs import dictionary_table, expand_abbreviations, longest_shared_passage
 from ..sources import notes as SRC
 from ..sources import sinks as SINK
+from .cohort import build_cohort
 from .tables import (SCORE_MULTIPLIERS, history_text, measurement_text, procedure_text, r6, score_expr,
                      scored_long, sectioned_text, table, time_text)
 
@@ -39,6 +42,8 @@ def query(name: str):
 
 # fixed values of the test design: note types routed from the driver tables
 DIALOG_ROLES = ["user", "assistant"]
+# fixed values of the test design: the codes that become columns (all that orders have)
+ORDER_CODES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 ABBREVIATIONS = {"ed": ["education"], "th": ["the", "then"], "an": ["and", "another"], "of": ["off", "often"]}
 
 
@@ -82,7 +87,7 @@ def s3(spark, sf):
 
 def _order_codes(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("code", F.concat("l_returnflag", "l_linestatus"))
-    return SRC.code_features(li, "l_orderkey", None, "code", "l_quantity")
+    return SRC.code_features(li, "l_orderkey", None, "code", "l_quantity", ORDER_CODES)
 
 
 @query("s4_code_features")
@@ -94,6 +99,12 @@ def s4(spark, sf):
     return f.join(o, "l_orderkey").select("l_orderkey", "order_date", *[r6(c).alias(c) for c in codes])
 
 
+@query("s4b_code_totals")
+def s4b(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("code", F.concat("l_returnflag", "l_linestatus"))
+    return SRC.code_totals(li, "l_orderkey", None, "code", "l_quantity").withColumn("value", r6("value"))
+
+
 @query("s5_split_export")
 def s5(spark, sf):
     """Write the R1 split partitioned by split under the checkpoint folder; read the held-out part back."""
@@ -140,7 +151,7 @@ def s7(spark, sf):
 @query("s8_frequency_table")
 def s8(spark, sf):
     d = table(spark, sf, "documents")
-    return A.token_frequency(A.explode_tokens(d.filter(F.col("lang") == "en"), X.unicode_words("text")))
+    return A.token_frequency(A.explode_tokens(d, X.unicode_words("text")))
 
 
 @query("s9_metric_history")
@@ -273,7 +284,8 @@ def j5(spark, sf):
 @query("j6_abbrev_expand")
 def j6(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", expand_abbreviations("text", ABBREVIATIONS).alias("expanded"))
+    out = expand_abbreviations(d.select("doc_id", "text"), "doc_id", "text", dictionary_table(spark, ABBREVIATIONS))
+    return out.withColumnRenamed("text", "expanded")
 
 
 @query("j7_longest_shared_passage")
@@ -537,9 +549,15 @@ def t20(spark, sf):
     return P.empty_to_null(c, "cleaned")
 
 
+@query("t20b_cleaning_report")
+def t20b(spark, sf):
+    d = history_text(spark, sf).join(table(spark, sf, "documents", heavy=False).select("doc_id", "lang"), "doc_id")
+    return C.cleaning_report(d, ["history", "time_info", "nondiagnostic"], ["lang"])
+
+
 # ======================================================================= K: tokens
 def _vocab(spark, sf):
-    return TK.build_vocabulary(table(spark, sf, "documents"), "text", vocab_size=5000)
+    return TK.build_vocabulary(table(spark, sf, "documents"), "text")
 
 
 @query("k1_vocab_encode")
@@ -550,24 +568,22 @@ def k1(spark, sf):
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
-def _sentence_ids(spark, sf):
-    k5 = S.sentence_tokens(table(spark, sf, "documents"), "doc_id", "text")
-    nested = F.transform("tokens", lambda ws: F.concat(F.array(F.lit(K.START_ID)), TK.hashed_ids(ws),
-                                                       F.array(F.lit(K.END_ID))))
-    return k5.select("doc_id", nested.alias("ids"))
-
-
 @query("k2_flatten_ids")
 def k2(spark, sf):
-    s = _sentence_ids(spark, sf).select("doc_id", TK.flatten_ids(F.col("ids"), 512).alias("t"))
-    return s.select("doc_id", F.array_join("t.input_ids", ",").alias("input_ids"),
-                    F.array_join("t.attention_mask", ",").alias("attention_mask"))
+    # the model-input chain: sentences merged (T10), punctuation stripped (T7), word lists, ids, flattened
+    d = table(spark, sf, "documents")
+    lists = F.transform(X.strip_punctuation(S.merged_sentences("text")), lambda s: X.space_tokens(F.regexp_replace(F.lower(s), X.PY_SPACE + "+", " ")))
+    sent = d.select("doc_id", lists.alias("tokens"))
+    vocab = TK.build_vocabulary(d, "text")
+    ids = TK.encode_sentences(sent, "doc_id", "tokens", vocab)
+    return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"),
+                      F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
 @query("k3_pack_blocks")
 def k3(spark, sf):
     d = table(spark, sf, "documents")
-    ids = d.select("doc_id", TK.hashed_ids(X.unicode_words("text")).alias("ids"))
+    ids = TK.to_ids(d, "doc_id", X.unicode_words("text"), _vocab(spark, sf))
     b = TK.pack_blocks(ids, "doc_id", "ids", 512)
     return b.select("block_id", F.array_join("input_ids", ",").alias("input_ids"),
                     F.size("labels").cast("bigint").alias("n_labels"))
@@ -594,15 +610,51 @@ def k5b(spark, sf):
                     F.array_join(F.element_at("tokens", 1), " ").alias("tokens"))
 
 
+# ======================================================================= E: the cohort build
 @query("e1_cohort_build")
 def e1(spark, sf):
-    from .cohort import build_cohort
     conv = table(spark, sf, "conversations")
     out = build_cohort(conv, table(spark, sf, "labels"), "conv_id", "role", "turn", "text", {"conv_id": "doc_id"},
                        ["quality", "toxic"], descriptions=DIALOG_ROLES, sectionize=["medical history"])
     return out.select("conv_id", "role", F.col("quality").cast("bigint"), F.col("toxic").cast("bigint"), "text", "split")
 
 
+def _surgery_notes(spark, sf):
+    """Conversations as notes of which two belong to one surgery."""
+    return table(spark, sf, "conversations").withColumn("surgery_id", F.floor(F.col("conv_id") / 2).cast("bigint"))
+
+
+@query("e1b_first_line")
+def e1b(spark, sf):
+    out = build_cohort(_surgery_notes(spark, sf), table(spark, sf, "labels"), "conv_id", "role", "turn", "text",
+                       {"surgery_id": "doc_id"}, ["quality"], concatenate=False, first_line=0,
+                       label_source="comorbidity", drop_prefixes=["tox"], split=None)
+    return out.select("surgery_id", "conv_id", "role", F.col("quality").cast("bigint"), "text")
+
+
+@query("e1c_raw_registry")
+def e1c(spark, sf):
+    # a registry with a text label: two common values, and rare ones that are masked
+    k = F.col("doc_id")
+    raw = table(spark, sf, "documents", heavy=False).select(
+        "doc_id", F.when(k % 29 == 3, F.concat(F.lit("odd"), k.cast("string"))).when(k % 3 == 0, "low").otherwise("high").alias("grade"))
+    out = build_cohort(_surgery_notes(spark, sf), raw, "conv_id", "role", "turn", "text", {"surgery_id": "doc_id"}, ["grade"],
+                       label_source="raw", split=None)
+    names = [c for c in out.columns if c.startswith("grade_")]
+    flags = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"`{c}`").cast("bigint").alias("value")) for c in names])
+    return out.select("surgery_id", "conv_id", "role", F.md5("text").alias("text_md5"), F.inline(flags))
+
+
+@query("e1d_version_split")
+def e1d(spark, sf):
+    versions = table(spark, sf, "documents", heavy=False).select(
+        F.col("doc_id").alias("conv_id"), F.col("lang").alias("site"), F.col("source").alias("version"))
+    out = build_cohort(table(spark, sf, "conversations"), table(spark, sf, "labels"), "conv_id", "role", "turn", "text",
+                       {"conv_id": "doc_id"}, ["quality", "toxic"], descriptions=DIALOG_ROLES, split="version",
+                       versions=versions, site="en", test_version="src0")
+    return out.select("conv_id", "role", F.col("quality").cast("bigint"), F.col("toxic").cast("bigint"), "text", "split")
+
+
 # ======================================================================= M: evaluation
 @query("m4_pr_curve")
 def m4(spark, sf):
@@ -628,11 +680,8 @@ def m6(spark, sf):
 
 @query("m7_optimal_threshold")
 def m7(spark, sf):
-    long = scored_long(spark, sf)
-    thr = M.optimal_thresholds(M.pr_curve(M.cumulative_counts(long)))
-    pred = M.tuned_predictions(long, thr)
-    n = pred.groupBy("label").agg(F.sum("pred").cast("bigint").alias("n_positive_pred"))
-    return thr.join(n, "label").select("label", r6("threshold").alias("threshold"), "n_positive_pred")
+    st = M.label_stats(M.cumulative_counts(scored_long(spark, sf))).filter(F.col("threshold").isNotNull())
+    return st.select("label", r6("threshold").alias("threshold"), (F.col("tp") + F.col("fp")).cast("bigint").alias("n_positive_pred"))
 
 
 @query("m8_roc_auc")
@@ -668,10 +717,36 @@ def m12(spark, sf):
     return M.logits_report(long).withColumn("value", r6("value"))
 
 
+def _texts(spark, sf):
+    return table(spark, sf, "documents", heavy=False).select(F.col("doc_id").alias("row_id"), "text")
+
+
+@query("m3b_predicted_names")
+def m3b(spark, sf):
+    lab = table(spark, sf, "labels")
+    scores = [score_expr("doc_id", m) for m in SCORE_MULTIPLIERS.values()]
+    return lab.select("doc_id", F.array_join(ML.names_above(list(SCORE_MULTIPLIERS), scores, 0.5), ",").alias("predicted"))
+
+
+@query("m14b_linear_attribution")
+def m14b(spark, sf):
+    """The arithmetic of M14 with weights that are a function of the token instead of fitted ones."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    counts = d.select("doc_id", "quality", "toxic", F.explode(X.unicode_words("text")).alias("token")) \
+        .groupBy("doc_id", "quality", "toxic", "token").agg(F.count(F.lit(1)).alias("x"))
+    w = (F.length("token") - F.lit(4)).cast("double")
+    att = ML.linear_attribution(counts, d, "token", ["quality", "toxic"], w)
+    return att.select("label", "token", (r6("attribution") + F.lit(0.0)).alias("attribution"))  # no negative zero
+
+
 @query("m15_error_types")
 def m15(spark, sf):
-    long = scored_long(spark, sf)
-    return M.error_types(long, F.col("score") >= 0.5)
+    return M.error_types(scored_long(spark, sf), F.col("score") >= 0.5, _texts(spark, sf))
+
+
+@query("m15b_error_types_wide")
+def m15b(spark, sf):
+    return M.error_types_wide(scored_long(spark, sf), F.col("score") >= 0.5, list(SCORE_MULTIPLIERS), _texts(spark, sf))
 
 
 def queries() -> dict[str, Q]:

@@ -76,10 +76,12 @@ def sectioned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def procedure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with several procedure starts, with secondary starts only, and with a span that no mark ends."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.lit("Indication: "), F.col("lang"), F.lit(" PROCEDURE: "), F.col("text"),
-                                       F.lit(" FINDINGS: ok ** Operative Report: "), F.col("source"),
-                                       F.lit(" DISPOSITION: home")).alias("text"))
+    several = F.concat(F.lit("Indication: "), F.col("lang"), F.lit(" PROCEDURE: "), F.col("text"),
+                       F.lit(" FINDINGS: ok ** Operative Report: "), F.col("source"), F.lit(" DISPOSITION: home"))
+    secondary = F.concat(F.lit("Name of Operation: "), F.col("text"), F.lit(" #: Procedure type: "), F.col("source"))
+    return d.select("doc_id", F.when(F.col("lang") == "de", secondary).otherwise(several).alias("text"))
 
 
 def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,24 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions import text as X
+from ..operators.cleaning import chain
 from ..operators.prep import empty_to_null
 
-STEPS = {
-    "keywords": X.keywords,
-    "clean_report": X.clean_report,
-    "nondiagnostic": X.nondiagnostic,
-    "history": X.history_sections,
-}
-
-
 def cleaned_stream(stream: DataFrame, key: str, text_col: str, steps: list[str], out_col: str = "cleaned",
                    drop_empty: bool = True) -> DataFrame:
     """Apply the configured cleaning chain (T20) to a streaming DataFrame of notes."""
-    c = F.col(text_col)
-    for s in steps:
-        c = STEPS[s](c)
-    out = stream.select(key, c.alias(out_col))
+    out = stream.select(key, chain(text_col, steps).alias(out_col))
     return empty_to_null(out, out_col) if drop_empty else out
 
 

@@ -12,7 +12,7 @@ from regtext.operators import sections as S
 from regtext.operators import split as R
 from regtext.operators import stats as A
 from regtext.operators import tokens as TK
-from regtext.operators.pairs import expand_abbreviations, longest_shared_passage
+from regtext.operators.pairs import dictionary_table, expand_abbreviations, longest_shared_passage
 
 
 def one(spark, expr, text):
@@ -84,11 +84,15 @@ def test_a16_true_minimum(spark):
 
 
 def test_j6_abbreviation(spark):
-    assert one(spark, lambda c: expand_abbreviations(c, {"mi": ["myocardial infarction"]}), "hx of mi") == \
-        "hx of myocardial infarction"
-    d = {"pt": ["patient", "physical therapy"]}
-    assert one(spark, lambda c: expand_abbreviations(c, d), "pt physical therapy pt") == \
-        "physical therapy physical therapy physical therapy"
+    def expanded(dictionary, *texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+        out = expand_abbreviations(df, "k", "t", dictionary_table(spark, dictionary))
+        return [r.t for r in out.orderBy("k").collect()]
+
+    assert expanded({"mi": ["myocardial infarction"]}, "hx of mi", None, "", "no match") == \
+        ["hx of myocardial infarction", None, "", "no match"]
+    assert expanded({"pt": ["patient", "physical therapy"]}, "pt physical therapy pt") == \
+        ["physical therapy physical therapy physical therapy"]
 
 
 def test_j7_char_mode(spark):
@@ -109,7 +113,7 @@ def test_k2_flatten(spark):
 def test_k3_blocks(spark):
     df = spark.createDataFrame([(1, list(range(300))), (2, list(range(300))), (3, list(range(500)))],
                                "k long, ids array<int>")
-    blocks = TK.pack_blocks(df, "k", "ids", 512, materialize=False).orderBy("block_id").collect()
+    blocks = TK.pack_blocks(df, "k", "ids", 512).orderBy("block_id").collect()
     assert [len(b.input_ids) for b in blocks] == [512, 512]
     assert blocks[0].input_ids == list(range(300)) + list(range(212))
     assert blocks[1].input_ids == list(range(212, 300)) + list(range(424))
@@ -239,7 +243,7 @@ def test_cohort_build_carries_join_keys(spark):
                                 "PAT_MRN_ID string, Surg_Dt string, HX_x int")
     out = build_cohort(notes, reg, "K_NOTE_KEY", "IP_NOTE_DESC", "LINE", "NOTE_TEXT",
                        {"PAT_MRN_ID": "PAT_MRN_ID", "Surg_Dt": "Surg_Dt"}, ["HX_x"], descriptions=["H&P"],
-                       sectionize=["medical history"], preprocess=False, split=False, carry=["PAT_MRN_ID", "Surg_Dt"])
+                       sectionize=["medical history"], preprocess=False, split=None)
     got = {r.K_NOTE_KEY: (r.HX_x, r.text) for r in out.collect()}
     assert got == {1: (1, "first\nsecond"), 2: (0, " diabetes mellitus")}
 
@@ -255,8 +259,8 @@ def test_s4_code_features_zero_fill_and_dates(spark):
     from regtext.sources.notes import code_features
     df = spark.createDataFrame([("m1", "2020-01-02 00:00:00.000000000", "33533", 1),
                                 ("m1", "2020-01-02 00:00:00.000000000", "33510", 2),
-                                ("m2", "2021-05-06", "33510", 1)], "CCF_MRN string, Surg_Dt string, code string, n int")
-    out = {r.CCF_MRN: r for r in code_features(df, "CCF_MRN", "Surg_Dt", "code", "n").collect()}
+                                ("m2", "2021-05-06", "33510", 1)], "PAT_MRN_ID string, Surg_Dt string, code string, n int")
+    out = {r.PAT_MRN_ID: r for r in code_features(df, "PAT_MRN_ID", "Surg_Dt", "code", "n", ["33510", "33533"]).collect()}
     assert str(out["m1"].Surg_Dt) == "2020-01-02" and out["m1"].CPT_33533 == 1 and out["m1"].CPT_33510 == 2
     assert out["m2"].CPT_33533 == 0
 
@@ -287,13 +291,11 @@ def test_j2_drops_before_join_and_renames_clashes(spark):
     assert sorted(out.columns) == ["HX_z", "d", "m", "note", "note_right"]
 
 
-def test_j4_broadcast_only_when_small(spark):
+def test_j4_join_without_forced_strategy(spark):
     facts = spark.range(100).withColumnRenamed("id", "k")
     dim = spark.range(10).withColumnRenamed("id", "k")
-    plan = P.join_small_dimension(facts, dim, ["k"], max_rows=20)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan.lower()
-    plan2 = P.join_small_dimension(facts, dim, ["k"], max_rows=5)._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in plan2.lower()
+    out = P.join_small_dimension(facts, dim, ["k"])
+    assert out.count() == 10 and "strategy=broadcast" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
 def test_a6_top_terms_ties_by_token(spark):

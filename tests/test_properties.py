@@ -41,7 +41,7 @@ def test_concat_preserves_lines(spark):
 
 def test_blocks_full_length(spark):
     d = table(spark, SF_SMALL, "documents")
-    ids = d.select("doc_id", TK.hashed_ids(X.unicode_words("text")).alias("ids"))
+    ids = TK.to_ids(d, "doc_id", X.unicode_words("text"), TK.build_vocabulary(d, "text"))
     blocks = TK.pack_blocks(ids, "doc_id", "ids", 512)
     total = ids.select(F.sum(F.size("ids"))).collect()[0][0]
     lens = [r.n for r in blocks.select(F.size("input_ids").alias("n")).collect()]
