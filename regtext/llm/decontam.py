@@ -36,14 +36,13 @@ from .common import fresh
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 PERMUTATIONS = 64
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 4096
 BLOCK_BYTES = 16 << 20
 PUNCTUATION = ".,;:!?\"'()[]"
-_DROP = str.maketrans("", "", PUNCTUATION)
 
 
-def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().translate(_DROP).encode("utf-8", "surrogatepass").split()
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION.encode()).split()
 
 
 def shingles(ws: list, k: int = SHINGLE_WORDS) -> list:
@@ -52,38 +51,73 @@ def shingles(ws: list, k: int = SHINGLE_WORDS) -> list:
     return [b" ".join(t) for t in zip(*(ws[i:] for i in range(k)))] if len(ws) >= k else [b" ".join(ws)]
 
 
-def _hashes(grams: list) -> np.ndarray:
+def _hashes(ws: list, k: int) -> np.ndarray:
+    """32-bit hashes of a text's shingles, rolled from word hashes. They only pick candidates: a collision
+    costs a verification, never a result."""
     import xxhash
-    return np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), dtype=np.uint64, count=len(ws))
+    k = min(k, len(ws))
+    n = len(ws) - k + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multiply-add permutations of the 32-bit numbers (odd factors), a row each."""
     rng = np.random.default_rng(9)
-    a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd: a bijection
-    return a[:, None], rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    """A multiply-add leaves the order of the low bits to the high ones; spread them first."""
-    h = h ^ (h >> np.uint64(31))
-    return h * np.uint64(0x9E3779B97F4A7C15)
+    a, b = rng.integers(0, 1 << 32, (2, n), dtype=np.uint32)
+    return (a | np.uint32(1))[:, None], b[:, None]
 
 
 def _signature(h: np.ndarray, perms) -> np.ndarray:
     a, b = perms
-    return (_mix(h)[None, :] * a + b).min(axis=1)
+    return (h[None, :] * a + b).min(axis=1)
 
 
 def _block_minima(h: np.ndarray, perms, width: int) -> np.ndarray:
     """MinHash signatures of consecutive blocks of ``width`` shingles, a column each."""
     a, b = perms
-    starts = np.arange(0, len(h), width)
-    step = max(width, (1 << 15) // width * width)  # bounds memory on very long texts
+    step = max(width, 1024 // width * width)  # what fits a core's cache, and bounds memory on long texts
     cols = []
     for lo in range(0, len(h), step):
-        part = _mix(h[lo:lo + step])[None, :] * a + b
-        cols.append(np.minimum.reduceat(part, starts[(starts >= lo) & (starts < lo + step)] - lo, axis=1))
-    return np.concatenate(cols, axis=1)
+        part = h[None, lo:lo + step] * a + b
+        cols.append(np.minimum.reduceat(part, np.arange(0, part.shape[1], width), axis=1))
+    return cols[0] if len(cols) == 1 else np.concatenate(cols, axis=1)
+
+
+class SizeClass:
+    """Signatures of the items of one size class. A table of the values' low bits, a row for each
+    permutation, turns most look-ups away before the sorted values are searched."""
+
+    def __init__(self, width: int, members: list[int], signatures: np.ndarray):
+        n, permutations = signatures.shape
+        self.width = width
+        self.bits = max(14, n.bit_length() + 7)
+        self.row = np.arange(permutations, dtype=np.uint64)[:, None]
+        values = ((self.row.T << np.uint64(32)) | signatures).ravel()
+        order = np.argsort(values, kind="stable")
+        self.values, self.members = values[order], np.repeat(np.array(members), permutations)[order]
+        self.table = np.zeros(permutations << self.bits, dtype=bool)
+        self.table[self._slots(signatures.T).ravel()] = True
+
+    def _slots(self, signatures: np.ndarray) -> np.ndarray:
+        return (signatures & np.uint32((1 << self.bits) - 1)) + (self.row << np.uint64(self.bits)).astype(np.int64)
+
+    def candidates(self, windows: np.ndarray) -> set[int]:
+        out: set[int] = set()
+        rows, cols = np.nonzero(self.table[self._slots(windows)])
+        v = (rows.astype(np.uint64) << np.uint64(32)) | windows[rows, cols]
+        lo = np.searchsorted(self.values, v)
+        hit = self.values[np.minimum(lo, len(self.values) - 1)] == v
+        for x, i in zip(v[hit].tolist(), lo[hit].tolist()):
+            while i < len(self.values) and int(self.values[i]) == x:
+                out.add(int(self.members[i]))
+                i += 1
+        return out
 
 
 class ItemIndex:
@@ -93,42 +127,30 @@ class ItemIndex:
         self.perms = _permutations(permutations)
         self.items = []
         classes: dict[int, list] = {}
+        hashes = []
         for item_id, text in items:
-            grams = sorted(set(shingles(tokens(text), k)))
+            ws = tokens(text)
+            grams = sorted(set(shingles(ws, k)))
             if grams:
                 classes.setdefault(max(8, 1 << (len(grams) - 1).bit_length()), []).append(len(self.items))
                 self.items.append((item_id, grams))
-        self.classes = []
-        for width, members in sorted(classes.items()):
-            sig = np.stack([_signature(_hashes(self.items[m][1]), self.perms) for m in members])
-            values = (sig ^ np.arange(permutations, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)).ravel()
-            order = np.argsort(values, kind="stable")
-            self.classes.append((width, values[order], np.repeat(np.array(members), permutations)[order]))
-        self.permutations = permutations
+                hashes.append(_hashes(ws, k))
+        self.classes = [SizeClass(width, members, np.stack([_signature(hashes[m], self.perms) for m in members]))
+                        for width, members in sorted(classes.items())]
 
     def search(self, text: str | None, k: int, containment: float):
         """``(item position, shared)`` for every item contained in the text."""
-        grams = shingles(tokens(text), k)
-        if not grams or not self.items:
+        ws = tokens(text)
+        if not ws or not self.items:
             return
-        h = _hashes(grams)
-        salt = (np.arange(self.permutations, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
-        least = self.classes[0][0]
-        fine = _block_minima(h, self.perms, least)
         candidates: set[int] = set()
-        for width, values, members in self.classes:
-            by = width // least  # blocks of this class are minima of the finest ones
+        fine = _block_minima(_hashes(ws, k), self.perms, self.classes[0].width)
+        for c in self.classes:
+            by = c.width // self.classes[0].width  # blocks of this class are minima of the finest ones
             blocks = fine if by == 1 else np.minimum.reduceat(fine, np.arange(0, fine.shape[1], by), axis=1)
-            windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            v = (windows ^ salt).ravel()
-            lo = np.searchsorted(values, v, "left")
-            hit = values[np.minimum(lo, len(values) - 1)] == v
-            for x, i in zip(v[hit].tolist(), lo[hit].tolist()):
-                while i < len(values) and int(values[i]) == x:
-                    candidates.add(int(members[i]))
-                    i += 1
+            candidates |= c.candidates(np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks)
         if candidates:
-            present = set(grams)
+            present = set(shingles(ws, k))
             for m in sorted(candidates):
                 own = self.items[m][1]
                 shared = sum(g in present for g in own)
