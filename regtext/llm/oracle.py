@@ -40,8 +40,8 @@ held AS (SELECT s.lang, s.sc FROM s JOIN good USING (doc_id)),
 tests AS (SELECT lang, r, i, c, count(*) AS n, count(*) FILTER (WHERE sc[r] > c) AS k
           FROM held, range(1, {len(_RULES) + 1}) x(r),
                (SELECT unnest({list(_CUTS)}) AS c, unnest(range(1, {len(_CUTS) + 1})) AS i) GROUP BY lang, r, i, c),
-terms AS (SELECT lang, r, i, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05 / 5) + (n - j) * ln(1 - 0.05 / 5))) AS p
-          FROM (SELECT lang, r, i, n, unnest(range(0, k + 1)) AS j FROM tests WHERE k < n * (0.05 / 5)) GROUP BY lang, r, i),
+terms AS (SELECT lang, r, i, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02 / 5) + (n - j) * ln(1 - 0.02 / 5))) AS p
+          FROM (SELECT lang, r, i, n, unnest(range(0, k + 1)) AS j FROM tests WHERE k < n * (0.02 / 5)) GROUP BY lang, r, i),
 passed AS (SELECT t.lang, t.r, t.i, t.c, coalesce(p <= 0.05 / (5 * greatest((SELECT count(*) FROM (SELECT DISTINCT lang FROM held)), 1)), false) AS ok
            FROM tests t LEFT JOIN terms ON t.lang IS NOT DISTINCT FROM terms.lang AND t.r = terms.r AND t.i = terms.i),
 cuts AS (SELECT lang, r, min(c) AS cut FROM (SELECT *, bool_and(ok) OVER (PARTITION BY lang, r ORDER BY i) AS o FROM passed) WHERE o GROUP BY lang, r),

@@ -35,7 +35,7 @@ SYMBOLS = "#*$%&|<>"
 # lenient to strict; a document is rejected above its cut-off
 CUTOFFS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02)
 RULES = ("symbols", "repeats", "dup_lines", "uppercase", "monotony")
-MAX_FALSE_REJECTION = 0.05
+MAX_FALSE_REJECTION = 0.02
 DELTA = 0.05
 
 

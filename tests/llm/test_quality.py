@@ -44,7 +44,7 @@ def test_binomial_tail_is_exact(spark):
     assert short.a >= short.b > 0  # shortening errs on the safe side
 
 
-def labelled(spark, n=4000):
+def labelled(spark, n=8000):
     good = " ".join(f"word{i}" for i in range(40))
     bad = good + " " + " ".join(f"%%%###{i}" for i in range(30))
     rows = [(i, bad if i % 4 == 0 else good, "en" if i % 2 == 0 else "de", "a", 0) for i in range(n)]
@@ -56,7 +56,7 @@ def test_cutoffs_certified_and_false_rejection_limited(spark):
     d, labels = labelled(spark)
     scored = Q.features(d, ["doc_id", "lang"])
     cuts = {r.stratum: r for r in Q.calibrate(scored, labels).collect()}
-    assert cuts["en"].n_good == 1000 and cuts["de"].n_good == 2000
+    assert cuts["en"].n_good == 2000 and cuts["de"].n_good == 4000
     assert cuts["de"].cut.symbols is not None and cuts["en"].cut.symbols is not None
     kept = Q.judge(scored, Q.calibrate(scored, labels)).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     assert dict(map(tuple, kept)) == {0: 0.0, 1: 1.0}
