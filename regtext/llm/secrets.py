@@ -1,8 +1,8 @@
 """Operator 7, secret scan with character Markov models (DataFrame functions only).
 
 Three fixed patterns give the base spans. A first-order character model of random strings (trained on
-the corpus's own base matches) and one of ordinary identifiers (trained on words of sampled texts
-without base matches) score every further long token; a token whose log-likelihood ratio favours
+the corpus's own base matches) and one of ordinary identifiers (trained on the strings that recur in
+sampled texts without base matches) score every further long token; a token whose log-likelihood ratio favours
 "random" by ``MARGIN`` nats or more becomes a span of kind ``markov``.
 
 Spans come from splitting a text by the pattern: the pieces between matches and the matches alternate,
@@ -39,6 +39,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MARGIN = 8.0
+BACKOFF = 32.0  # weight of a character's own frequency, in transitions
 SAMPLE_TEXTS = 20_000
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
@@ -99,9 +100,16 @@ def _transitions(strings: DataFrame, column: str) -> DataFrame:
 
 
 def _log_rows(counts: dict[str, int]) -> dict[str, float]:
-    """Log transition probabilities with add-one smoothing."""
-    totals = {a: len(ALPHABET) + sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
-    return {a + b: math.log((counts.get(a + b, 0) + 1) / totals[a]) for a in ALPHABET for b in ALPHABET}
+    """Log transition probabilities, each row backed off to the characters' own frequencies: a transition
+    that was never seen is as likely as its second character is common, not as a uniform draw."""
+    seen = {b: 0.5 + sum(counts.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+    total = sum(seen.values())
+    out = {}
+    for a in ALPHABET:
+        n = sum(counts.get(a + b, 0) for b in ALPHABET)
+        for b in ALPHABET:
+            out[a + b] = math.log((counts.get(a + b, 0) + BACKOFF * seen[b] / total) / (n + BACKOFF))
+    return out
 
 
 def train(scanned: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", sample_texts: int = SAMPLE_TEXTS) -> list[float] | None:
@@ -111,7 +119,8 @@ def train(scanned: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     share = min(1.0, sample_texts / max(total, 1))
     ordinary = docs.filter(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0)) \
         .filter(~F.rlike(or_empty(F.col(text)), F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{MIN_HEX}}}"))) \
-        .select(F.explode(F.regexp_extract_all(or_empty(F.col(text)), F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("v"))
+        .select(F.explode(F.array_distinct(F.regexp_extract_all(or_empty(F.col(text)), F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0)))).alias("v")) \
+        .groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")  # a random string does not recur
     models = []
     for sample in (random, ordinary):
         counts = {r["p"]: r["n"] for r in _transitions(sample, "v").collect()}  # at most len(ALPHABET)^2 rows
