@@ -8,15 +8,22 @@ documents share gives one row per holder and never all pairs. Each match is exte
 its diagonal over the line hashes of the two documents, and the later run is deleted. A deleted line
 always has an equal line earlier in the order, so the first copy of every line stays.
 
+Beside the grams, every shortest window of fewer than ``GRAM + WINDOW - 1`` lines with ``RUN_WORDS`` words is looked up, from each line forwards and backwards, and deleted unless it is the first of its kind. Any
+run of that size that occurs earlier, in whatever document, is a union of such windows: its first window starts
+it, its last one ends it, and the one from each line between lies inside it. So all of its lines go, whichever
+documents hold its parts. Longer runs
+rest on the anchors.
+
 Within one (document, anchor document) pair, matches are taken in position order and one whose gram
 already lies in a deleted run is skipped; this keeps texts of one endlessly repeated line linear.
 
-Only line hashes (8 bytes a line) are shuffled for the search. The texts are dealt once by key, to
+Only line, gram and window hashes (8 bytes each) are shuffled for the search. The texts are dealt once by key, to
 meet the runs to delete.
 
 Defined cases: a NULL text stays NULL, an empty text has one blank line; lines are compared without
-ASCII whitespace at their ends; grams of blank lines only are never selected; a text with fewer than
-``GRAM`` lines is left alone, one with fewer than ``WINDOW`` grams has one window; rows equal in key
+ASCII whitespace at their ends; grams and windows of blank lines only are never selected; a text with fewer
+than ``GRAM`` lines has windows only, one with fewer than ``WINDOW`` grams has one window of grams; a
+document whose lines are all deleted keeps an empty text; rows equal in key
 and text are one document and get one result each; a NULL key sorts first; an empty table gives an
 empty result; extra columns pass through.
 """
@@ -27,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACE_CHARS, bind, fresh, internal_id, or_empty
+from .common import SPACE_CHARS, bind, fresh, internal_id, or_empty, words
 
 GRAM = 3
 WINDOW = 3
+RUN_WORDS = 50  # a repeated run of this many words is deleted, whatever its number of lines
 NEVER = (1 << 63) - 1  # hash of a gram that is not to be selected
 
 
@@ -38,6 +46,11 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(or_empty(text), "\n"), lambda l: F.xxhash64(F.btrim(l, F.lit(SPACE_CHARS))))
 
 
+def line_words(text: Column) -> Column:
+    """The number of words of each line."""
+    return F.transform(F.split(or_empty(text), "\n"), lambda l: F.size(words(l)))
+
+
 def _grams(lines: Column, gram: int) -> Column:
     blank = F.xxhash64(F.lit(""))
 
@@ -91,6 +104,35 @@ def _runs(mine: Column, theirs: Column, hits: Column, gram: int) -> Column:
     return F.aggregate(hits, F.array().cast("array<struct<s:int,e:int>>"), step)
 
 
+def _windows(counts: Column, longest: int, whole: bool) -> Column:
+    """``(s, n)`` of the shortest windows with ``RUN_WORDS`` words, or ``longest`` lines if ``whole``, that start
+    or end at each line. Coded as one long each, since a union of structs compares all pairs."""
+    def shortest(at, step):
+        total, n = F.get(counts, at), None
+        for k in range(1, longest + 1):
+            enough = total >= RUN_WORDS if k < longest else total.isNotNull() & F.lit(whole)
+            n = F.when(enough, k) if n is None else n.when(enough, k)
+            total = total + F.get(counts, at + step * k)
+        return n.cast("long")
+
+    code = longest + 1
+    ahead = F.transform(counts, lambda c, i: i * code + shortest(i, 1))
+    back = F.transform(counts, lambda c, i: bind(shortest(i, -1), lambda n: (i - n + 1) * code + n))
+    return F.transform(F.array_compact(F.array_union(ahead, back)), lambda v: F.struct(
+        F.floor(v / code).cast("int").alias("s"), (v % code).cast("int").alias("n")))
+
+
+def repeated_windows(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``(id, th, s, e)``: every window of lines that occurs earlier, in any document or its own."""
+    found = F.filter(_windows(F.col("words"), gram + window - 1, False),
+                     lambda w: F.exists(F.slice(F.col("words"), w["s"] + 1, w["n"]), lambda c: c > 0))
+    marks = hashed.select("id", "th", F.inline(F.transform(found, lambda w: F.struct(
+        w["s"].alias("s"), (w["s"] + w["n"]).alias("e"), F.xxhash64(F.slice(F.col("lines"), w["s"] + 1, w["n"])).alias("g")))))
+    marks = materialize(marks, "line-windows")
+    first = marks.groupBy("g").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return marks.join(first, "g").filter(F.struct("id", "th", "s") > F.col("first")).select("id", "th", "s", "e")
+
+
 def repeated_runs(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``(id, th, runs)``: the runs of lines to delete from every document that has any."""
     marks = materialize(fingerprints(hashed, gram, window), "line-fingerprints")
@@ -102,6 +144,8 @@ def repeated_runs(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     theirs = hashed.select(F.col("id").alias("aid"), F.col("th").alias("ath"), F.col("lines").alias("alines"))
     both = pairs.join(hashed, ["id", "th"]).join(theirs, ["aid", "ath"])
     runs = both.select("id", "th", _runs(F.col("lines"), F.col("alines"), F.col("hits"), gram).alias("runs"))
+    runs = runs.unionByName(repeated_windows(hashed, gram, window).select(
+        "id", "th", F.array(F.struct("s", "e")).alias("runs")))
     return runs.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
@@ -110,7 +154,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
     """``docs`` with the later repeated runs of lines deleted from ``text``; with ``report`` also the
     columns ``n_lines`` and ``n_deleted`` (long)."""
     ident = lambda: (internal_id(F.col(key)).alias("id"), F.xxhash64(or_empty(F.col(text))).alias("th"))
-    hashed = docs.filter(F.col(text).isNotNull()).select(*ident(), line_hashes(F.col(text)).alias("lines"))
+    hashed = docs.filter(F.col(text).isNotNull()).select(*ident(), line_hashes(F.col(text)).alias("lines"),
+                                                            line_words(F.col(text)).alias("words"))
     hashed = materialize(hashed, "line-hashes").dropDuplicates(["id", "th"])
     id_, th_, gone_ = (fresh(docs.columns, c) for c in ("id_", "th_", "gone_"))
     gone = repeated_runs(hashed, gram, window).select(F.col("id").alias(id_), F.col("th").alias(th_), F.array_distinct(

@@ -103,3 +103,30 @@ def test_awkward_rows_columns_and_empty_table(spark):
     assert L.dedup_lines(d.limit(0)).count() == 0
     report = L.dedup_lines(d, report=True)
     assert report.filter("doc_id = 47").select("n_lines", "n_deleted").first() is not None
+
+
+def earlier(rows, lines=5, words=50):
+    """Lines of every document in a run of so many lines or words that any earlier place holds."""
+    ident = lambda k, t: (LOW if k is None else k, of_text(t))
+    texts, seen, gone = {ident(k, t): t.split("\n") for k, t in rows}, set(), {}
+    for d in sorted(texts):
+        for i in range(len(texts[d])):
+            for k in range(1, min(lines, len(texts[d]) - i) + 1):
+                run = tuple(texts[d][i:i + k])
+                if k == lines or sum(len(x.split()) for x in run) >= words:
+                    if run in seen:
+                        gone.setdefault(d, set()).update(range(i, i + k))
+                    seen.add(run)
+    return [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(ident(k, t), ()))) for k, t in rows]
+
+
+def test_runs_of_fifty_words_go_whatever_their_number_of_lines(spark):
+    """Against all earlier documents. Three lines have 50 words here, so the grams add nothing to the windows."""
+    rnd = random.Random(8)
+    pool = [" ".join(f"p{j}w{i}" for i in range(rnd.choice([17, 17, 26, 60]))) for j in range(120)]
+    rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.5 else f"own{i}x{j} " + pool[0] for j in range(rnd.randint(1, 12))))
+            for i in range(150)]
+    want = earlier(rows)
+    assert sum(a != b for a, b in zip(rows, want)) > 50 and any(len(t.split("\n")) < 3 and not u for (_, t), (_, u) in zip(rows, want))
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table(got) == sorted(map(repr, want))
