@@ -8,11 +8,12 @@ documents share gives one row per holder and never all pairs. Each match is exte
 its diagonal over the line hashes of the two documents, and the later run is deleted. A deleted line
 always has an equal line earlier in the order, so the first copy of every line stays.
 
-Beside the grams, every shortest window of fewer than ``GRAM + WINDOW - 1`` lines with ``RUN_WORDS`` words is looked up, from each line forwards and backwards, and deleted unless it is the first of its kind. Any
+Beside the grams, every shortest window of consecutive lines with ``RUN_WORDS`` words or ``GRAM + WINDOW - 1``
+lines is looked up, from each line forwards and backwards, and deleted unless it is the first of its kind. Any
 run of that size that occurs earlier, in whatever document, is a union of such windows: its first window starts
 it, its last one ends it, and the one from each line between lies inside it. So all of its lines go, whichever
-documents hold its parts. Longer runs
-rest on the anchors.
+documents hold its parts. (With another ``gram`` or ``window`` only the windows below ``gram + window - 1`` lines
+are looked up; longer runs then rest on the anchors.)
 
 Within one (document, anchor document) pair, matches are taken in position order and one whose gram
 already lies in a deleted run is skipped; this keeps texts of one endlessly repeated line linear.
@@ -124,7 +125,8 @@ def _windows(counts: Column, longest: int, whole: bool) -> Column:
 
 def repeated_windows(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``(id, th, s, e)``: every window of lines that occurs earlier, in any document or its own."""
-    found = F.filter(_windows(F.col("words"), gram + window - 1, False),
+    whole = (gram, window) == (GRAM, WINDOW)
+    found = F.filter(_windows(F.col("words"), gram + window - 1, whole),
                      lambda w: F.exists(F.slice(F.col("words"), w["s"] + 1, w["n"]), lambda c: c > 0))
     marks = hashed.select("id", "th", F.inline(F.transform(found, lambda w: F.struct(
         w["s"].alias("s"), (w["s"] + w["n"]).alias("e"), F.xxhash64(F.slice(F.col("lines"), w["s"] + 1, w["n"])).alias("g")))))

@@ -130,3 +130,13 @@ def test_runs_of_fifty_words_go_whatever_their_number_of_lines(spark):
     assert sum(a != b for a, b in zip(rows, want)) > 50 and any(len(t.split("\n")) < 3 and not u for (_, t), (_, u) in zip(rows, want))
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert table(got) == sorted(map(repr, want))
+
+
+def test_five_line_runs_go_where_the_first_holder_has_only_their_gram(spark):
+    """Whichever gram is selected: for every part of the run there is a first holder of that part alone."""
+    run = [f"h{i}" for i in range(L.GRAM + L.WINDOW - 1)]
+    rows = [(i, "\n".join([f"a{i}", *run[i:i + L.GRAM], f"b{i}", f"c{i}"])) for i in range(L.WINDOW)]
+    rows += [(10 + i, "\n".join([f"own {i}", *run, f"more {i}", f"end {i}"])) for i in range(2)]
+    out = {r.doc_id: r.text.split("\n") for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[11] == ["own 1", "more 1", "end 1"]
+    assert all(x in out[i] for i, t in rows[:L.WINDOW] for x in t.split("\n") if x[0] != "h")
