@@ -190,18 +190,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
              distance: int = DISTANCE) -> DataFrame:
-    """One document of every component, all columns: the one with the smallest key. Of several rows with
-    that key the first in column order stays; of a component without any key, the first row."""
+    """One document of every component, all columns: the one with the smallest key. Of several rows of the
+    component with that key the first in column order stays; of a component without any key, the first row.
+    Rows are found again by their fingerprint, since rows of one key may lie in several components."""
     _, groups = _assign(docs, key, text, shingle, distance)
-    rn, fp, head, part, root = (fresh(docs.columns, c) for c in ("rn", "fingerprint", "head_", "part_", "root_"))
+    rn, fp, part, root, head = (fresh(docs.columns, c) for c in ("rn", "fingerprint", "part_", "root_", "head_"))
     order = [F.col(f"`{c}`").asc_nulls_first() for c in docs.columns]
-    heads = groups.filter("component_id IS NOT NULL").select(F.col("component_id").alias(head)).distinct()
-    keyed = docs.join(heads, F.col(key) == F.col(head), "left_semi") \
-        .withColumn(rn, F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    # rows without a key are found again by their fingerprint
-    nameless = fingerprints(docs.filter(F.col(key).isNull()), docs.columns, text, shingle)
-    roots = groups.filter("component_id IS NULL").select(F.col("fp").alias(part), F.col("root").alias(root))
-    nameless = nameless.join(roots, F.col(fp) == F.col(part)).withColumn(
-        rn, F.row_number().over(W.partitionBy(root).orderBy(*order)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.filter(F.col(rn) == 1).select(*columns).unionByName(nameless.filter(F.col(rn) == 1).select(*columns))
+    groups = groups.select(F.col("fp").alias(part), F.col("root").alias(root), F.col("component_id").alias(head))
+    rows = fingerprints(docs, docs.columns, text, shingle)
+    heads = rows.join(groups, (F.col(fp) == F.col(part)) & F.col(f"`{key}`").eqNullSafe(F.col(head))) \
+        .withColumn(rn, F.row_number().over(W.partitionBy(root).orderBy(*order)))
+    return heads.filter(F.col(rn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -116,3 +118,10 @@ def test_components_of_path_star_and_cycle(spark):
     assert all(got[5000 + i] == 5000 for i in range(30)) and got[-5] == got[-9] == -9
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert table(components(spark.createDataFrame([(3, 4), (3, 4)], "u long, v long"))) == ["(3, 3)", "(4, 3)"]
+
+
+def test_rows_of_one_key_in_several_components_are_all_heads(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(f"t{j}w{rnd.randrange(5000)}" for _ in range(120)) for j in range(4)]
+    rows = [(7, t, "en", "a", 0) for t in texts] + [(20 + i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    assert table(S.keep_one(docs(spark, rows))) == sorted(map(repr, rows[:4]))
