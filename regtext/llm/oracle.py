@@ -146,5 +146,13 @@ SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containme
 FROM m JOIN isz USING (rid) WHERE n_shared >= 0.8 * n_shingles"""
 
 
+# ---------------------------------------------------------------- op13: groups of equal normalised texts
+SQL["op13_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

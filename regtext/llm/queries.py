@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, decontam, licenses, linededup, mixing, passages, quality, secrets, simhash, warc
+from . import chat, decontam, exactdedup, licenses, linededup, mixing, passages, quality, secrets, simhash, warc
 from .common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,5 +100,10 @@ def op10(spark, sf):
                       F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op13_exact_dedup")
+def op13(spark, sf):
+    return exactdedup.exact_groups(read(spark, sf, "documents"), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
