@@ -146,6 +146,48 @@ SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containme
 FROM m JOIN isz USING (rid) WHERE n_shared >= 0.8 * n_shingles"""
 
 
+# ---------------------------------------------------------------- op11: every document scored for every item
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[0-9A-Za-z\x{80}-\x{10FFFF}]+')")
+SQL["op11_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS w FROM d),
+s AS (SELECT count(DISTINCT rid) AS n_docs, count(*) AS n_terms FROM t),
+tf AS (SELECT rid, w, count(*) AS tf FROM t GROUP BY ALL),
+m AS (SELECT rid, doc_id, 100 - 75 + (75 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+wt AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM tf, s GROUP BY w),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+iw AS (SELECT iid, item_id, w, count(*) AS c FROM (SELECT iid, item_id, unnest(w) AS w FROM (
+         SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS w FROM i)) GROUP BY ALL),
+sc AS (SELECT iid, item_id, rid, doc_id, CAST(sum(c * wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+       FROM iw JOIN wt USING (w) JOIN tf USING (w) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM sc WHERE score > 0
+WINDOW o AS (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= 10"""
+
+# ---------------------------------------------------------------- op12: rebuilt conversations and their distinct prefixes
+SQL["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, turn, length(coalesce(text, '')) AS chars,
+                  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, chars, g, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS pos FROM t),
+crc AS (SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+          lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS r FROM (SELECT DISTINCT c FROM n)),
+ids AS (SELECT c, c - c % 100 AS base, xor(r, 4294967295) % 6 AS h FROM crc),
+turns AS (SELECT ids.c, n.pos, n.g, n.chars FROM ids JOIN n ON n.c = ids.base WHERE n.pos <= h
+          UNION ALL SELECT ids.c, n.pos, n.g, n.chars FROM ids JOIN n ON n.c = ids.c WHERE n.pos > h),
+seq AS (SELECT c, list(g ORDER BY pos) AS p, list(chars ORDER BY pos) AS l FROM turns GROUP BY c
+        UNION ALL SELECT c, [], [] FROM ids WHERE c NOT IN (SELECT c FROM turns)),
+pre AS (SELECT c, p, l, unnest(range(0, len(p) + 1)) AS d FROM seq),
+node AS (SELECT p[1:d] AS path, d, min(c) AS conv_id, count(*) AS n, coalesce(any_value(l[d]), 0) AS chars,
+                coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = len(p)), '') AS ends FROM pre GROUP BY ALL),
+kid AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(k, 0) AS k, par.conv_id AS parent FROM node LEFT JOIN kid ON kid.path = node.path AND kid.d = node.d
+          LEFT JOIN node par ON par.d = node.d - 1 AND par.path = node.path[1:node.d - 1]),
+sub AS (SELECT a.path, a.d, sum((b.n - 1) * b.chars) AS saved, count(*) FILTER (WHERE b.k = 0) AS leaves
+        FROM node a JOIN full_ b ON b.d >= a.d AND b.path[1:a.d] = a.path GROUP BY a.path, a.d)
+SELECT conv_id, full_.d AS depth, parent AS parent_conv_id, n AS n_convs, k AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM full_ JOIN sub ON sub.path = full_.path AND sub.d = full_.d"""
+
 # ---------------------------------------------------------------- op13: groups of equal normalised texts
 SQL["op13_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, decontam, exactdedup, licenses, linededup, mixing, passages, quality, secrets, simhash, warc
+from . import chat, decontam, exactdedup, lexical, licenses, linededup, mixing, passages, quality, secrets, simhash, trie, warc
 from .common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,30 @@ def op10(spark, sf):
                       F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op11_lexical_search")
+def op11(spark, sf):
+    return lexical.search(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf):
+    return trie.prefix_trie(spliced(trie.numbered_turns(read(spark, sf, "conversations"))))
+
+
+def spliced(turns: DataFrame, longest: int = 6) -> DataFrame:
+    """The contract's rebuilt conversations: the first h turns of conversation c - c % 100, then c's own turns after
+    its first h, with h = crc32(c) % ``longest``; a conversation is listed (without a digest) even if nothing is left."""
+    turns = materialize(turns, "numbered-turns")
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % longest
+    base = F.col("conv") - F.col("conv") % 100
+    ids = turns.filter("pos = 1").select("conv", base.alias("base"), h.alias("h"))
+    heads = turns.filter((F.col("conv") == base) & (F.col("pos") < longest)).withColumnRenamed("conv", "base")
+    nothing = ids.select("conv", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("binary").alias("turn_digest"),
+                         F.lit(0).cast("long").alias("chars"))
+    return ids.join(heads, "base").filter("pos <= h").select("conv", "pos", "turn_digest", "chars") \
+        .union(turns.filter(F.col("pos") > h)).union(nothing)
+
+
 @query("op13_exact_dedup")
 def op13(spark, sf):
     return exactdedup.exact_groups(read(spark, sf, "documents"), keep="largest")
