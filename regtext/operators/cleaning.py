@@ -53,3 +53,38 @@ def cleaning_report(df: DataFrame, steps: list[str], by: list[str] | None = None
     return long.groupBy(*by, "step_no", "step").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("c").alias("n_changed"), F.sum("e").alias("n_emptied"),
         F.sum("b").alias("chars_before"), F.sum("a").alias("chars_after"))
+
+
+# ---------------------------------------------------------------- T1 with a lemma table
+def attested_lemmas(words: DataFrame, endings: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A lemma table ``(word, word_class, lemma)`` off a corpus' own vocabulary ``words(word)``: a word that ends in one of
+    the ``endings`` of a class has what stands before it as lemma, if the corpus has that as a word too. Of several
+    endings that fit, the longest counts."""
+    rules = F.array(*[F.struct(F.lit(c).alias("word_class"), F.lit(e).alias("ending")) for c, es in endings.items() for e in es])
+    cut = words.select("word", F.inline(rules)).filter(F.col("word").endswith(F.col("ending"))) \
+        .withColumn("lemma", F.expr("left(word, length(word) - length(ending))"))
+    known = cut.join(words.select(F.col("word").alias("lemma")), "lemma")
+    return known.groupBy("word", "word_class").agg(F.max_by("lemma", F.length("ending")).alias("lemma"))
+
+
+def lemmatise(df: DataFrame, key: str, col: str, lemmas: DataFrame, word_class: str | None = None) -> DataFrame:
+    """Replace every space-separated token of ``col`` by its lemma in ``lemmas(word, word_class, lemma)`` (of one class, or
+    of any; a word with several lemmas takes the smallest; a missing lemma leaves the word). NULL texts stay NULL.
+
+    The lemma table is first cut down to the words that the corpus has and that change. The distinct tokens of a
+    row meet it in a join, only those that change come back, as a map that the row looks its tokens up in: a
+    common word that is its own lemma never leaves its task."""
+    rules = lemmas.filter(F.col("word_class") == word_class) if word_class is not None else lemmas
+    rules = rules.filter(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("word"))).groupBy("word").agg(F.min("lemma").alias("lemma"))
+    used = rules.join(df.select(F.explode(F.array_distinct(F.split(col, " "))).alias("word")).distinct(), "word", "left_semi")
+    text = F.xxhash64(col)
+    tokens = df.select(F.col(key).alias("_k"), text.alias("_h"), F.explode(F.array_distinct(F.split(col, " "))).alias("word"))
+    found = tokens.join(used, "word").groupBy("_k", "_h").agg(F.map_from_entries(F.collect_set(F.struct("word", "lemma"))).alias("_m"))
+    out = df.join(found, F.col(key).eqNullSafe(F.col("_k")) & (text == F.col("_h")), "left")
+    new = F.array_join(F.transform(F.split(col, " "), lambda x: F.coalesce(F.try_element_at("_m", x), x)), " ")
+    return out.select(*[F.when(F.col("_m").isNull(), F.col(col)).otherwise(new).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
+def keywords_with_lemmas(df: DataFrame, key: str, text_col: str, lemmas: DataFrame, word_class: str | None = "verb", out_col: str = "keywords") -> DataFrame:
+    """T1 whole: the keyword string of ``text_col`` with its words reduced to their lemmas."""
+    return lemmatise(df.withColumn(out_col, X.keywords(text_col)), key, out_col, lemmas, word_class)

@@ -333,6 +333,18 @@ def oracle_sql() -> dict[str, str]:
                              f"FROM ({code_pivot()}) f JOIN orders o ON f.l_orderkey = o.o_orderkey")
     o["s4b_code_totals"] = (f"SELECT l_orderkey, l_returnflag || l_linestatus AS code, {r6('SUM(l_quantity)')} AS value FROM lineitem "
                             "GROUP BY l_orderkey, l_returnflag || l_linestatus")
+    o["s3b_tolerant_scan"] = (
+        "WITH l AS (SELECT doc_id, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic, "
+        "CASE WHEN doc_id % 7 = 3 THEN 'type' WHEN doc_id % 11 = 5 THEN 'few' WHEN doc_id % 13 = 1 THEN 'many' END AS broken FROM labels), "
+        "r AS (SELECT doc_id, CASE WHEN broken = 'type' THEN NULL ELSE quality END AS quality, CASE WHEN broken = 'few' THEN NULL ELSE toxic END AS toxic, "
+        "CASE broken WHEN 'type' THEN doc_id || ',oops,' || coalesce(toxic::VARCHAR, '') WHEN 'few' THEN doc_id || ',' || coalesce(quality::VARCHAR, '') "
+        "WHEN 'many' THEN doc_id || ',' || coalesce(quality::VARCHAR, '') || ',' || coalesce(toxic::VARCHAR, '') || ',more' END AS rejected_line FROM l) "
+        "SELECT *, count(*) OVER () AS n_rows, count(rejected_line) OVER () AS n_rejects FROM r")
+    o["s4c_code_vectors"] = (
+        "WITH t AS (SELECT l_orderkey, p_brand AS code, SUM(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL GROUP BY ALL), "
+        "c AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS code_id, count(*) OVER () AS n_codes FROM (SELECT DISTINCT code FROM t)) "
+        "SELECT l_orderkey, n_codes, row_number() OVER (PARTITION BY l_orderkey ORDER BY code_id) - 1 AS pos, code_id, "
+        f"{r6('value')} AS value FROM t JOIN c ON t.code = c.code WHERE value <> 0")
     o["s5_split_export"] = (f"SELECT doc_id, lang FROM ({split_rank('documents', 'doc_id')}) "
                             "WHERE rn >= floor((((1.0::DOUBLE - 0.8::DOUBLE) / 2.0::DOUBLE) + 0.8::DOUBLE) * n)")
     o["s6_results_table"] = (f"WITH {report_ctes()} SELECT label, {r6('auc')} AS valid_auc, {r6('f1')} AS valid_f1, "
@@ -471,6 +483,13 @@ def oracle_sql() -> dict[str, str]:
     o["r3b_hash_sample"] = ("SELECT doc_id, lang FROM documents WHERE "
                             "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT < 0.1::DOUBLE * 4294967296.0")
     o["t1_keywords"] = f"SELECT doc_id, {keywords('text')} AS keywords FROM documents"
+    o["t1b_keywords_lemma"] = (
+        f"WITH k AS (SELECT doc_id, {keywords('text')} AS kw FROM documents), "
+        "v AS (SELECT DISTINCT unnest(string_split(kw, ' ')) AS w FROM k), "
+        "r AS (SELECT w, e, left(w, length(w) - length(e)) AS lemma FROM v, (SELECT unnest(['ing', 'ed', 'es', 'en']) AS e) WHERE suffix(w, e)), "
+        "l AS (SELECT w, arg_max(lemma, length(e)) AS lemma FROM r WHERE lemma IN (SELECT w FROM v WHERE w <> '') GROUP BY w), "
+        "t AS (SELECT doc_id, unnest(string_split(kw, ' ')) AS w, generate_subscripts(string_split(kw, ' '), 1) AS p FROM k) "
+        "SELECT doc_id, string_agg(coalesce(l.lemma, t.w), ' ' ORDER BY p) AS keywords FROM t LEFT JOIN l ON l.w = t.w GROUP BY doc_id")
     o["t2_clean_report"] = f"SELECT doc_id, {clean_report('text')} AS cleaned FROM documents"
     o["t3_nondiagnostic"] = f"SELECT doc_id, {nondiagnostic('text')} AS cleaned FROM documents"
     mtext = ("'EF ' || CAST(l_quantity AS VARCHAR) || ' cm on ' || strftime(l_shipdate, '%Y-%m-%d') || ', gave ' || "

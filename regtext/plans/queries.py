@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..operators import attribution as AT
 from ..operators import cleaning as C
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -23,6 +24,7 @@ from ..operators import split as R
 from ..operators import stats as A
 from ..operators import tokens as TK
 from ..operators.pairs import dictionary_table, expand_abbreviations, longest_shared_passage
+from ..session import delete_on_exit, materialize, scratch_path
 from ..sources import notes as SRC
 from ..sources import sinks as SINK
 from .cohort import build_cohort
@@ -90,6 +92,21 @@ def _order_codes(spark, sf):
     return SRC.code_features(li, "l_orderkey", None, "code", "l_quantity", ORDER_CODES)
 
 
+@query("s3b_tolerant_scan")
+def s3b(spark, sf):
+    """``labels`` as a CSV with broken lines (a value of another type, a field too few, one too many), read back with
+    the rejected lines and their count from the same scan."""
+    i, q, t = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "quality", "toxic"))
+    line = F.when(F.col("doc_id") % 7 == 3, F.concat_ws(",", i, F.lit("oops"), t)).when(F.col("doc_id") % 11 == 5, F.concat_ws(",", i, q)) \
+        .when(F.col("doc_id") % 13 == 1, F.concat_ws(",", i, q, t, F.lit("more"))).otherwise(F.concat_ws(",", i, q, t))
+    path = scratch_path(spark, "registry-csv")
+    table(spark, sf, "labels").select(line.alias("value")).write.text(path)
+    delete_on_exit(spark, path)
+    rows, n = SRC.ingest_registry(spark, path, "doc_id bigint, quality bigint, toxic bigint", header=False)
+    return rows.select("doc_id", "quality", "toxic", F.col(SRC.CORRUPT).alias("rejected_line"),
+                       *[F.lit(n[c]).cast("bigint").alias(f"n_{c}") for c in ("rows", "rejects")])
+
+
 @query("s4_code_features")
 def s4(spark, sf):
     f = _order_codes(spark, sf)
@@ -105,6 +122,24 @@ def s4b(spark, sf):
     return SRC.code_totals(li, "l_orderkey", None, "code", "l_quantity").withColumn("value", r6("value"))
 
 
+def _brand_codes(spark, sf):
+    """(l_orderkey, code, value): the quantity of every part brand in an order, an open set of codes."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    rows = li.join(table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("code")), "p_partkey")
+    return SRC.code_totals(rows, "l_orderkey", None, "code", "l_quantity")
+
+
+@query("s4c_code_vectors")
+def s4c(spark, sf):
+    """The sparse vectors, read back as one row per entry."""
+    totals = _brand_codes(spark, sf)
+    codes, n = SRC.code_dictionary(totals)
+    v = F.unwrap_udt("features")
+    rows = SRC.code_vectors(totals, codes, n, "l_orderkey").select("l_orderkey", v["size"].cast("bigint").alias("n_codes"), v["values"].alias("v"),
+                                                                  F.posexplode(v["indices"]).alias("pos", "code_id"))
+    return rows.select("l_orderkey", "n_codes", *[F.col(c).cast("bigint").alias(c) for c in ("pos", "code_id")], r6(F.get("v", F.col("pos"))).alias("value"))
+
+
 @query("s5_split_export")
 def s5(spark, sf):
     """Write the R1 split partitioned by split under the checkpoint folder; read the held-out part back."""
@@ -439,6 +474,15 @@ def t1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.keywords("text").alias("keywords"))
 
 
+@query("t1b_keywords_lemma")
+def t1b(spark, sf):
+    """Verb endings against the corpus' own vocabulary as the lemma table."""
+    kw = materialize(table(spark, sf, "documents").select("doc_id", X.keywords("text").alias("keywords")), "keywords")
+    words = A.explode_tokens(kw, X.space_tokens("keywords")).select(F.col("token").alias("word")).distinct()
+    lemmas = C.attested_lemmas(words, {"verb": ("ing", "ed", "es", "en"), "noun": ("s", "en")})
+    return C.lemmatise(kw, "doc_id", "keywords", lemmas, "verb")
+
+
 @query("t2_clean_report")
 def t2(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.clean_report("text").alias("cleaned"))
@@ -735,7 +779,7 @@ def m14b(spark, sf):
     counts = d.select("doc_id", "quality", "toxic", F.explode(X.unicode_words("text")).alias("token")) \
         .groupBy("doc_id", "quality", "toxic", "token").agg(F.count(F.lit(1)).alias("x"))
     w = (F.length("token") - F.lit(4)).cast("double")
-    att = ML.linear_attribution(counts, d, "token", ["quality", "toxic"], w)
+    att = AT.linear_attribution(counts, d, "token", ["quality", "toxic"], w)
     return att.select("label", "token", (r6("attribution") + F.lit(0.0)).alias("attribution"))  # no negative zero
 
 

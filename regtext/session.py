@@ -74,12 +74,12 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, schema=None):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading it
     back: computed once, columnar on disk, and re-readable after an executor is lost. The table is
-    deleted when the application ends."""
+    deleted when the application ends. ``schema`` reads it as other types of the same storage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

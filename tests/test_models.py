@@ -67,11 +67,3 @@ def test_text_classifier_and_scoring_roundtrip(spark, tmp_path):
     loaded = ML.load_models(str(tmp_path), ["y"])
     scored = {r.row_id: r.score for r in ML.score(loaded, df, "doc_id", {"y": "y"}).collect()}
     assert all((scored[i] >= 0.5) == bool(i % 2) for i in range(40))
-
-
-def test_attribution_ranks_the_separating_word(spark):
-    docs = spark.createDataFrame([(i, "alpha beta" + (" gamma" if i % 2 else "")) for i in range(30)],
-                                 "doc_id long, text string")
-    lab = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int")
-    top = ML.attribution(docs, "doc_id", "text", lab, ["y"], k=1).collect()[0]
-    assert top.token == "gamma" and top.attribution > 0
