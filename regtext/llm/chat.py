@@ -8,7 +8,9 @@ canonical turns ``array<struct<role, text>>``.
 Turns are written as ``<turn ROLE>TEXT</turn>`` and a newline each. Inside roles and texts a backslash,
 ``<`` and ``>`` become ``\\s``, ``\\l`` and ``\\g``, so a control string never appears in a text and every
 text can be read back. The loss mask is the list of code-point spans of the assistant texts in the
-formatted string.
+formatted string. The shape of a long record is parsed off its skeleton, without its texts, and its texts are read
+without the parser's length limit, so a text may be as long as a value can be. A skeleton that is too large to be
+parsed raises an error.
 
 Defined cases: NULL roles and texts are empty; a shape without a mapping, NULL or malformed JSON gives
 NULL turns with ``layout`` NULL (the row stays); an empty message list gives no turns, an empty string
@@ -61,9 +63,41 @@ MAPPINGS = (
 )
 
 
+LONG_RECORD = 1_000_000  # characters from which a record's texts are emptied before its shape is parsed
+MAX_SKELETON = 15_000_000  # bytes that the shape's parser surely takes
+ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1)}  # the parser's own limit on a text is 20 million characters
+
+
+def without_texts(record: Column) -> Column:
+    """The JSON text with every string value emptied: the same field names in the same nesting."""
+    # without escaped backslashes and quotes, every quote left opens or closes a string
+    bare = F.replace(F.replace(record, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+
+    def emptied(parts):  # odd parts are strings; one before a colon is a field name
+        return F.array_join(F.transform(parts, lambda p, i: F.when(
+            (i % 2 == 0) | F.ltrim(F.get(parts, i + 1)).startswith(":"), p).otherwise("")), '"')
+
+    return bind(F.split(bare, '"'), emptied)
+
+
+def skeleton(record: Column) -> Column:
+    """``without_texts``, less the flat elements of a list that then equal the one just before them."""
+    def distinct(items):
+        return F.array_join(F.filter(items, lambda x, i: (i == 0) | (x != F.get(items, i - 1)) | x.rlike(r"[\[\]{}]")), "},{")
+
+    return bind(F.split(without_texts(record), r"\},\{"), distinct)
+
+
 def shape(record: Column) -> Column:
     """Nested field names of a JSON text, types left out: ``OBJECT<messages: ARRAY<OBJECT<content, role>>>``."""
-    typed = F.schema_of_variant(F.try_parse_json(record))
+    def typed_shape(short):
+        parsed = F.try_parse_json(short)
+        # more than the parser takes even without texts: an error, never a record without turns
+        return F.schema_of_variant(F.when(parsed.isNull() & (F.octet_length(short) >= MAX_SKELETON), F.raise_error(F.concat(
+            F.lit("a record with a skeleton of "), F.octet_length(short).cast("string"), F.lit(" bytes is too large for its shape to be parsed")))
+            .cast("variant")).otherwise(parsed))
+
+    typed = bind(F.when(F.length(record) >= LONG_RECORD, skeleton(record)).otherwise(record), typed_shape)
     scalar = r"(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|VARIANT|UUID|DECIMAL\([0-9]+, ?[0-9]+\)|DECIMAL\([0-9]+,[0-9]+\))"
     return F.regexp_replace(F.regexp_replace(typed, rf": {scalar}(?=[,>])", ""), rf"ARRAY<{scalar}>", "ARRAY<>")
 
@@ -75,11 +109,11 @@ def fingerprint(record: Column) -> Column:
 def _turns(record: Column, m: Mapping) -> Column:
     if m.fields:
         schema = "struct<" + ",".join(f"`{f}`:string" for _, f in m.fields) + ">"
-        return bind(F.from_json(record, schema), lambda r: F.array(*[F.struct(
+        return bind(F.from_json(record, schema, ANY_LENGTH), lambda r: F.array(*[F.struct(
             F.lit(role).alias("role"), or_empty(r[f]).alias("text")) for role, f in m.fields]))
     schema = f"struct<`{m.items}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
     rename = lambda c: F.coalesce(*[F.when(c == a, F.lit(b)) for a, b in m.roles.items()], c)
-    items = F.coalesce(F.from_json(record, schema)[m.items], F.array().cast(f"array<struct<`{m.role}`:string,`{m.text}`:string>>"))
+    items = F.coalesce(F.from_json(record, schema, ANY_LENGTH)[m.items], F.array().cast(f"array<struct<`{m.role}`:string,`{m.text}`:string>>"))
     return F.transform(items, lambda x: F.struct(rename(or_empty(x[m.role])).alias("role"), or_empty(x[m.text]).alias("text")))
 
 

@@ -1,6 +1,10 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from regtext.llm import chat as C
@@ -87,6 +91,46 @@ def test_layouts_by_shape(spark):
     assert C.format_records(df.limit(0), "k", "r").count() == 0
 
 
+def test_skeleton_keeps_the_shape(spark, monkeypatch):
+    records = ['{"messages":[{"role":"user","content":"x \\\\"},{"role":"a","content":"},{\\"role\\":"}]}', '{"prompt" : "a \\" : b", "completion": "{}"}',
+               '{"messages": []}', '{"a": {"b c": [1, 2.5, null, true, "x"], "d": "say \\"hi\\": y"}}', '["x", {"k": ""}]', '{"instruction":"","input":"\\\\\\"","output":"o"}',
+               '[{"x":[{"y":1},{"y":1}]},{"x":[{"y":1},{"y":2}]},{"x":[{"y":1},{"y":3}]}]']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "k long, r string")
+    plain = [r[0] for r in df.orderBy("k").select(C.shape(F.col("r"))).collect()]
+    monkeypatch.setattr(C, "LONG_RECORD", 0)
+    assert [r[0] for r in df.orderBy("k").select(C.shape(F.col("r"))).collect()] == plain and all(plain)
+    short = spark.createDataFrame([(1, '{"messages":[' + ",".join('{"role":"user","content":"%d"}' % i for i in range(5000)) + "]}")], "k long, r string")
+    assert short.select(F.length(C.skeleton(F.col("r")))).first()[0] < 150
+    monkeypatch.setattr(C, "MAX_SKELETON", 20)
+    broken = spark.createDataFrame([(1, '{"messages":[{"role":1},{"rolf":2},')], "k long, r string")
+    with pytest.raises(Exception, match="too large for its shape"):
+        broken.select(C.shape(F.col("r"))).collect()
+
+
+LONG_TEXTS = """
+import hashlib
+from pyspark.sql import functions as F
+from regtext.llm import chat as C
+from regtext.session import build_session, materialize
+spark = build_session("local[1]", shuffle_partitions=1, extra={"spark.driver.memory": "5g"})
+df = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "tool"), (2, 1, "assistant")], "conv_id long, turn long, role string")
+df = df.withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit("ab<xyz "), 3_000_000)).otherwise("short"))
+sha = hashlib.sha256(("ab<xyz " * 3_000_000).encode()).hexdigest()
+for conv, layout, roles in ((1, "prompt", ["user", "assistant"]), (2, "messages", ["tool", "assistant"])):
+    out = materialize(C.format_records(C.as_records(df.filter(F.col("conv_id") == conv)), "conv_id", "record"), "test-long-chat")
+    back = out.select("layout", C.read_back(F.col("formatted")).alias("t"), "loss")
+    r = back.select("layout", F.transform("t", lambda t: t["role"]).alias("roles"), F.sha2(C.under_mask(F.col("t"), F.col("loss")), 256).alias("sha")).first()
+    assert (r.layout, r.roles, r.sha) == (layout, roles, sha), r
+print("whole")
+"""
+
+
+def test_texts_longer_than_the_parsers_limit():
+    """21 million characters in two layouts: turns, digests and mask are whole. A process of its own, for its memory."""
+    done = subprocess.run([sys.executable, "-c", LONG_TEXTS], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=600)
+    assert done.stdout.strip().endswith("whole"), done.stderr[-3000:]
+
+
 def test_prefix_sums(spark):
     rnd = random.Random(0)
     cases = [[rnd.randrange(100) for _ in range(n)] for n in (0, 1, 2, 511, 512, 513, 1024, 2000)]
