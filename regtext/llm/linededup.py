@@ -12,8 +12,7 @@ Beside the grams, every shortest window of consecutive lines with ``RUN_WORDS``
 lines is looked up, from each line forwards and backwards, and deleted unless it is the first of its kind. Any
 run of that size that occurs earlier, in whatever document, is a union of such windows: its first window starts
 it, its last one ends it, and the one from each line between lies inside it. So all of its lines go, whichever
-documents hold its parts. (With another ``gram`` or ``window`` only the windows below ``gram + window - 1`` lines
-are looked up; longer runs then rest on the anchors.)
+documents hold its parts.
 
 Within one (document, anchor document) pair, matches are taken in position order and one whose gram
 already lies in a deleted run is skipped; this keeps texts of one endlessly repeated line linear.
@@ -105,13 +104,13 @@ def _runs(mine: Column, theirs: Column, hits: Column, gram: int) -> Column:
     return F.aggregate(hits, F.array().cast("array<struct<s:int,e:int>>"), step)
 
 
-def _windows(counts: Column, longest: int, whole: bool) -> Column:
-    """``(s, n)`` of the shortest windows with ``RUN_WORDS`` words, or ``longest`` lines if ``whole``, that start
+def _windows(counts: Column, longest: int) -> Column:
+    """``(s, n)`` of the shortest windows with ``RUN_WORDS`` words or ``longest`` lines that start
     or end at each line. Coded as one long each, since a union of structs compares all pairs."""
     def shortest(at, step):
         total, n = F.get(counts, at), None
         for k in range(1, longest + 1):
-            enough = total >= RUN_WORDS if k < longest else total.isNotNull() & F.lit(whole)
+            enough = total >= RUN_WORDS if k < longest else total.isNotNull()
             n = F.when(enough, k) if n is None else n.when(enough, k)
             total = total + F.get(counts, at + step * k)
         return n.cast("long")
@@ -125,8 +124,7 @@ def _windows(counts: Column, longest: int, whole: bool) -> Column:
 
 def repeated_windows(hashed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``(id, th, s, e)``: every window of lines that occurs earlier, in any document or its own."""
-    whole = (gram, window) == (GRAM, WINDOW)
-    found = F.filter(_windows(F.col("words"), gram + window - 1, whole),
+    found = F.filter(_windows(F.col("words"), gram + window - 1),
                      lambda w: F.exists(F.slice(F.col("words"), w["s"] + 1, w["n"]), lambda c: c > 0))
     marks = hashed.select("id", "th", F.inline(F.transform(found, lambda w: F.struct(
         w["s"].alias("s"), (w["s"] + w["n"]).alias("e"), F.xxhash64(F.slice(F.col("lines"), w["s"] + 1, w["n"])).alias("g")))))

@@ -24,10 +24,18 @@ def of_list(hs):  # an array hashes element by element, each result seeding the
     return seed
 
 
-def brute(rows, gram=3, window=3):
-    """Plain-Python winnowing, anchors, extension and deletion."""
-    ident = lambda k, t: (LOW if k is None else k, of_text(t))
-    texts = {ident(k, t): [of_text(x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n")] for k, t in rows if t is not None}
+def ident(key, text):
+    return (LOW if key is None else key, of_text(text))
+
+
+def lines_of(rows):
+    """The stripped lines of every document (rows equal in key and text are one)."""
+    return {ident(k, t): [x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")] for k, t in rows if t is not None}
+
+
+def winnowed(texts, gram, window):
+    """Lines in runs that a selected gram and its first holder give: plain winnowing, anchors and extension."""
+    texts = {d: [of_text(x) for x in ls] for d, ls in texts.items()}
     blank, marks = of_text(""), []
     for d, ls in texts.items():
         grams = [None if all(x == blank for x in ls[i:i + gram]) else of_list(ls[i:i + gram]) for i in range(len(ls) - gram + 1)]
@@ -55,7 +63,30 @@ def brute(rows, gram=3, window=3):
             runs.append((s, e))
         for s, e in runs:
             gone.setdefault(d, set()).update(range(s, e))
-    return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(ident(k, t), ()))) for k, t in rows]
+    return gone
+
+
+def earlier(texts, lines=5, words=50):
+    """Lines in a run of so many lines or words, some word among them, that any earlier place holds."""
+    seen, gone = set(), {}
+    for d in sorted(texts):
+        n = [len(x.split()) for x in texts[d]]
+        for i in range(len(n)):
+            for k in range(1, min(lines, len(n) - i) + 1):
+                if any(n[i:i + k]) and (k == lines or sum(n[i:i + k]) >= words):
+                    run = tuple(texts[d][i:i + k])
+                    if run in seen:
+                        gone.setdefault(d, set()).update(range(i, i + k))
+                    seen.add(run)
+    return gone
+
+
+def brute(rows, gram=3, window=3):
+    """The whole contract: what winnowing deletes and every repeated run of 50 words or ``gram + window - 1`` lines."""
+    texts = lines_of(rows)
+    parts = winnowed(texts, gram, window), earlier(texts, gram + window - 1)
+    gone = {d: parts[0].get(d, set()) | parts[1].get(d, set()) for d in texts}
+    return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[ident(k, t)])) for k, t in rows]
 
 
 def line_rows(seed=1):
@@ -105,28 +136,13 @@ def test_awkward_rows_columns_and_empty_table(spark):
     assert report.filter("doc_id = 47").select("n_lines", "n_deleted").first() is not None
 
 
-def earlier(rows, lines=5, words=50):
-    """Lines of every document in a run of so many lines or words that any earlier place holds."""
-    ident = lambda k, t: (LOW if k is None else k, of_text(t))
-    texts, seen, gone = {ident(k, t): t.split("\n") for k, t in rows}, set(), {}
-    for d in sorted(texts):
-        for i in range(len(texts[d])):
-            for k in range(1, min(lines, len(texts[d]) - i) + 1):
-                run = tuple(texts[d][i:i + k])
-                if k == lines or sum(len(x.split()) for x in run) >= words:
-                    if run in seen:
-                        gone.setdefault(d, set()).update(range(i, i + k))
-                    seen.add(run)
-    return [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(ident(k, t), ()))) for k, t in rows]
-
-
 def test_runs_of_fifty_words_go_whatever_their_number_of_lines(spark):
-    """Against all earlier documents. Three lines have 50 words here, so the grams add nothing to the windows."""
+    """Against all earlier documents, with runs of one line (60 words), two (26 and 26) and three."""
     rnd = random.Random(8)
     pool = [" ".join(f"p{j}w{i}" for i in range(rnd.choice([17, 17, 26, 60]))) for j in range(120)]
     rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.5 else f"own{i}x{j} " + pool[0] for j in range(rnd.randint(1, 12))))
             for i in range(150)]
-    want = earlier(rows)
+    want = brute(rows)
     assert sum(a != b for a, b in zip(rows, want)) > 50 and any(len(t.split("\n")) < 3 and not u for (_, t), (_, u) in zip(rows, want))
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert table(got) == sorted(map(repr, want))
