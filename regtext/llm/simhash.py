@@ -27,7 +27,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -168,36 +167,39 @@ def classes(prints: DataFrame, fp: str = "fingerprint", distance: int = DISTANCE
     return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def _assign(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints ``(k, fingerprint)`` of all rows, and ``(fp, root, component_id)`` of the distinct ones."""
-    prints = materialize(fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], "t", shingle),
-                         "simhash")
+def _groups(prints: DataFrame, distance: int) -> DataFrame:
+    """``(fp, root, component_id)`` for the distinct fingerprints of a written table ``prints(k, fingerprint)``."""
     per_print = prints.groupBy("fingerprint").agg(F.min("k").alias("least"))
     named = per_print.join(classes(prints, distance=distance), F.col("fingerprint") == F.col("fp")) \
         .select("fp", "root", "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints, materialize(named.join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return materialize(named.join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
                     distance: int = DISTANCE) -> DataFrame:
     """One row per document: ``key``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest key of
     the component)."""
-    prints, groups = _assign(docs, key, text, shingle, distance)
-    return prints.join(groups, F.col("fingerprint") == F.col("fp")).select(
+    prints = materialize(fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], "t", shingle), "simhash")
+    return prints.join(_groups(prints, distance), F.col("fingerprint") == F.col("fp")).select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
              distance: int = DISTANCE) -> DataFrame:
     """One document of every component, all columns: the one with the smallest key. Of several rows of the
-    component with that key the first in column order stays; of a component without any key, the first row.
-    Rows are found again by their fingerprint, since rows of one key may lie in several components."""
-    _, groups = _assign(docs, key, text, shingle, distance)
-    rn, fp, part, root, head = (fresh(docs.columns, c) for c in ("rn", "fingerprint", "part_", "root_", "head_"))
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in docs.columns]
-    groups = groups.select(F.col("fp").alias(part), F.col("root").alias(root), F.col("component_id").alias(head))
-    rows = fingerprints(docs, docs.columns, text, shingle)
-    heads = rows.join(groups, (F.col(fp) == F.col(part)) & F.col(f"`{key}`").eqNullSafe(F.col(head))) \
-        .withColumn(rn, F.row_number().over(W.partitionBy(root).orderBy(*order)))
-    return heads.filter(F.col(rn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    component with that key the one with the smallest row hash stays, of equal rows one; of a component without any key,
+    the row with the smallest hash.
+
+    The rows are written once with their fingerprint and a number; heads are picked and the others' numbers
+    found on narrow columns, and the texts are only read again to leave those rows out."""
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"),
+           F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")]
+    rows = fingerprints(docs.select(*own), ["row", "k", "h"], "t", shingle).withColumn("n", F.monotonically_increasing_id())
+    rows = materialize(rows, "simhash-rows")  # written: the numbers stand
+    prints = rows.select("k", "fingerprint", "h", "n")
+    order = F.struct(F.col("k").isNull().alias("none"), "k", "h", "n")
+    heads = prints.join(_groups(prints, distance).select("fp", "root"), F.col("fingerprint") == F.col("fp")) \
+        .groupBy("root").agg(F.min(order).alias("head")).select("head.n")
+    others = prints.select("n").join(heads, "n", "left_anti")
+    return rows.join(others, "n", "left_anti").select("row.*")
