@@ -1,7 +1,7 @@
 """Student-t critical values without scipy.
 
-The t CDF is evaluated through the regularised incomplete beta function (continued fraction),
-and inverted by bisection. Values for 1..TABLE_DOF degrees of freedom are computed once on the
+For whole degrees of freedom the probability of ``|T| <= t`` is a finite sum over powers of a cosine; it is
+inverted by bisection. Values for 1..TABLE_DOF degrees of freedom are computed once on the
 driver and used as a literal array; beyond that a Cornish-Fisher expansion in the normal
 quantile is exact to well below 1e-6.
 """
@@ -17,59 +17,34 @@ from pyspark.sql import functions as F
 TABLE_DOF = 400
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_cdf(t: float, dof: float) -> float:
-    x = dof / (dof + t * t)
-    tail = 0.5 * _betainc(dof / 2.0, 0.5, x)
-    return 1.0 - tail if t >= 0 else tail
+def central_share(t: float, dof: int) -> float:
+    """P(|T| <= t) for ``t >= 0``. With the angle of t / sqrt(dof), even degrees of freedom give the sine times
+    1 + 1/2 cos^2 + 3/8 cos^4 + ..., odd ones the angle plus the sine times cos + 2/3 cos^3 + ..., over a quarter turn."""
+    angle = math.atan(t / math.sqrt(dof))
+    sine, square = math.sin(angle), math.cos(angle) ** 2
+    odd = dof % 2
+    term = math.cos(angle) if odd else 1.0
+    total = term if dof > 1 else 0.0
+    for k in range(2 + odd, dof, 2):
+        term *= square * (k - 1) / k
+        total += term
+    return (angle + sine * total) * 2.0 / math.pi if odd else sine * total
 
 
 @lru_cache(maxsize=None)
 def t_ppf(q: float, dof: int) -> float:
-    lo, hi = -1e3, 1e3
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if t_cdf(mid, dof) < q:
-            lo = mid
+    """The quantile at ``q`` for whole degrees of freedom."""
+    share = abs(2.0 * q - 1.0)
+    low, high = 0.0, 1.0
+    while central_share(high, dof) < share:
+        high *= 2.0
+    for _ in range(100):
+        middle = (low + high) / 2.0
+        if central_share(middle, dof) < share:
+            low = middle
         else:
-            hi = mid
-    return (lo + hi) / 2.0
+            high = middle
+    return math.copysign((low + high) / 2.0, q - 0.5)
 
 
 def normal_ppf(q: float) -> float:

@@ -218,12 +218,13 @@ def frequent_values(df: DataFrame, cols: list[str], cut: float = K.RARE_CUT) ->
     return {c: sorted(r["v"] for r in kept if r["c"] == c) for c in cols}
 
 
-def mask_rare(df: DataFrame, cols: list[str], cut: float = K.RARE_CUT, token: str = "NULL") -> DataFrame:
+def mask_rare(df: DataFrame, cols: list[str], cut: float = K.RARE_CUT, token: str = "NULL",
+              keep: dict[str, list[str]] | None = None) -> DataFrame:
     """Values with share < ``cut`` of the column's non-null values become ``token`` (``cut`` 0 masks
-    nothing). Only the frequent values (bounded by ``1/cut``) are collected."""
-    if cut <= 0:
+    nothing). Only the frequent values (bounded by ``1/cut``) are collected, unless they are given as ``keep``."""
+    if cut <= 0 and keep is None:
         return df.select(*[F.col(c).cast("string").alias(c) if c in cols else F.col(c) for c in df.columns])
-    keep = frequent_values(df, cols, cut)
+    keep = keep or frequent_values(df, cols, cut)
     return df.select(*[F.when(F.col(c).isNull(), F.lit(None).cast("string")).when(F.col(c).cast("string").isin(keep[c]), F.col(c).cast("string"))
                        .otherwise(F.lit(token)).alias(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -67,7 +67,10 @@ def build_cohort(notes: DataFrame | dict[str, SRC.NoteSource], registry: DataFra
     elif label_source == "raw":                                                              # J3, A8, A9
         j = P.join_then_dedup(n, reg.select(*join_keys, *labels), join_keys, surgery, own)
         j = materialize(j, "cohort-raw")  # the frequent values are read off it before it is used
-        j, labels = P.one_hot(P.mask_rare(j, labels, rare_cut), labels, cut=1e-9, drop_source=True)
+        kept = P.frequent_values(j, labels, rare_cut)  # at most 1/rare_cut columns a label, and one for the rest
+        masked = P.mask_rare(j, labels, rare_cut, keep=kept)
+        rest = masked.agg(*[F.max(F.col(c) == "NULL").alias(c) for c in labels]).first()
+        j, labels = P.one_hot(masked, labels, values={c: kept[c] + ["NULL"] * bool(rest[c] and "NULL" not in kept[c]) for c in labels}, drop_source=True)
     else:
         raise ValueError(label_source)
     j = P.labels_to_int(j, labels)                                                           # P6
