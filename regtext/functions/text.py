@@ -6,6 +6,8 @@ filter the array with a higher-order function and join it back.
 
 Regex dialect: Java. Word boundaries that must follow Unicode rules (as the original's Python
 ``re`` does) are written as explicit look-arounds on ``[\\p{L}\\p{N}_]`` instead of ``\\b``.
+Negated ASCII classes are spelled ``\\p{Alnum}`` and ``\\p{Alpha}`` (the same characters): a negated union of ranges takes
+ten times as long. A look-ahead for the first character keeps the costlier look-behinds and alternations to few places.
 """
 
 from __future__ import annotations
@@ -73,13 +75,11 @@ def drop_words(col, *word_lists: list[str], min_len: int = 1) -> Column:
             if w not in banned:
                 banned.append(w)
     def keep(x):
-        cond = F.length(x) >= F.lit(min_len)
-        if banned:
-            # IN over many literals is planned as a hash-set lookup (InSet), not a linear scan
-            cond = cond & ~x.isin(banned)
-        return cond
+        # IN over many literals is planned as a hash-set lookup (InSet), not a linear scan
+        cond = ~x.isin(["", *banned])
+        return (F.length(x) >= F.lit(min_len)) & cond if min_len > 1 else cond
 
-    return F.array_join(F.filter(space_tokens(col), keep), " ")
+    return F.array_join(F.filter(F.split(_c(col), " "), keep), " ")
 
 
 def replace_all_literal(col, fragments: list[str], by: str = "") -> Column:
@@ -100,13 +100,14 @@ def keywords(col, lemma: dict[str, str] | None = None) -> Column:
     ``lemma`` optionally maps a word to its lemma (the original used a WordNet verb lemmatiser,
     which is not available here); it is applied as a literal map, so keep it bounded.
     """
-    s = F.translate(F.replace(F.lower(_c(col)), F.lit("-"), F.lit(" ")), K.PUNCTUATION, "")
-    s = F.array_join(F.filter(py_split(s), lambda x: ~x.isin(K.UNITS_T1)), " ")
+    # one translate(): whitespace to spaces, punctuation to nothing
+    s = F.translate(F.replace(F.lower(_c(col)), F.lit("-"), F.lit(" ")), PY_SPACE_CHARS + K.PUNCTUATION, " " * len(PY_SPACE_CHARS))
+    s = F.array_join(F.filter(F.split(s, " "), lambda x: ~x.isin(["", *K.UNITS_T1])), " ")
     s = F.regexp_replace(s, r"\p{Nd}+", "")
-    s = F.array_join(F.filter(space_tokens(s), lambda x: F.length(x) > 1), " ")
+    s = F.array_join(F.filter(F.split(s, " "), lambda x: F.length(x) > 1), " ")
     # runs of other characters become a space; spaces themselves need no match (tokens are
     # re-split on spaces below, so the token list is the same as with [^A-Za-z0-9]+)
-    s = F.regexp_replace(s, "[^A-Za-z0-9 ]+", " ")
+    s = F.regexp_replace(s, r"[^\p{Alnum} ]+", " ")
     # the word tokenizer's contraction splits in one regex pass (``wanna`` only before another
     # word); a group that did not take part in the match is replaced by nothing
     alts, firsts, seconds = [], [], []
@@ -115,9 +116,10 @@ def keywords(col, lemma: dict[str, str] | None = None) -> Column:
         alts.append(rf"\b({a})({b}){tail}")
         firsts.append(f"${2 * i + 1}")
         seconds.append(f"${2 * i + 2}")
-    s = F.regexp_replace(s, "|".join(alts), "".join(firsts) + " " + "".join(seconds))
+    initials = "".join(sorted({a[0] for a, _ in K.TOKENIZER_SPLITS}))
+    s = F.regexp_replace(s, rf"(?=[{initials}])(?:{'|'.join(alts)})", "".join(firsts) + " " + "".join(seconds))
     stop = K.stopwords(keep=K.KEEP_T1)
-    toks = F.filter(space_tokens(s), lambda x: (F.length(x) > 1) & ~x.isin(stop))
+    toks = F.filter(F.split(s, " "), lambda x: (F.length(x) > 1) & ~x.isin(stop))
     if lemma:
         m = F.create_map(*[F.lit(v) for kv in sorted(lemma.items()) for v in kv])
         toks = F.transform(toks, lambda x: F.coalesce(F.element_at(m, x), x))
@@ -146,16 +148,17 @@ def measurement_pattern() -> str:
 
 def remove_measurements(col) -> Column:
     """T4: drop a number followed by a unit (whole units only: ``3 stents`` stays)."""
-    return F.regexp_replace(_c(col), measurement_pattern(), "")
+    return F.regexp_replace(_c(col), r"(?=\p{Nd})" + measurement_pattern(), "")
 
 
 def remove_time_info(col) -> Column:
     """T5: drop month names (whole words, any case), dates, clock times and am/pm words."""
     months = "|".join(K.MONTHS)
-    s = F.regexp_replace(_c(col), rf"(?i){NOT_AFTER_WORD}(?:{months}){NOT_BEFORE_WORD}", "")
-    s = F.regexp_replace(s, r"\p{Nd}{1,2}[/:]\p{Nd}{1,2}[/:]\p{Nd}{4}|\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}", "")
+    initials = "".join(sorted({m[0] for m in K.MONTHS}))
+    s = F.regexp_replace(_c(col), rf"(?i)(?=[{initials}]){NOT_AFTER_WORD}(?:{months}){NOT_BEFORE_WORD}", "")
+    s = F.regexp_replace(s, r"(?=\p{Nd})(?:\p{Nd}{1,2}[/:]\p{Nd}{1,2}[/:]\p{Nd}{4}|\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2})", "")
     s = F.regexp_replace(s, r"\p{Nd}{1,2}:\p{Nd}{2}(?:am|pm|AM|PM)?", "")
-    return F.regexp_replace(s, rf"{NOT_AFTER_WORD}(?:am|pm|AM|PM){NOT_BEFORE_WORD}", "")
+    return F.regexp_replace(s, rf"(?=[aApP]){NOT_AFTER_WORD}(?:am|pm|AM|PM){NOT_BEFORE_WORD}", "")
 
 
 def remove_dr_names(col) -> Column:
@@ -171,19 +174,19 @@ def nondiagnostic(col, keep: list[str] | None = None, remove_names: bool = False
     ``keep`` words are taken out of the stopword list (the original drops negations).
     """
     s = remove_time_info(remove_measurements(col))
-    s = F.translate(s, "\n\t", "  ")
+    s = replace_all_literal(s, ["\n", "\t"], " ")
     s = F.regexp_replace(s, r"(?s)[\(\[].*?[\)\]]", "")
-    s = F.regexp_replace(s, r"[^.,a-zA-Z ]", "")
-    s = F.regexp_replace(s, r"(?<=[a-zA-Z])\.(?=[.,a-zA-Z])", "")
+    s = F.regexp_replace(s, r"[^.,\p{Alpha} ]+", "")
+    s = F.regexp_replace(s, r"(?=\.)(?<=[a-zA-Z])\.(?=[.,a-zA-Z])", "")
     if remove_names:
         s = remove_dr_names(s)
-    s = F.translate(F.lower(s), ",", " ")
+    s = F.replace(F.lower(s), F.lit(","), F.lit(" "))
     s = drop_words(s, K.UNITS_T3, K.QUANTS, K.stopwords(keep=keep, extra=K.EXTRA_STOP_T3))
     s = replace_all_literal(s, longest_first(K.QUANT_PHRASES), " ")
     s = let(s, lambda v: F.when(F.instr(v, "history") > 0,
                                 F.trim(F.substring(v, F.instr(v, "history") + F.lit(7), F.lit(1 << 30))))
             .otherwise(v))
-    s = F.regexp_replace(s, r"(physician|contact information).*?(fax|oh|ohio)", "")
+    s = F.regexp_replace(s, r"(?=[cp])(?:physician|contact information).*?(?:fax|oh|ohio)", "")
     s = F.regexp_replace(s, r"heart vascular institute.*?ohio", "")
     s = F.regexp_replace(s, r"\b[a-z]\b", "")
     return squeeze(s)
@@ -208,7 +211,7 @@ def word_count(col) -> Column:
 # ---------------------------------------------------------------- T12 / T13 / T14
 def history_sections(col) -> Column:
     """Text after the first history header with header words removed; unchanged if none."""
-    pat = "(?i)" + K.HISTORY_HEADER_PATTERN
+    pat = "(?i)(?=[PHIAC])" + K.HISTORY_HEADER_PATTERN  # the first letters of all headers
 
     def pick(parts):
         after = F.filter(F.slice(parts, 2, 1 << 30), lambda x: x != "")
@@ -287,6 +290,9 @@ def sentences(col) -> Column:
     return F.filter(F.split(_c(col), SENTENCE_BREAK), lambda x: ~is_blank(x))
 
 
-def unicode_words(col) -> Column:
-    """Lower-cased letter/digit runs (the corpus tokeniser for frequencies and vocabularies)."""
-    return F.filter(F.split(F.lower(_c(col)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def unicode_words(col, first: int | None = None) -> Column:
+    """Lower-cased letter/digit runs (the corpus tokeniser for frequencies and vocabularies); with ``first`` only so many
+    words, and the text is split no further."""
+    # a piece may be empty at the start, the last one is the rest
+    w = F.filter(F.split(F.lower(_c(col)), r"[^\p{L}\p{N}]+", first + 2 if first else -1), lambda x: x != "")
+    return F.slice(w, 1, first) if first else w
