@@ -6,8 +6,12 @@ the pretrained sub-word tokenizer of the original.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions.text import let, unicode_words
@@ -26,27 +30,44 @@ def build_vocabulary(docs: DataFrame, text_col: str, min_count: int = 1, rows_pe
     return ranked.select("token", "n", (F.col("_rank") + F.lit(K.FIRST_VOCAB_ID)).cast("int").alias("token_id"))
 
 
+ROWS_PER_BATCH = 256     # rows that look their words up together
+LONG_ROW = 20_000        # words; a longer row is a batch of its own
+
+
 def to_ids(docs: DataFrame, key: str, words: Column, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
     """(key, ids): the words of every row as vocabulary ids, in order; unknown words are UNK.
 
-    Rows are dealt by row number before the words are exploded, so putting a row's ids together again
-    needs no second exchange when the vocabulary is small enough to be broadcast; how it is joined is
-    left to the optimiser. Rows are told apart by number, not by key."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), words.alias("_w"))
-    rows = rows.repartition("_row")
-    toks = rows.select("_row", key, F.posexplode_outer("_w").alias("_pos", "token"))
-    j = toks.join(vocab.select("token", "token_id"), "token", "left")
-    # a row without words keeps one line with a NULL position; it is left out of its list
-    entry = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce("token_id", F.lit(K.UNK_ID)).alias("id")))
-    seq = j.groupBy("_row", key).agg(F.sort_array(F.collect_list(entry)).alias("_s"))
-    return seq.select(key, F.transform("_s", lambda x: x["id"]).alias(out_col))
+    Neighbouring rows are batched and written once with their words. Each batch sends its distinct words through one
+    join with the vocabulary (a common word once a batch, not once an occurrence; how it is joined is left to the optimiser)
+    and meets what comes back in a cogroup, where Arrow looks all its words up at once. A task holds one batch."""
+    row = F.monotonically_increasing_id()
+    rows = docs.select(F.col(key), words.alias("_w"), row.alias("_row"))
+    rows = rows.select(F.when(F.size("_w") > LONG_ROW, -1 - F.col("_row")).otherwise(F.col("_row") - F.col("_row") % ROWS_PER_BATCH).alias("_b"), key, "_w")
+    rows = materialize_table(rows, "batched-words")
+    used = rows.select("_b", F.explode(F.array_distinct("_w")).alias("token")).distinct()
+    found = used.join(vocab.select("token", "token_id"), "token").select(F.col("_b").alias("_kb"), "token", "token_id")
+    out = StructType([StructField("_k", rows.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
+
+    def look_up(batch, known):
+        lists = batch.column("_w").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat = lists.flatten()
+        at = pc.index_in(flat, value_set=known.column("token").combine_chunks().cast(flat.type))
+        ids = pc.fill_null(pc.take(known.column("token_id").combine_chunks(), at), K.UNK_ID)
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.table({"_k": batch.column(key), "ids": pa.ListArray.from_arrays(offsets, ids.cast(pa.int32()))})
+
+    looked = rows.groupBy("_b").cogroup(found.groupBy("_kb")).applyInArrow(look_up, out)
+    return looked.select(F.col("_k").alias(key), F.col("ids").alias(out_col))
 
 
 def encode(docs: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int = K.MAX_SEQ_LEN) -> DataFrame:
     """K1: (key, input_ids, attention_mask): START + first ``max_len - 2`` word ids + END, padded.
 
     Words are truncated *before* they are exploded: a document gives the join at most ``max_len`` rows."""
-    ids = to_ids(docs, key, F.slice(unicode_words(text_col), 1, max_len - 2), vocab, "_w")
+    ids = to_ids(docs, key, unicode_words(text_col, max_len - 2), vocab, "_w")
     out = ids.select(key, F.concat(F.array(F.lit(K.START_ID)), F.col("_w"), F.array(F.lit(K.END_ID))).alias("_ids"))
     return pad(out, "_ids", max_len).drop("_ids")
 

@@ -262,3 +262,25 @@ def test_scratch_tables_go_when_the_application_ends(tmp_path):
     r = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
     assert r.stdout.strip().endswith("5"), r.stderr[-500:]
     assert not list(tmp_path.glob("x-*"))
+
+
+def test_ids_of_batches_send_a_word_once_and_rows_keep_theirs(spark, monkeypatch):
+    monkeypatch.setattr(TK, "ROWS_PER_BATCH", 7)
+    monkeypatch.setattr(TK, "LONG_ROW", 20)
+    rows = [(i % 40 or None, None if i % 31 == 0 else [f"w{(i * j) % 13}" for j in range(i % 25)] + [None] * (i % 5 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, w array<string>").repartition(3)
+    vocab = spark.createDataFrame([(f"w{i}", 1, 4 + i) for i in range(12)], "token string, n long, token_id int")
+    out = TK.to_ids(df, "k", F.col("w"), vocab)
+    ids = {f"w{i}": 4 + i for i in range(12)}
+    assert sorted(map(str, ((r.k, r.ids) for r in out.collect()))) == sorted(str((k, [ids.get(x, 0) for x in w or []])) for k, w in rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan  # distinct words of a batch meet the vocabulary
+    assert TK.to_ids(df, "k", F.col("w"), vocab.limit(0)).agg(F.max(F.array_max("ids"))).first()[0] == 0
+
+
+def test_first_words_equal_the_head_of_all(spark):
+    from regtext.functions import text as X
+    texts = [None, "", " ", "a", " a", "a b c", "a b c ", "-a b c d", "a b c d e.", "A--b", "..a b c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 4):
+        assert all(a == b for a, b in df.select(X.unicode_words("t", n), F.slice(X.unicode_words("t"), 1, n)).collect())
