@@ -32,6 +32,7 @@ def build_vocabulary(docs: DataFrame, text_col: str, min_count: int = 1, rows_pe
 
 ROWS_PER_BATCH = 256     # rows that look their words up together
 LONG_ROW = 20_000        # words; a longer row is a batch of its own
+IDS_PER_RANGE = 16_000_000
 
 
 def to_ids(docs: DataFrame, key: str, words: Column, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
@@ -129,6 +130,9 @@ def pack_blocks(docs: DataFrame, key: str, ids_col: str, block: int = K.MAX_SEQ_
     ids = materialize_table(ids, "k3-ids")
     # filtered after the lineage cut, so the id expression is not copied into a pushed-down filter
     ids = ids.filter(F.col("_len") > 0)
+    # a range is held by one task with its ids: as many rows as have IDS_PER_RANGE of them
+    size = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("ids")).first()
+    rows_per_range = max(min(rows_per_range, size["n"] * IDS_PER_RANGE // max(size["ids"] or 0, 1)), 1)
     off, total = global_offsets(ids, [key, "_tie"], "_len", rows_per_range, out_col="_off")
     n_blocks = total // block
     if n_blocks == 0:

@@ -278,6 +278,16 @@ def test_ids_of_batches_send_a_word_once_and_rows_keep_theirs(spark, monkeypatch
     assert TK.to_ids(df, "k", F.col("w"), vocab.limit(0)).agg(F.max(F.array_max("ids"))).first()[0] == 0
 
 
+def test_pack_ranges_are_bounded_by_ids(spark, monkeypatch):
+    monkeypatch.setattr(TK, "IDS_PER_RANGE", 500)
+    asked, offsets = [], RK.global_offsets
+    monkeypatch.setattr(TK, "global_offsets", lambda df, order, w, per, **a: asked.append(per) or offsets(df, order, w, per, **a))
+    df = spark.createDataFrame([(k, list(range(k, k + 50))) for k in range(200)], "k long, ids array<int>")
+    got = {b.block_id: b.input_ids for b in TK.pack_blocks(df, "k", "ids", 64).collect()}
+    flat = [x for k in range(200) for x in range(k, k + 50)]
+    assert asked == [10] and got == {i: flat[64 * i:64 * i + 64] for i in range(len(flat) // 64)}
+
+
 def test_first_words_equal_the_head_of_all(spark):
     from regtext.functions import text as X
     texts = [None, "", " ", "a", " a", "a b c", "a b c ", "-a b c d", "a b c d e.", "A--b", "..a b c"]
