@@ -45,6 +45,22 @@ PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c
                   + "\u2028\u2029\u202f\u205f\u3000")
 
 
+# the same without the plain space: one range passes over printable ASCII, which the union of ranges is slow to reject
+OTHER_SPACE = rf"[^ -~](?<={PY_SPACE})"
+NOT_PY_SPACE = "[^" + PY_SPACE[1:]
+
+
+def plain_spaces(col) -> Column:
+    """Every whitespace character as a plain space."""
+    return F.regexp_replace(_c(col), OTHER_SPACE, " ")
+
+
+def begins_like(words: list[str], any_case: bool = False) -> str:
+    """A look-ahead that every one of ``words`` passes: one character class for each of their first three places."""
+    places = zip(*(w[:3] for w in words))  # as many as the shortest word has
+    return "(?=" + "".join(f"[{''.join(sorted({v for c in p for v in ((c.lower(), c.upper()) if any_case else c)}))}]" for p in places) + ")"
+
+
 def py_split(col) -> Column:
     """Python ``str.split()``: whitespace runs, no empty tokens. Whitespace is mapped to spaces
     with ``translate`` (no regex) and the text split on the single space."""
@@ -116,8 +132,8 @@ def keywords(col, lemma: dict[str, str] | None = None) -> Column:
         alts.append(rf"\b({a})({b}){tail}")
         firsts.append(f"${2 * i + 1}")
         seconds.append(f"${2 * i + 2}")
-    initials = "".join(sorted({a[0] for a, _ in K.TOKENIZER_SPLITS}))
-    s = F.regexp_replace(s, rf"(?=[{initials}])(?:{'|'.join(alts)})", "".join(firsts) + " " + "".join(seconds))
+    begin = begins_like([a for a, _ in K.TOKENIZER_SPLITS])
+    s = F.regexp_replace(s, rf"{begin}(?:{'|'.join(alts)})", "".join(firsts) + " " + "".join(seconds))
     stop = K.stopwords(keep=K.KEEP_T1)
     toks = F.filter(F.split(s, " "), lambda x: (F.length(x) > 1) & ~x.isin(stop))
     if lemma:
