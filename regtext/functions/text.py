@@ -170,11 +170,10 @@ def remove_measurements(col) -> Column:
 def remove_time_info(col) -> Column:
     """T5: drop month names (whole words, any case), dates, clock times and am/pm words."""
     months = "|".join(K.MONTHS)
-    initials = "".join(sorted({m[0] for m in K.MONTHS}))
-    s = F.regexp_replace(_c(col), rf"(?i)(?=[{initials}]){NOT_AFTER_WORD}(?:{months}){NOT_BEFORE_WORD}", "")
+    s = F.regexp_replace(_c(col), rf"{begins_like(K.MONTHS, any_case=True)}{NOT_AFTER_WORD}(?i:{months}){NOT_BEFORE_WORD}", "")
     s = F.regexp_replace(s, r"(?=\p{Nd})(?:\p{Nd}{1,2}[/:]\p{Nd}{1,2}[/:]\p{Nd}{4}|\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2})", "")
     s = F.regexp_replace(s, r"\p{Nd}{1,2}:\p{Nd}{2}(?:am|pm|AM|PM)?", "")
-    return F.regexp_replace(s, rf"(?=[aApP]){NOT_AFTER_WORD}(?:am|pm|AM|PM){NOT_BEFORE_WORD}", "")
+    return F.regexp_replace(s, rf"(?=[aApP][mM]){NOT_AFTER_WORD}(?:am|pm|AM|PM){NOT_BEFORE_WORD}", "")
 
 
 def remove_dr_names(col) -> Column:
@@ -193,25 +192,32 @@ def nondiagnostic(col, keep: list[str] | None = None, remove_names: bool = False
     s = replace_all_literal(s, ["\n", "\t"], " ")
     s = F.regexp_replace(s, r"(?s)[\(\[].*?[\)\]]", "")
     s = F.regexp_replace(s, r"[^.,\p{Alpha} ]+", "")
-    s = F.regexp_replace(s, r"(?=\.)(?<=[a-zA-Z])\.(?=[.,a-zA-Z])", "")
+    s = F.regexp_replace(s, r"\.(?=[.,a-zA-Z])(?<=[a-zA-Z]\.)", "")
     if remove_names:
         s = remove_dr_names(s)
     s = F.replace(F.lower(s), F.lit(","), F.lit(" "))
     s = drop_words(s, K.UNITS_T3, K.QUANTS, K.stopwords(keep=keep, extra=K.EXTRA_STOP_T3))
-    s = replace_all_literal(s, longest_first(K.QUANT_PHRASES), " ")
+    phrases = rf"{begins_like(K.QUANT_PHRASES)}(?:{'|'.join(K.QUANT_PHRASES)})"
+    s = let(s, lambda v: F.when(v.rlike(phrases), replace_all_literal(v, longest_first(K.QUANT_PHRASES), " ")).otherwise(v))
     s = let(s, lambda v: F.when(F.instr(v, "history") > 0,
                                 F.trim(F.substring(v, F.instr(v, "history") + F.lit(7), F.lit(1 << 30))))
             .otherwise(v))
-    s = F.regexp_replace(s, r"(?=[cp])(?:physician|contact information).*?(?:fax|oh|ohio)", "")
+    s = let(s, lambda v: F.when(v.rlike("physician") | v.rlike("contact information"), F.regexp_replace(
+        v, r"(?:physician|contact information).*?(?:fax|oh|ohio)", "")).otherwise(v))
     s = F.regexp_replace(s, r"heart vascular institute.*?ohio", "")
     s = F.regexp_replace(s, r"\b[a-z]\b", "")
     return squeeze(s)
 
 
 # ---------------------------------------------------------------- T7 / T9
+def no_punctuation(col) -> Column:
+    """A text without ASCII punctuation (``constants.PUNCTUATION``)."""
+    return F.regexp_replace(_c(col), r"\p{Punct}+", "")
+
+
 def strip_punctuation(arr_col) -> Column:
     """Remove ASCII punctuation from every string of an array column."""
-    return F.transform(_c(arr_col), lambda s: F.translate(s, K.PUNCTUATION, ""))
+    return F.transform(_c(arr_col), no_punctuation)
 
 
 def cut_words(col, max_len: int) -> Column:
@@ -227,7 +233,7 @@ def word_count(col) -> Column:
 # ---------------------------------------------------------------- T12 / T13 / T14
 def history_sections(col) -> Column:
     """Text after the first history header with header words removed; unchanged if none."""
-    pat = "(?i)(?=[PHIAC])" + K.HISTORY_HEADER_PATTERN  # the first letters of all headers
+    pat = "(?=[PHIACphiac][AaCcIiMmOoPpRrSsXx])(?i)" + K.HISTORY_HEADER_PATTERN  # the first two letters of all headers
 
     def pick(parts):
         after = F.filter(F.slice(parts, 2, 1 << 30), lambda x: x != "")
@@ -297,7 +303,7 @@ SENTENCE_BREAK = r"(?<=[.!?])\s+|\n+"
 
 def is_blank(x: Column) -> Column:
     """True when a string holds only (Python) whitespace."""
-    return F.trim(F.translate(x, PY_SPACE_CHARS, " " * len(PY_SPACE_CHARS))) == ""
+    return ~x.rlike(NOT_PY_SPACE)
 
 
 def sentences(col) -> Column:

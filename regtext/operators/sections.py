@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import PY_SPACE, keywords, let, lines, py_strip, sentences, space_tokens
+from ..functions.text import NOT_PY_SPACE, PY_SPACE, keywords, let, lines, plain_spaces, py_strip, sentences, space_tokens
 
 SECTION_HEADER = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z ]*):"
 
@@ -20,8 +20,11 @@ def line_table(df: DataFrame, key: str, text_col: str) -> DataFrame:
 def merged_sentences(col, min_len: int = 3) -> Column:
     """T10 helper: the sentences of a text; one with fewer than ``min_len`` words is appended to its
     predecessor (a run of short sentences joins the same predecessor), the first is never merged."""
+    # as many words from the start on, read no further; nothing to go back to, so a long word costs its length once
+    words = rf"\A{PY_SPACE}*+(?:{NOT_PY_SPACE}++{PY_SPACE}++){{{max(min_len - 1, 0)}}}{NOT_PY_SPACE}"
+
     def long_enough(x):
-        return F.size(F.filter(F.split(x, PY_SPACE + "+"), lambda w: w != "")) >= min_len
+        return x.rlike(words) if min_len > 0 else F.lit(True)
 
     def merge(s):
         first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | long_enough(F.get(s, i)))
@@ -81,6 +84,9 @@ def sentence_tokens(df: DataFrame, key: str, text_col: str, preprocess: bool = F
     that text keeps no sentence punctuation, so it is one sentence of keyword tokens."""
     if preprocess:
         return df.select(key, F.array(space_tokens(keywords(text_col))).alias("tokens"))
-    return df.select(key, F.transform(sentences(text_col),
-                                      lambda s: space_tokens(F.regexp_replace(F.lower(s), PY_SPACE + "+", " ")))
-                     .alias("tokens"))
+    return df.select(key, word_lists(sentences(text_col)).alias("tokens"))
+
+
+def word_lists(sentence_col: Column) -> Column:
+    """The lower-cased whitespace words of every sentence of an array."""
+    return F.transform(sentence_col, lambda s: space_tokens(plain_spaces(F.lower(s))))

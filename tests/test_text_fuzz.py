@@ -2,13 +2,16 @@
 must agree (regex dialects differ: Java vs RE2)."""
 
 import random
+import re
 import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from regtext.functions import constants as K
 from regtext.functions import text as X
+from regtext.operators import sections as S
 from regtext.plans import oracle as O
 
 PIECES = ["a", "b", "Z", "é", "ß", "ü", "中", " ", "  ", "\n", "\t", ".", ",", "-", "'", "(", ")", "[", "]", "/",
@@ -90,3 +93,39 @@ def test_cleaning_steps_use_quick_classes_and_few_passes(spark):
     con = duckdb.connect()
     want = [con.execute(f"SELECT {O.keywords('t')}, {O.nondiagnostic('t')}, string_split({O.history_sections('t')}, ' ') FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone() for t in texts]
     assert got == want
+
+
+def test_look_aheads_and_guards_change_no_text(spark):
+    """A look-ahead of one class per place passes every word; what is guarded by a search runs where it is found."""
+    for words, any_case in ((K.MONTHS, True), (["can", "wan"], False), (["hx", "pmh"], False)):
+        begin = re.compile(X.begins_like(words, any_case))
+        assert all(begin.match(w) and (not any_case or (begin.match(w.upper()) and begin.match(w.title()))) for w in words)
+        assert not begin.match("xyz") and not begin.match("")
+    texts = ["stroke volume cardiac index stroke volume", "lv lv mass mass cardiac output", "net forward volume physician a fax b oh",
+             "contact information physician fax z ohio", "history physician history oh x", "a MAY b mayo Sept september SEPTEMBER", "amp am 5pm AM. pM",
+             "hx: Pm PMHx Principal Diagnosis x", "a.b .c d. e f", "heart vascular institute x ohio", "w" * 9000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in rows.select(X.nondiagnostic("t"), X.remove_time_info("t"), F.split(X.history_sections("t"), " ")).collect()]
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {O.nondiagnostic('t')}, {O.remove_time_info('t')}, string_split({O.history_sections('t')}, ' ') FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone() for t in texts]
+    assert got == want
+
+
+def test_sentences_are_counted_without_splitting_them(spark):
+    """No pattern is compiled or table looked up per sentence: a sentence's words are counted by one search."""
+    df = spark.createDataFrame([("a",)], "t string")
+    plan = df.select(S.merged_sentences("t").alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("translate(") == 0
+    texts = ["one two three. a b. c d e! x\u3000y\x85z? q", "a. b c. d e f.", "a b\n\n \n\x1c\nc d e", "", " . ", "w" * 50_000 + " x", "a\xa0b c. d\u2003e f"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (0, 1, 2, 3):
+        got = [r[0] for r in rows.select(S.merged_sentences("t", n)).collect()]
+        for t, g in zip(texts, got):
+            parts = [p for p in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", t) if p.strip()]
+            want = []
+            for p in parts:
+                if want and len(p.split()) < n:
+                    want[-1] += " " + p
+                else:
+                    want.append(p)
+            assert g == want, (n, t[:40])
