@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import materialize
 from .prep import empty_to_null
 
 STEPS = {
@@ -67,16 +68,21 @@ def attested_lemmas(words: DataFrame, endings: dict[str, tuple[str, ...]]) -> Da
     return known.groupBy("word", "word_class").agg(F.max_by("lemma", F.length("ending")).alias("lemma"))
 
 
-def lemmatise(df: DataFrame, key: str, col: str, lemmas: DataFrame, word_class: str | None = None) -> DataFrame:
+def distinct_words(df: DataFrame, col: str) -> DataFrame:
+    """``(word)``: every space-separated token of ``col`` once, written as a table (a row gives each of its words once)."""
+    return materialize(df.select(F.explode(F.array_distinct(F.split(col, " "))).alias("word")).filter("word != ''").distinct(), "words")
+
+
+def lemmatise(df: DataFrame, key: str, col: str, lemmas: DataFrame, word_class: str | None = None, words: DataFrame | None = None) -> DataFrame:
     """Replace every space-separated token of ``col`` by its lemma in ``lemmas(word, word_class, lemma)`` (of one class, or
     of any; a word with several lemmas takes the smallest; a missing lemma leaves the word). NULL texts stay NULL.
 
-    The lemma table is first cut down to the words that the corpus has and that change. The distinct tokens of a
-    row meet it in a join, only those that change come back, as a map that the row looks its tokens up in: a
-    common word that is its own lemma never leaves its task."""
+    The lemma table is first cut down to the words that the corpus has (``distinct_words``, or ``words`` where the caller
+    has them) and that change, and written: the optimiser knows its size before it deals any token. The distinct tokens of
+    a row meet it in a join, only those that change come back, as a map that the row looks its tokens up in."""
     rules = lemmas.filter(F.col("word_class") == word_class) if word_class is not None else lemmas
     rules = rules.filter(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("word"))).groupBy("word").agg(F.min("lemma").alias("lemma"))
-    used = rules.join(df.select(F.explode(F.array_distinct(F.split(col, " "))).alias("word")).distinct(), "word", "left_semi")
+    used = materialize(rules.join(distinct_words(df, col) if words is None else words, "word", "left_semi"), "lemmas")
     text = F.xxhash64(col)
     tokens = df.select(F.col(key).alias("_k"), text.alias("_h"), F.explode(F.array_distinct(F.split(col, " "))).alias("word"))
     found = tokens.join(used, "word").groupBy("_k", "_h").agg(F.map_from_entries(F.collect_set(F.struct("word", "lemma"))).alias("_m"))

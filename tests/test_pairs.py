@@ -110,3 +110,14 @@ def test_keywords_with_lemmas(spark):
     plain = {r.k: r.x for r in df.select("k", X.keywords("t").alias("x")).collect()}
     assert got[1].split() == [{"walked": "walk", "walking": "walk", "sees": "see", "patients": "patient"}.get(w, w) for w in plain[1].split()]
     assert got[2] is None and got[3] == ""
+
+
+def test_lemmas_are_written_before_tokens_are_dealt(spark):
+    df = spark.createDataFrame([(1, "walking walk  walking"), (2, "talk talking x"), (3, None), (None, "walking")], "k long, t string")
+    words = C.distinct_words(df, "t")
+    assert sorted(r.word for r in words.collect()) == ["talk", "talking", "walk", "walking", "x"]
+    lemmas = C.attested_lemmas(words, {"verb": ("ing",)})
+    for got in (C.lemmatise(df, "k", "t", lemmas, "verb"), C.lemmatise(df, "k", "t", lemmas, "verb", words)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 1 and "LeftSemi" not in plan
+        assert {(r.k, r.t) for r in got.collect()} == {(1, "walk walk  walk"), (2, "talk talk x"), (3, None), (None, "walk")}
