@@ -31,11 +31,12 @@ def build_vocabulary(docs: DataFrame, text_col: str, min_count: int = 1, rows_pe
 
 
 ROWS_PER_BATCH = 256     # rows that look their words up together
+SHORT_ROWS_PER_BATCH = 1024  # the same where rows are cut to a sequence's length
 LONG_ROW = 20_000        # words; a longer row is a batch of its own
 IDS_PER_RANGE = 16_000_000
 
 
-def to_ids(docs: DataFrame, key: str, words: Column, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
+def to_ids(docs: DataFrame, key: str, words: Column, vocab: DataFrame, out_col: str = "ids", rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:
     """(key, ids): the words of every row as vocabulary ids, in order; unknown words are UNK.
 
     Neighbouring rows are batched and written once with their words. Each batch sends its distinct words through one
@@ -43,7 +44,7 @@ def to_ids(docs: DataFrame, key: str, words: Column, vocab: DataFrame, out_col:
     and meets what comes back in a cogroup, where Arrow looks all its words up at once. A task holds one batch."""
     row = F.monotonically_increasing_id()
     rows = docs.select(F.col(key), words.alias("_w"), row.alias("_row"))
-    rows = rows.select(F.when(F.size("_w") > LONG_ROW, -1 - F.col("_row")).otherwise(F.col("_row") - F.col("_row") % ROWS_PER_BATCH).alias("_b"), key, "_w")
+    rows = rows.select(F.when(F.size("_w") > LONG_ROW, -1 - F.col("_row")).otherwise(F.col("_row") - F.col("_row") % rows_per_batch).alias("_b"), key, "_w")
     rows = materialize_table(rows, "batched-words")
     used = rows.select("_b", F.explode(F.array_distinct("_w")).alias("token")).distinct()
     found = used.join(vocab.select("token", "token_id"), "token").select(F.col("_b").alias("_kb"), "token", "token_id")
@@ -75,9 +76,12 @@ def encode(docs: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len:
 
 def encode_sentences(docs: DataFrame, key: str, sentences_col: str, vocab: DataFrame, max_len: int = K.MAX_SEQ_LEN) -> DataFrame:
     """K1 + K2 over sentence word lists: (key, input_ids, attention_mask) of START, the word ids of every
-    sentence with END behind each, cut or padded to ``max_len`` by ``flatten_ids``."""
-    ended = F.flatten(F.transform(sentences_col, lambda ws: F.array_append(ws, F.lit(SENTENCE_END))))
-    ids = to_ids(docs, key, ended, vocab.unionByName(_end_marker(docs.sparkSession, vocab)), "_w")
+    sentence with END behind each, cut or padded to ``max_len`` by ``flatten_ids``.
+
+    As in ``encode``, words are cut *before* they are looked up: behind START the result holds ``max_len - 1`` ids at
+    most, and that there are ``max_len`` of them is all it needs to know of the rest (no word's id is START)."""
+    ended = F.slice(F.flatten(F.transform(sentences_col, lambda ws: F.array_append(ws, F.lit(SENTENCE_END)))), 1, max_len)
+    ids = to_ids(docs, key, ended, vocab.unionByName(_end_marker(docs.sparkSession, vocab)), "_w", SHORT_ROWS_PER_BATCH)
     one = F.array(F.concat(F.array(F.lit(K.START_ID)), F.col("_w")))
     return ids.select(key, flatten_ids(one, max_len).alias("t")).select(key, "t.input_ids", "t.attention_mask")
 

@@ -294,3 +294,18 @@ def test_first_words_equal_the_head_of_all(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for n in (1, 2, 3, 4):
         assert all(a == b for a, b in df.select(X.unicode_words("t", n), F.slice(X.unicode_words("t"), 1, n)).collect())
+
+
+def test_sentence_words_are_cut_before_they_are_looked_up(spark, monkeypatch):
+    written = []
+    keep = TK.materialize_table
+    monkeypatch.setattr(TK, "materialize_table", lambda df, name, *a: written.append((name, keep(df, name, *a))) or written[-1][1])
+    vocab = spark.createDataFrame([(f"w{i}", 1, 4 + i) for i in range(40)], "token string, n long, token_id int")
+    rows = [(n, [[f"w{i % 40}" for i in range(j, min(j + 3, n))] for j in range(0, n, 3)]) for n in (0, 1, 5, 6, 7, 8, 9, 50)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, s array<array<string>>")
+    got = {r.k: (r.input_ids, r.attention_mask) for r in TK.encode_sentences(df, "k", "s", vocab, max_len=10).collect()}
+    for k, lists in rows[:-1]:
+        ids = [2] + [i for ws in lists for i in [*(4 + int(w[1:]) for w in ws), 3]]
+        want = (ids[:9] + [3], [1] * 10) if len(ids) >= 10 else (ids + [1] * (10 - len(ids)), [1] * len(ids) + [0] * (10 - len(ids)))
+        assert got[k] == want, k
+    assert max(r[0] for n, t in written if n == "batched-words" for r in t.filter("_w IS NOT NULL").select(F.size("_w")).collect()) <= 10
